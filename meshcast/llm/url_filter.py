@@ -76,7 +76,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: i
     def seeds(column: str) -> DataFrame:
         # A host is a seed by the share of its pages that the rules decide so; the seeds' mean is 1.
         s = hosts.where(F.col(column) > 0).select("host", (F.col(column) / F.col("pages")).alias("s"))
-        return s.crossJoin(s.agg(F.avg("s").alias("mean"))).select("host", (F.col("s") / F.col("mean")).alias("seed"))
+        mean = s.agg(F.avg("s")).first()[0] or 1.0
+        return s.select("host", (F.col("s") / F.lit(mean)).alias("seed"))
 
     trust = _spread(staged(forward, "forward"), staged(seeds("allowed"), "trusted"), damping, rounds).select("host", F.col("score").alias("trust"))
     distrust = _spread(staged(back, "back"), staged(seeds("blocked"), "distrusted"), damping, rounds).select("host", F.col("score").alias("distrust"))
