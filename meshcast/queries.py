@@ -27,12 +27,12 @@ def query(name: str, sql: str | None, *views: str):
     return add
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
     """Sums of doubles depend on their order, so results are compared to `digits` decimals."""
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def r(expr: str, name: str, digits: int = 5) -> str:
+def r(expr: str, name: str, digits: int = 8) -> str:
     return f"round({expr}, {digits}) AS {name}"
 
 
