@@ -235,7 +235,8 @@ def labelled(text: str) -> list[tuple[list[int], list[int]]]:
 def _training(batches):
     for pdf in sliced(batches, 200):
         rows = [x for t in pdf.text for x in labelled(t)[:6]]
-        yield pd.DataFrame({"codes": [r[0] for r in rows], "tags": [r[1] for r in rows]})
+        if rows:  # an empty frame has no list columns
+            yield pd.DataFrame({"codes": [r[0] for r in rows], "tags": [r[1] for r in rows]})
 
 
 def fit(docs: DataFrame, rows: int = 6000, most_windows: int = 4000) -> Tagger:
