@@ -44,6 +44,10 @@ def _starts(hits, word: str, offset: int):
     return F.transform(F.filter(hits, lambda x: x.w == word), lambda x: x.p - offset)
 
 
+def _moved(places, offset: int):
+    return F.transform(places, lambda p: p - offset)
+
+
 def _places(hits, phrase: str):
     """First positions of the places where all words of a phrase without stop words stand consecutively."""
     words = phrase.split()
@@ -93,8 +97,7 @@ def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
         expr, weight = _aligned(hits, template, idf)
         aligned.append(expr.alias(f"t{i}"))
         offset = template.split().index(key.split()[0])
-        keys = F.transform(_places(hits, key), lambda p, o=offset: p - o)
-        aligned.append(keys.alias(f"k{i}"))
+        aligned.append(_moved(_places(hits, key), offset).alias(f"k{i}"))
         # Rounded, so that a whole template is 1 whatever the order of additions.
         share = F.round(F.col(f"t{i}.got") / F.lit(weight), 9)
         ok = (share >= least) & F.arrays_overlap(F.col(f"t{i}.at"), F.col(f"k{i}"))
