@@ -120,7 +120,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
         "lists",
     )
     live = lists.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
-    lists = staged(lists.join(live, "h"), "live")
+    lists = lists.join(live, "h")
+    # The share of a set's prefix that others hold too: a group's original has no shingles of its own, its edited copies do.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
+    shared = lists.groupBy("id").agg((F.count("*") / F.first(prefix)).alias("shared"))
+    lists = staged(lists.join(shared, "id"), "live")
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
     sets = staged(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets(k), "id long, shingles array<long>"), "sets")
 
@@ -141,7 +145,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
             left = lists.join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
             open_ = left.groupBy("h", "band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h", "band")
             left = left.join(open_, ["h", "band"])
-        leaders = left.groupBy("h", "band").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
+        # First the member that is most like an original, then others.
+        order = F.struct(-F.col("shared") if turn == 0 else F.lit(0.0), F.xxhash64("id", F.lit(turn)))
+        leaders = left.groupBy("h", "band").agg(F.min_by("id", order).alias("leader"))
         # Each set meets the leader that it shares most lists with.
         met = left.join(leaders, ["h", "band"]).where("id <> leader").groupBy("id", "leader").count()
         pairs = met.groupBy(F.col("id").alias("x")).agg(F.max_by("leader", F.struct("count", "leader")).alias("y"))
