@@ -8,7 +8,7 @@ last, so the first `n - ceil(t n) + 1` of a set (its prefix) are rare; linked se
   cannot reach the threshold are skipped.
 * Answers: in each list the members are first compared with one leader. A member's answer against that leader (the size of the
   intersection) bounds its answers against every other member, and members that are connected need no comparison of their own.
-  What is left between different components is compared exactly.
+  What is left between different components, and shares enough of both prefixes, is compared exactly.
 
 No list is gathered in one task: lists are only grouped with partial aggregates and joined on their key.
 """
@@ -161,18 +161,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
     first = answers.groupBy(F.col("x").alias("id")).agg(F.max_by(F.struct(F.col("y").alias("leader"), F.col("both")), F.struct("both", "y")).alias("known"))
     open_lists = staged(open_lists.join(sizes, "h").join(first, "id", "left").select("h", "id", "n", "p", "band", "c", "main", F.col("known.leader"), F.col("known.both")), "open")
     x = open_lists.where("c <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    x, y = (d.select("h", "band", *(F.col(c).alias(c + s) for c in ("id", "n", "p", "c", "leader", "both"))) for d, s in ((x, "_x"), (open_lists, "_y")))
+    x, y = (d.select("h", "band", *more, *(F.col(c).alias(c + s) for c in ("id", "n", "p", "c", "leader", "both"))) for d, s, more in ((x, "_x", ["main"]), (open_lists, "_y", [])))
     need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100.0 + percent) - 1e-6)
     at_most = F.least("p_x", "p_y") + 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) - 1
     # Both sets' answers against a common leader bound their own answer.
     derived = F.least("both_x", "both_y") + F.least(F.col("n_x") - F.col("both_x"), F.col("n_y") - F.col("both_y"))
+    # In a list, a pair is met once: neither set is of the main component, or only y is.
+    once = (F.col("c_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))
+    # All shingles that both prefixes share are counted. The set whose prefix ends first shares no more of its prefix than these.
+    beyond = F.greatest(*(F.ceil(F.col(n) * percent / 100.0 - 1e-6) for n in ("n_x", "n_y"))) - 1
     rest = (
         x.join(y, ["h", "band"])
-        .where(F.col("c_x") != F.col("c_y"))
+        .where((F.col("c_x") != F.col("c_y")) & once)
         .where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (at_most >= need))
         .where(F.when(F.col("leader_x") == F.col("leader_y"), derived >= need).otherwise(True))
-        .select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y"))
-        .distinct()
+        .groupBy(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y"))
+        .agg(F.count("*").alias("shared"), F.first(need - beyond).alias("least"))
+        .where("shared >= least")
+        .select("x", "y")
     )
     done = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     edges = linked(compared(staged(rest.join(done, ["x", "y"], "left_anti"), "rest"))).union(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
