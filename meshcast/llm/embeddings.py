@@ -2,12 +2,13 @@
 
 Unit vectors are cut into halves; an independent codebook for each half (k-means on a bounded sample) makes a product grid of
 cells. A vector visits the cells of its own label from the nearest on (multi-sequence order over the two sorted lists of
-distances). A cell (i, j) cannot hold a vector at cosine >= t if its lower bound
+distances to the borders of the cells): to reach cell (i, j), a partner has to be at least
 
-    max(0, |x1 - c_i| - r_i)^2 + max(0, |x2 - c_j| - r_j)^2
+    border(x1, i)^2 + border(x2, j)^2
 
-exceeds 2 - 2t (r: largest distance of a resident half to its centroid), so the traversal ends there with recall 1. Candidates
-are verified by the cosine in double precision.
+away. Beyond 2 - 2t no cell can hold a partner at cosine >= t; few partners move straight at a border, so the traversal ends
+earlier, where the target recall is reached for partners drawn at the threshold itself. Candidates are verified by the cosine in
+double precision.
 
 Equal vectors of one label are one class, compared once. A cell's residents and visitors meet in chunks of bounded size, and each pair of
 chunks gives counts and a spanning forest of its links instead of pairs.
@@ -17,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, sliced, staged
 
 CHUNK = 1024  # residents of a cell that visitors meet in one task
 
@@ -38,15 +39,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     return c
 
 
-def _unit(column) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one."""
-    rows = [None if v is None else np.asarray(v, np.float64) for v in column]
-    good = np.array([v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(np.any(v != 0)) for v in rows], bool)
-    # Scaled first, so that very large and very small components neither overflow nor vanish.
-    return np.array([v / np.abs(v).max() for v, g in zip(rows, good) if g]), good
-
-
 def _normalised(x: np.ndarray) -> np.ndarray:
+    """Scaled first, so that very large and very small components neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -64,37 +59,48 @@ def _assign(books):
             h = x.shape[1] // 2
             d1, d2 = _distances(x[:, :h], c1), _distances(x[:, h:], c2)
             i, j = d1.argmin(1), d2.argmin(1)
-            r = np.arange(len(x))
-            yield pd.DataFrame({"label": pdf.label, "rep": pdf.rep, "copies": pdf.copies, "v": pdf.v, "i": i.astype(np.int32), "j": j.astype(np.int32), "d1": d1[r, i], "d2": d2[r, j]})
+            yield pd.DataFrame({"label": pdf.label, "rep": pdf.rep, "copies": pdf.copies, "v": pdf.v, "i": i.astype(np.int32), "j": j.astype(np.int32)})
 
     return run
 
 
-def _visits(books, radii, most: float):
-    """(vector, cell) rows: the multi-sequence traversal of the grid until no cell can hold a partner."""
+def _bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distance of each vector to the border between its own cell and that of each centroid; 0 for its own."""
+    d = _distances(x, c) ** 2
+    own = d.argmin(1)
+    apart = _distances(c, c)[own]
+    return (np.maximum(d - d.min(1)[:, None], 0) / np.where(apart > 0, 2 * apart, 1)) ** 2
+
+
+def cutoff(x: np.ndarray, books, threshold: float, recall: float, probes: int = 6000, seed: int = 11) -> float:
+    """How far the traversal has to go to reach the target recall, measured on partners drawn at cosine `threshold` exactly, which are
+    the hardest to find: a third differ in all components, a third in the first half only, a third in the second."""
+    rng = np.random.default_rng(seed)
+    q = x[rng.integers(0, len(x), probes)]
+    h = x.shape[1] // 2
+    z = rng.normal(size=q.shape)
+    z[1::3, :h], z[2::3, h:] = 0, 0
+    z -= (z * q).sum(1)[:, None] * q
+    y = threshold * q + np.sqrt(1 - threshold**2) * z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    need = 0
+    for a, b, c in ((q[:, :h], y[:, :h], books[0]), (q[:, h:], y[:, h:], books[1])):
+        need = need + _bounds(a, c)[np.arange(probes), _distances(b, c).argmin(1)]
+    return float(min(np.quantile(need, recall), 2 - 2 * threshold)) + 1e-9
+
+
+def _visits(books, most: float):
+    """(vector, cell) rows: the multi-sequence traversal of the grid, nearest cells first, up to the cutoff."""
 
     def run(batches):
         c1, c2 = books.value
-        r1, r2 = radii.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in sliced(batches, 500):
             x = _normalised(np.array(pdf.v.tolist(), np.float64))
             h = x.shape[1] // 2
-            # Lower bounds of each half, nearest first. A little slack covers rounding.
-            b1 = np.maximum(_distances(x[:, :h], c1) - r1 - 1e-7, 0) ** 2
-            b2 = np.maximum(_distances(x[:, h:], c2) - r2 - 1e-7, 0) ** 2
-            rows = []
+            b1, b2 = _bounds(x[:, :h], c1), _bounds(x[:, h:], c2)
             o1, o2 = b1.argsort(1, kind="stable"), b2.argsort(1, kind="stable")
-            for n in range(len(x)):
-                s1, s2 = b1[n, o1[n]], b2[n, o2[n]]
-                for a in range(int(np.searchsorted(s1, most, "right"))):
-                    for b in range(int(np.searchsorted(s2, most - s1[a], "right"))):
-                        rows.append((n, o1[n, a], o2[n, b]))
-            at = np.array(rows, np.int64).reshape(-1, 3)
-            for lo in range(0, len(at), 20_000):
-                part = at[lo : lo + 20_000]
-                yield pd.DataFrame({"label": pdf.label.to_numpy()[part[:, 0]], "rep": pdf.rep.to_numpy()[part[:, 0]], "v": pdf.v.to_numpy()[part[:, 0]], "i": part[:, 1].astype(np.int32), "j": part[:, 2].astype(np.int32)})
+            s1, s2 = np.take_along_axis(b1, o1, 1), np.take_along_axis(b2, o2, 1)
+            n, a, b = np.nonzero(s1[:, :, None] + s2[:, None, :] <= most)
+            yield pd.DataFrame({"label": pdf.label.to_numpy()[n], "rep": pdf.rep.to_numpy()[n], "i": o1[n, a].astype(np.int32), "j": o2[n, b].astype(np.int32)})
 
     return run
 
@@ -138,14 +144,16 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroids: int = 32, sample: int = 8192) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroids: int = 32, sample: int = 8192, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors` (vec_id, embedding, label).
 
     Only vectors of equal, non-null labels and equal length are compared. Null, zero and empty vectors and those with null or
     non-finite components link with nothing. Equal vectors link with each other. vec_id names one vector. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    all_ = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string"))
+    # Floats travel as they are; all arithmetic is in double precision.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    all_ = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = F.coalesce(F.forall("v", finite) & F.exists("v", lambda c: c != 0) & F.col("label").isNotNull(), F.lit(False))
     all_ = all_.withColumn("v", F.when(good, F.col("v"))).withColumn("label", F.concat_ws(":", F.col("label"), F.size("v").cast("string")))
@@ -168,20 +176,23 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroid
         h = width // 2
         books = spark.sparkContext.broadcast((kmeans(x[:, :h], centroids), kmeans(x[:, h:], centroids)))
         cells = staged(
-            classes.where(F.size("v") == width).select("label", "rep", "copies", "v").mapInPandas(_assign(books), "label string, rep long, copies long, v array<double>, i int, j int, d1 double, d2 double"), "cells"
+            classes.where(F.size("v") == width).select("label", "rep", "copies", "v").mapInPandas(_assign(books), f"label string, rep long, copies long, v {kind}, i int, j int"), "cells"
         )
-        k1, k2 = (len(b) for b in books.value)
-        radii = [np.zeros(k1), np.zeros(k2)]
-        for half, (c, d) in enumerate((("i", "d1"), ("j", "d2"))):
-            for r in cells.groupBy(c).agg(F.max(d).alias("r")).collect():
-                radii[half][r[0]] = r[1]
-        radii = spark.sparkContext.broadcast(tuple(radii))
-        # A cell's residents are dealt to chunks; visitors go to every chunk of a cell that has residents.
-        sizes = cells.groupBy("label", "i", "j").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
-        residents = cells.join(sizes, ["label", "i", "j"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("label", "i", "j", "chunk", "rep", "copies", "v")
-        visits = cells.select("label", "rep", "v").mapInPandas(_visits(books, radii, 2 - 2 * threshold), "label string, rep long, v array<double>, i int, j int")
-        visitors = visits.join(sizes, ["label", "i", "j"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("label", "i", "j", "chunk", "rep", "v")
-        keys = ["label", "i", "j", "chunk"]
+        # A row of cells is cut into blocks of columns, and a block with many residents into chunks; its visitors are dealt to chunks too.
+        block = F.pmod("j", F.least(F.ceil(F.sum("count").over(Window.partitionBy("label", "i")) / CHUNK), F.lit(centroids)).cast("int"))
+        sizes = cells.groupBy("label", "i", "j").count().withColumn("block", block)
+        blocks = staged(sizes.groupBy("label", "i", "block").agg(F.ceil(F.sum("count") / CHUNK).cast("int").alias("chunks"), F.collect_list("j").alias("js")), "blocks")
+        visits = cells.select("label", "rep", "v").mapInPandas(_visits(books, cutoff(x, books.value, threshold, recall)), "label string, rep long, i int, j int")
+        # Cells without residents drop out; a block is visited once.
+        own = ["label", "i", "block"]
+        visits = staged(visits.join(blocks.select(*own, F.explode("js").alias("j")), ["label", "i", "j"]).select(*own, "rep").distinct(), "visits")
+        turns = blocks.drop("js").join(visits.groupBy(*own).agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("turns")), own)
+        dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        keys = [*own, "chunk", "turn"]
+        residents = cells.join(blocks.select("label", "i", "block", F.explode("js").alias("j")), ["label", "i", "j"]).join(turns, own)
+        residents = residents.withColumn("chunk", dealt("chunks")).withColumn("turn", every("turns")).select(*keys, "rep", "copies", "v")
+        visitors = visits.join(turns, own).withColumn("turn", dealt("turns")).withColumn("chunk", every("chunks")).select(*keys, "rep").join(cells.select("rep", F.col("v").alias("own_v")), "rep").select(*keys, "rep", F.col("own_v").alias("v"))
         met = visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(_verify(threshold), "rep long, links long, root long")
         found = met if found is None else found.union(met)
     if found is None:
