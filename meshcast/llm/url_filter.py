@@ -1,8 +1,9 @@
 """URL filter: rules for hosts and paths, and link-graph propagation for what no rule decides.
 
-Trust is a personalised PageRank from hosts that the rules allow, along host edges; distrust the same from blocked hosts along
-reversed edges. Edges are the links of the pages between hosts, and those of each host with its parent domain. A host whose distrust,
-relative to its seeds' mean, exceeds its trust by the threshold is blocked. DataFrame functions only; the iterations work on hosts, not on pages.
+Trust is a personalised PageRank from hosts that the rules allow, along the links of the pages between hosts; distrust the same from
+blocked hosts along reversed links. Besides, both pass from a parent domain down to its hosts, never up: what one host earns does
+not reach its siblings through the domain they share. A host whose distrust, relative to its seeds' mean, exceeds its trust by the
+threshold is blocked. DataFrame functions only; the iterations work on hosts, not on pages, and end when the scores stand still.
 """
 
 from __future__ import annotations
@@ -40,18 +41,33 @@ def _best(host, path, rules):
     return F.greatest(*fits, F.lit(None).cast("struct<n:int,rule:string,action:string>"))
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: (host, score). edges: (src, dst, share), the shares of a source sum to 1."""
-    rank = seeds.select("host", F.col("seed").alias("score"))
-    for turn in range(rounds):
-        moved = edges.join(rank, edges.src == rank.host).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("share") * F.col("score")) * damping).alias("score"))
-        rank = moved.union(seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        if turn % 4 == 3:
-            rank = staged(rank, "rank")
-    return rank
+ROUNDS_AT_ONCE = 4  # rounds between two tests of convergence
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 0.0) -> DataFrame:
+def _spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Personalised PageRank of each side: (side, host, score), once no score moves by more than `tolerance` in ROUNDS_AT_ONCE rounds.
+
+    edges: (side, src, dst, share), the shares of a source sum to 1 on each side; seeds: (side, host, seed). What a round can still
+    move shrinks by the damping (below 1) each time, so that it ends.
+    """
+    start = seeds.select("side", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    rank = seeds.select("side", "host", F.col("seed").alias("score"))
+    while True:
+        new = rank
+        for _ in range(ROUNDS_AT_ONCE):
+            at = new.select(F.col("side").alias("s"), "host", "score")
+            moved = edges.join(at, (edges.side == at.s) & (edges.src == at.host)).select("side", F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
+            new = moved.union(start).groupBy("side", "host").agg(F.sum("score").alias("score"))
+        new = staged(new, "rank")
+        # A host without seeds that is reached no more has left `new`.
+        both = new.union(rank.select("side", "host", -F.col("score"))).groupBy("side", "host").agg(F.abs(F.sum("score")).alias("change"))
+        change = both.agg(F.max("change")).first()[0]
+        rank = new
+        if change is None or change <= tolerance:
+            return rank
+
+
+def url_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-9, threshold: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, host_score: one row per row of `pages` (page_id, url, html).
 
     A null url or one without :// has an empty host and path. The rule that wins is the longest; without one the host's score
@@ -66,21 +82,21 @@ def url_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: i
     hosts = staged(
         judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("best.action") == "allow").alias("allowed"), F.count_if(F.col("best.action") == "block").alias("blocked"), F.count("*").alias("pages")), "hosts"
     )
-    up = hosts.select("host", F.expr("substring(host, instr(host, '.') + 1)").alias("parent")).where("instr(host, '.') > 0 and instr(parent, '.') > 0")
-    edges = links.union(up.select("host", "parent", F.lit(1.0))).union(up.select("parent", "host", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    edges = staged(edges, "edges")
-    forward = edges.join(edges.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share"))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    back = back.join(back.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share"))
-
-    def seeds(column: str) -> DataFrame:
+    down = hosts.select(F.expr("substring(host, instr(host, '.') + 1)").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("w")).where("instr(dst, '.') > 0 and instr(src, '.') > 0")
+    links = staged(links, "links")
+    edges = links.union(down).select(F.lit("trust").alias("side"), "*").union(links.select("dst", "src", "w").union(down).select(F.lit("distrust"), "*"))
+    edges = staged(edges.groupBy("side", "src", "dst").agg(F.sum("w").alias("w")), "edges")
+    shares = edges.join(edges.groupBy("side", "src").agg(F.sum("w").alias("all")), ["side", "src"]).select("side", "src", "dst", (F.col("w") / F.col("all")).alias("share"))
+
+    def seeds(side: str, column: str) -> DataFrame:
         # A host is a seed by the share of its pages that the rules decide so; the seeds' mean is 1.
         s = hosts.where(F.col(column) > 0).select("host", (F.col(column) / F.col("pages")).alias("s"))
         mean = s.agg(F.avg("s")).first()[0] or 1.0
-        return s.select("host", (F.col("s") / F.lit(mean)).alias("seed"))
+        return s.select(F.lit(side).alias("side"), "host", (F.col("s") / F.lit(mean)).alias("seed"))
 
-    trust = _spread(staged(forward, "forward"), staged(seeds("allowed"), "trusted"), damping, rounds).select("host", F.col("score").alias("trust"))
-    distrust = _spread(staged(back, "back"), staged(seeds("blocked"), "distrusted"), damping, rounds).select("host", F.col("score").alias("distrust"))
+    rank = _spread(staged(shares, "shares"), staged(seeds("trust", "allowed").union(seeds("distrust", "blocked")), "seeds"), damping, tolerance)
+    trust = rank.where("side = 'trust'").select("host", F.col("score").alias("trust"))
+    distrust = rank.where("side = 'distrust'").select("host", F.col("score").alias("distrust"))
     score = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
     score = staged(score.select("host", F.round(F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)), 9).alias("host_score")), "scores")
     return judged.join(score, "host", "left").select(

@@ -171,6 +171,27 @@ def test_urls(spark):
     assert out[6] == ("example.com", "/de/1", "com/de/", "block")
 
 
+def test_url_scores(spark):
+    # Blocked and undecided pages under one domain, and a ring of links that a blocked host belongs to.
+    rows = [(1, "http://a.example.com/de/1", None), (2, "http://b.example.com/x", None), (3, "http://example.com/x", None), (4, "http://sub.c.com/x", None), (5, "http://c.com/de/1", None)]
+    ring = [f"h{i}.net" for i in range(12)]
+    rows += [(10 + i, f"http://{h}/x", f"<a href='http://{ring[(i + 1) % 12]}/y'>") for i, h in enumerate(ring)] + [(40, "http://h0.net.com/de/", '<a href="//h3.net/">')]
+    rows += [(41, "http://h5.net/y", "<a href=http://h0.net.com/>")]
+    got = {r.host: (r.verdict, r.host_score) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), damping=0.6).where("rule is null").collect()}
+    assert got["b.example.com"] == ("allow", 0.0) and got["example.com"] == ("allow", 0.0)
+    assert got["sub.c.com"][0] == "block" and got["sub.c.com"][1] < 0
+    # Distrust by a dense solution: all seeds are 1; links are walked backwards, parents down.
+    edges = [(ring[(i + 1) % 12], h) for i, h in enumerate(ring)] + [("h0.net.com", "h5.net"), ("h3.net", "h0.net.com"), ("c.com", "sub.c.com"), ("example.com", "a.example.com"), ("example.com", "b.example.com")]
+    edges += [("net.com", "h0.net.com")]
+    hosts = sorted({x for e in edges for x in e})
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in edges:
+        m[hosts.index(b), hosts.index(a)] = 1 / sum(e[0] == a for e in edges)
+    seed = np.array([h in ("a.example.com", "c.com", "h0.net.com") for h in hosts], float)
+    exact = dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - 0.6 * m, 0.4 * seed)))
+    assert all(score == pytest.approx(-exact[h], abs=1e-8) for h, (_, score) in got.items())
+
+
 def test_decontamination(spark):
     item = " ".join(f"word{i}" for i in range(40))
     near = item.replace("word39", "other")
