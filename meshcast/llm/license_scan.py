@@ -1,10 +1,9 @@
 """License scan by a positional rare-token index, with DataFrame functions only.
 
 The vocabulary of the templates is fixed and small. One pass over every whole text keeps the positions of vocabulary words; the
-inverse document frequencies of those words come from all rows. In each template the words are looked up from the highest IDF on:
-a word at position p that the template holds at offset r votes for an alignment at p - r, and the alignments of successive words are
-intersected. A template is a label if enough of its IDF weight agrees on one alignment and its mandatory key phrase stands there
-word by word. Everything after the first pass is local to a row, so that no key can be hot.
+inverse document frequencies of those words come from all rows. A word at position p that a template holds at offset r votes for the
+alignment at p - r with its IDF, and the votes are summed by alignment. A template is a label if enough of its IDF weight agrees on
+one alignment and its mandatory key phrase stands there word by word. Everything after the first pass is local to a row, so that no key can be hot.
 """
 
 from __future__ import annotations
@@ -57,17 +56,29 @@ def _places(hits, phrase: str):
     return out
 
 
-def _aligned(hits, template: str, idf: dict[str, float]):
-    """struct(at, got): the alignments that most looked-up words agree on, rarest first, and their IDF weight."""
-    own = sorted(((w, i) for i, w in enumerate(template.split()) if w not in STOP), key=lambda x: (-idf[x[0]], x))
-    votes = F.array(*(F.struct(_starts(hits, w, i).alias("at"), F.lit(idf[w]).alias("idf")) for w, i in own))
+def _aligned(hits, template: str, key: str, idf: dict[str, float], least: float):
+    """struct(share, ok): the largest share of the template's IDF weight that agrees on one alignment, and whether an alignment with
+    the key phrase in its place has a share of `least`. Votes are sorted by alignment and summed in one pass."""
+    words = template.split()
+    own = [(w, i) for i, w in enumerate(words) if w not in STOP]
+    weight = sum(idf[w] for w, _ in own)
 
-    def meet(acc, x):
-        both = F.when(acc.got > 0, F.array_intersect(acc.at, x.at)).otherwise(x.at)
-        return F.when(F.size(both) > 0, F.struct(both.alias("at"), (acc.got + x.idf).alias("got"))).otherwise(acc)
+    def votes(places, value: float, key: bool):
+        return F.transform(places, lambda at: F.struct(at.alias("at"), F.lit(value).alias("idf"), F.lit(key).alias("key")))
 
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0.0).alias("got"))
-    return F.aggregate(votes, start, meet), sum(idf[w] for w, _ in own)
+    cast = [votes(_starts(hits, w, i), idf[w], False) for w, i in own]
+    cast.append(votes(_moved(_places(hits, key), words.index(key.split()[0])), 0.0, True))
+
+    def count(acc, x):
+        same = F.coalesce(acc.at == x.at, F.lit(False))
+        got = F.when(same, acc.got).otherwise(0.0) + x.idf
+        stands = (same & acc.key) | x.key
+        # Rounded, so that a whole template is 1 whatever the order of additions.
+        share = F.round(got / F.lit(weight), 9)
+        return F.struct(x.at.alias("at"), got.alias("got"), stands.alias("key"), F.greatest(acc.share, share).alias("share"), (acc.ok | (stands & (share >= least))).alias("ok"))
+
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("got"), F.lit(False).alias("key"), F.lit(0.0).alias("share"), F.lit(False).alias("ok"))
+    return F.aggregate(F.array_sort(F.flatten(F.array(*cast))), start, count, lambda acc: F.struct(acc.share.alias("share"), acc.ok.alias("ok")))
 
 
 def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -94,14 +105,8 @@ def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     places = [_places(hits, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
     aligned, found = [], []
     for i, (label, template, key) in enumerate(TEMPLATES):
-        expr, weight = _aligned(hits, template, idf)
-        aligned.append(expr.alias(f"t{i}"))
-        offset = template.split().index(key.split()[0])
-        aligned.append(_moved(_places(hits, key), offset).alias(f"k{i}"))
-        # Rounded, so that a whole template is 1 whatever the order of additions.
-        share = F.round(F.col(f"t{i}.got") / F.lit(weight), 9)
-        ok = (share >= least) & F.arrays_overlap(F.col(f"t{i}.at"), F.col(f"k{i}"))
-        found.append((label, ok, share))
+        aligned.append(_aligned(hits, template, key, idf, least).alias(f"t{i}"))
+        found.append((label, F.col(f"t{i}.ok"), F.col(f"t{i}.share")))
     some = rows.where(F.size("hits") > 0).select("doc_id", "n_words", *places, *aligned)
     base = F.concat(*(F.col(f"b{i}") for i in range(len(BASE))))
     base_labels = [F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]

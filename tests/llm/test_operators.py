@@ -81,6 +81,27 @@ def test_licence_templates(spark):
     assert (row.base_labels, row.labels) == ("gpl", "bsd,gpl,lgpl")
 
 
+def test_licence_votes_of_every_alignment(spark):
+    mit = "permission is hereby granted free of charge to any person getting a copy"
+    texts = [mit, f"{mit} before obtaining more", f"obtaining {mit} obtaining " * 3, "permission is hereby granted to nobody, obtaining a copy", "granted hereby"]
+    docs = spark.createDataFrame([*enumerate(texts), *((i, "other words") for i in range(10, 60))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    idf = {w: np.log((len(rows) + 1) / (sum(w in t.split() for t in texts) + 1)) + 1e-3 for w in license_scan.vocabulary()}
+    word = re.compile(r"[a-z]+")
+    for i, text in enumerate(texts):
+        shares = []
+        for _, template, _ in license_scan.TEMPLATES:
+            own = [(w, j) for j, w in enumerate(template.split()) if w not in license_scan.STOP]
+            sums = {}
+            for w, j in own:
+                for p, x in enumerate(word.findall(text)):
+                    if x == w:
+                        sums[p - j] = sums.get(p - j, 0) + idf[w]
+            shares.append(max(sums.values(), default=0) / sum(idf[w] for w, _ in own))
+        assert rows[i].score == pytest.approx(max(shares), abs=1e-8)
+    assert [rows[i].labels for i in range(5)] == ["mit", "mit", "mit", "", ""]
+
+
 def test_pii(odd, docs):
     rows = pii.pii_spans(docs.union(odd.select("doc_id", "text"))).collect()
     assert len(rows) == docs.count() + 9
