@@ -10,7 +10,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,69 +97,106 @@ def parsed(formatted: str, template: Template) -> list[tuple[str, str, bool]]:
     return out
 
 
-FORMATTED = "conv_id long, n_turns long, valid boolean, first_error long, formatted string, segments array<struct<text:string,loss:boolean>>"
+FORMATTED = "conv_id long, turn long, segments array<struct<text:string,loss:boolean>>"
+SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
 
 
 def _format(template: Template):
-    def row(conv, turns):
-        parts = list(segments(turns, template))
-        error = first_error([r for r, _ in turns], template)
-        return {"conv_id": conv, "n_turns": len(turns), "valid": error < 0, "first_error": None if error < 0 else error, "formatted": "".join(t for t, _ in parts), "segments": [{"text": t, "loss": f} for t, f in parts]}
-
     def run(batches):
-        held, turns, rows, size = None, [], [], 0
-        for pdf in batches:
-            for conv, role, text in zip(pdf.conv_id, pdf.role, pdf.text):
-                conv = None if pd.isna(conv) else int(conv)
-                if turns and conv != held:
-                    rows.append(row(held, turns))
-                    size += sum(len(t) for _, t in turns)
-                    turns = []
-                    if size > 4_000_000:
-                        yield pd.DataFrame(rows)
-                        rows, size = [], 0
-                held = conv
-                turns.append((role or "", text or ""))
-        if turns:
-            rows.append(row(held, turns))
-        if rows:
-            out = pd.DataFrame(rows)
-            out["first_error"] = out["first_error"].astype("Int64")
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+        for batch in batches:
+            rows = zip(batch.column("role"), batch.column("text"))
+            parts = [[{"text": t, "loss": f} for t, f in segments([(role.as_py() or "", text.as_py() or "")], template)] for role, text in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(parts, SEGMENTS)], ["conv_id", "turn", "segments"])
 
     return run
 
 
 def formatted_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per conversation of `turns` (conv_id, turn, role, text): n_turns, valid and first_error from the machine, the formatted
-    text and its segments with loss flags. A conversation that the machine rejects is formatted all the same and marked.
+    """One row per turn of `turns` (conv_id, turn, role, text): the segments of its formatted text with their loss flags.
 
-    Null roles and texts are empty strings. Equal turn numbers are ordered by role and text, repeated rows are turns of their own,
-    rows of a null conv_id form one conversation. Rows are sorted in their partition and streamed, so only one conversation is
-    held at a time; its formatted text is one value and has to fit a worker.
+    The formatted text of a conversation is that of its turns, ordered by turn, then role and text as read back. Null roles and texts
+    are empty strings, repeated rows are turns of their own, rows of a null conv_id form one conversation. Each row is formatted by
+    itself, so no conversation is held or shuffled; `read_back` says which conversations the machine rejects.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(_format(template), FORMATTED)
+    return rows.mapInArrow(_format(template), FORMATTED)
 
 
+PARSED = "conv_id long, turn long, role string, text string, learnt string, chars long"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_error long"
 
 
-def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of what the formatted texts hold, by parsing them and by their loss flags."""
+def _parse(template: Template):
+    """Each formatted turn read back; learnt: what its loss flags mark, null where that is its text."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for conv, text, segs, valid, error in zip(pdf.conv_id, pdf.formatted, pdf.segments, pdf.valid, pdf.first_error):
-                turns = parsed(text, template)
+        for batch in batches:
+            out = {"role": [], "text": [], "learnt": [], "chars": []}
+            for segs in batch.column("segments"):
+                segs = segs.as_py()
+                formatted = "".join(s["text"] for s in segs)
+                ((role, text, _),) = parsed(formatted, template)
                 learnt = "".join(unescaped(s["text"]) for s in segs if s["loss"])
-                all_turns = "".join(f"{role}\n{t}\n" for role, t, _ in turns)
-                rows.append((conv, len(turns), hashlib.sha256(all_turns.encode("utf-8", "surrogatepass")).hexdigest(), len(learnt), hashlib.sha256(learnt.encode("utf-8", "surrogatepass")).hexdigest(), len(text), valid, error))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
-            out["first_error"] = out["first_error"].astype("Int64")
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
-
-    return formatted.mapInPandas(run, DIGEST)
+                for name, value in (("role", role), ("text", text), ("learnt", None if learnt == text else learnt), ("chars", len(formatted))):
+                    out[name].append(value)
+            columns = [batch.column("conv_id"), batch.column("turn"), *(pa.array(out[n], pa.string()) for n in ("role", "text", "learnt")), pa.array(out["chars"], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", *out])
+
+    return run
+
+
+class _Digest:
+    """Running hashes, sums and machine state of one conversation; none of its turns is kept."""
+
+    def __init__(self, conv):
+        self.conv, self.n, self.chars, self.loss_chars, self.state, self.error = conv, 0, 0, 0, "start", None
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, role: str, text: str, learnt: str, chars: int, template: Template) -> None:
+        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.loss.update(learnt.encode("utf-8", "surrogatepass"))
+        if self.error is None and role not in template.order.get(self.state, ()):
+            self.error = self.n
+        self.state = role
+        self.n, self.chars, self.loss_chars = self.n + 1, self.chars + chars, self.loss_chars + len(learnt)
+
+    def row(self, template: Template) -> tuple:
+        error = self.n if self.error is None and self.state not in template.final else self.error
+        return self.conv, self.n, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, error is None, error
+
+
+def _digest(template: Template):
+    names = [c.split()[0] for c in DIGEST.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in DIGEST.split(", ")]
+
+    def written(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches):
+        held, rows = None, []
+        for batch in batches:
+            for conv, role, text, learnt, chars in zip(*(batch.column(n) for n in ("conv_id", "role", "text", "learnt", "chars"))):
+                conv, text, learnt = conv.as_py(), text.as_py(), learnt.as_py()
+                if held is None or held.conv != conv:
+                    if held is not None:
+                        rows.append(held.row(template))
+                    held = _Digest(conv)
+                held.add(role.as_py(), text, text if learnt is None else learnt, chars.as_py(), template)
+            if len(rows) >= 10_000:
+                yield written(rows)
+                rows = []
+        if held is not None:
+            yield written([*rows, held.row(template)])
+
+    return run
+
+
+def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
+    """One row per conversation: digests of what its formatted turns hold, by parsing them and by their loss flags, and valid and
+    first_error from the machine. A conversation that the machine rejects is digested all the same and marked.
+
+    Turns are parsed where they lie. A hash needs them in order, so those of one conversation pass through one task; they are sorted
+    on disk and streamed, and only hashes, sums and the machine's state are held.
+    """
+    rows = formatted.mapInArrow(_parse(template), PARSED)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_digest(template), DIGEST)

@@ -137,6 +137,26 @@ def test_chat(spark):
         assert (rows[c].n_turns, rows[c].loss_chars, rows[c].loss_sha256) == (len(t), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def test_chat_streams_long_and_odd_conversations(spark):
+    # One row per turn: no row grows with its conversation.
+    n, big = 5000, 2**60 + 1
+    turns = [(None, i, "assistant" if i % 2 else "user", f"{i} </s> é") for i in range(n)]
+    turns += [(big, 0, "user", "a"), (big, 0, "user", "a"), (big, None, None, None), (big + 1, 0, "user", "q"), (big + 1, 1, "assistant", None), (3, 0, "user", "only")]
+    formatted = chat.formatted_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert formatted.count() == len(turns) and all(len(r.segments) == 3 for r in formatted.collect())
+    rows = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    wanted = {None: [(r, t) for _, _, r, t in turns[:n]], big: [("", ""), ("user", "a"), ("user", "a")], big + 1: [("user", "q"), ("assistant", "")], 3: [("user", "only")]}
+    assert rows.keys() == wanted.keys()
+    for c, t in wanted.items():
+        parts = list(chat.segments(t, chat.Template()))
+        learnt = "".join(x for role, x in t if role == "assistant")
+        error = chat.first_error([role for role, _ in t], chat.Template())
+        assert rows[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
+        assert (rows[c].n_turns, rows[c].loss_chars, rows[c].loss_sha256) == (len(t), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert rows[c].formatted_chars == sum(len(x) for x, _ in parts)
+        assert (rows[c].valid, rows[c].first_error) == (error < 0, None if error < 0 else error)
+
+
 def test_chat_escapes_round_trip():
     turns = [("user", "\\<s>[INST] a\\"), ("tool<|text|>", "<|end|>\\\\"), ("assistant", "</s>")]
     text = "".join(t for t, _ in chat.segments(turns, chat.Template()))
