@@ -10,6 +10,10 @@ away. Beyond 2 - 2t no cell can hold a partner at cosine >= t; few partners move
 earlier, where the target recall is reached for partners drawn at the threshold itself. Candidates are verified by the cosine in
 double precision.
 
+Visits are not symmetric: a vector may reach a partner's cell that does not reach its own. Where they meet, the visitor gets the link,
+and the resident too unless its own traversal reaches the visitor's block, where it gets the link as a visitor. So both ends of each
+found link count it once.
+
 Equal vectors of one label are one class, compared once. A cell's residents and visitors meet in chunks of bounded size, and each pair of
 chunks gives counts and a spanning forest of its links instead of pairs.
 """
@@ -125,12 +129,21 @@ def _verify(threshold: float):
         if len(left) and len(right):
             residents = _normalised(np.array(right.v.tolist(), np.float64))
             rid, copies = right.rep.to_numpy(np.int64), right.copies.to_numpy(np.int64)
+            seen = np.concatenate(right.seen.tolist())
+            owner = np.repeat(np.arange(len(right)), right.seen.str.len())
+            credit = np.zeros(len(right), np.int64)
             for lo in range(0, len(left), CHUNK):
                 part = left.iloc[lo : lo + CHUNK]
                 vid = part.rep.to_numpy(np.int64)
                 hit = _normalised(np.array(part.v.tolist(), np.float64)) @ residents.T >= threshold
                 hit &= vid[:, None] != rid[None, :]
                 links = hit @ copies
+                # Residents that reach the visitor's block count the link there.
+                homes, own = np.unique(part.home.to_numpy(), return_inverse=True)
+                at = np.minimum(np.searchsorted(homes, seen), len(homes) - 1)
+                reach = np.zeros((len(homes), len(rid)), bool)
+                reach[at[homes[at] == seen], owner[homes[at] == seen]] = True
+                credit += (hit & ~reach[own]).T @ part.copies.to_numpy(np.int64)
                 a, b = np.nonzero(hit)
                 ids = np.unique(np.concatenate([vid, rid]))
                 mark = forest(len(ids), np.searchsorted(ids, vid[a]), np.searchsorted(ids, rid[b]))
@@ -139,6 +152,8 @@ def _verify(threshold: float):
                     out.append(pd.DataFrame({"rep": vid[links > 0], "links": links[links > 0], "root": pd.array([None] * int((links > 0).sum()), "Int64")}))
                 if len(some):
                     out.append(pd.DataFrame({"rep": ids[some], "links": np.int64(0), "root": pd.array(ids[mark[some]], "Int64")}))
+            if credit.any():
+                out.append(pd.DataFrame({"rep": rid[credit > 0], "links": credit[credit > 0], "root": pd.array([None] * int((credit > 0).sum()), "Int64")}))
         return pd.concat(out) if out else pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": pd.array([], "Int64")})
 
     return run
@@ -190,9 +205,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroid
         dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         keys = [*own, "chunk", "turn"]
-        residents = cells.join(blocks.select("label", "i", "block", F.explode("js").alias("j")), ["label", "i", "j"]).join(turns, own)
-        residents = residents.withColumn("chunk", dealt("chunks")).withColumn("turn", every("turns")).select(*keys, "rep", "copies", "v")
-        visitors = visits.join(turns, own).withColumn("turn", dealt("turns")).withColumn("chunk", every("chunks")).select(*keys, "rep").join(cells.select("rep", F.col("v").alias("own_v")), "rep").select(*keys, "rep", F.col("own_v").alias("v"))
+        # Blocks by number: those that a vector visits, at most all of the grid, and its own.
+        number = (F.col("i") * centroids + F.col("block")).cast("int")
+        seen = visits.groupBy("rep").agg(F.collect_list(number).alias("seen"))
+        placed = cells.join(blocks.select("label", "i", "block", F.explode("js").alias("j")), ["label", "i", "j"])
+        residents = placed.join(turns, own).join(seen, "rep")
+        residents = residents.withColumn("chunk", dealt("chunks")).withColumn("turn", every("turns")).select(*keys, "rep", "copies", "v", "seen")
+        visitors = visits.join(turns, own).withColumn("turn", dealt("turns")).withColumn("chunk", every("chunks")).select(*keys, "rep")
+        visitors = visitors.join(placed.select("rep", F.col("copies").alias("own_copies"), number.alias("home"), F.col("v").alias("own_v")), "rep")
+        visitors = visitors.select(*keys, "rep", F.col("own_copies").alias("copies"), "home", F.col("own_v").alias("v"))
         met = visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(_verify(threshold), "rep long, links long, root long")
         found = met if found is None else found.union(met)
     if found is None:

@@ -202,6 +202,33 @@ def test_embeddings(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows} == {i: (n[i], wanted[i], wanted[i] == i) for i in good}
 
 
+def planted_vectors(spark, each):
+    """Real vectors under one label, each with a noisy copy at cosine 0.93 to 0.97 that differs in all components, in one half, or towards another vector: (rows, pairs)."""
+    rng = np.random.default_rng(5)
+    x = np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(each).collect()], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    h = x.shape[1] // 2
+    z[1::4, :h], z[2::4, h:], z[3::4] = 0, 0, np.roll(x, 1, axis=0)[3::4]
+    z -= (z * x).sum(1)[:, None] * x
+    c = rng.uniform(0.9301, 0.97, len(x))[:, None]
+    y = c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    rows = [(i, [float(f) for f in v], "a") for i, v in enumerate(np.vstack([x, y]))]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), np.vstack([x, y])
+
+
+def test_embedding_links_count_at_both_ends(spark):
+    # At a low target recall many links are found from one side only.
+    v, x = planted_vectors(spark, 400)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    rows = {r.vec_id: r for r in embeddings.near_duplicate_vectors(v, recall=0.5).collect()}
+    pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b and near[a].sum() == near[b].sum() == 1]
+    assert len(pairs) > 300
+    found = [(rows[a].n_links, rows[b].n_links, rows[a].component_id == rows[b].component_id) for a, b in pairs]
+    assert set(found) <= {(0, 0, False), (1, 1, True)} and (1, 1, True) in found
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.org/es/x?y", None), (2, "https://example.org/en/12", ""), (3, "http://x.com/fr/", None), (4, "x.com/de/", None), (5, None, None), (6, "ftp://example.com/de/1#z", None), (7, "http://b.org", None)]
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
