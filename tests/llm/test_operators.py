@@ -230,6 +230,17 @@ def test_embedding_links_count_at_both_ends(spark, monkeypatch):
     assert set(found) <= {(0, 0, False), (1, 1, True)} and (1, 1, True) in found
 
 
+def test_embedding_recall(spark):
+    v, x = planted_vectors(spark, 500)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    rows = {r.vec_id: r for r in embeddings.near_duplicate_vectors(v).collect()}
+    found, wanted = sum(r.n_links for r in rows.values()), int(near.sum())
+    print(f"recall {found} of {wanted} ends of links")
+    assert all(r.n_links <= near[i].sum() for i, r in rows.items())
+    assert wanted >= 900 and found >= 0.99 * wanted
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.org/es/x?y", None), (2, "https://example.org/en/12", ""), (3, "http://x.com/fr/", None), (4, "x.com/de/", None), (5, None, None), (6, "ftp://example.com/de/1#z", None), (7, "http://b.org", None)]
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
