@@ -32,6 +32,7 @@ from .common import connected_components, shingle_hashes, sliced, staged, word_h
 
 BUCKETS = 22  # bits: size of the table that orders shingles by frequency; it does not grow with the data
 LONG_LIST = 1 << 14  # a list that may hold more entries than this, and more than the mean bucket 16 times over, is salted
+SHORT_LIST = 16  # entries of a list whose pairs are counted before any set is read
 POSITIONS = 8  # blocks of positions in a prefix
 
 
@@ -157,11 +158,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
     entries = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "id").mapInPandas(_shared, entries.schema)
     lists = staged(entries.select("h", "id", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p")), "lists")
 
-    # Sets that share a list, read from one of their documents. Spark broadcasts the ids or not by their stored size.
-    wanted = lists.select("id").distinct()
-    found = staged(member.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "found")
+    lists = staged(_promising(lists, percent), "promising")
+
+    # Their sets, each read from one of its documents. Spark broadcasts the ids or not by their stored size.
+    rep = F.min("doc_id").alias("doc_id")
+    found = staged(member.join(lists.select("id").distinct(), "id").groupBy("id", "doc_id").agg(F.count("*").alias("rows")).groupBy("id").agg(rep, F.min_by("rows", "doc_id").alias("rows")), "found")
     sets = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_sets(k), "id long, shingles array<long>")
-    sets = staged(sets.join(found.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sets = sets.join(found.select("id"), "id", "left_semi")
+    if not found.where("rows > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])
+    sets = staged(sets, "sets")
 
     answers, linked = _answers(lists, sets, percent, star_rounds)
     component = staged(connected_components(linked, "id", "leader"), "components").withColumnRenamed("node", "id")
@@ -180,6 +186,34 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
     return rows.join(names, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
+def _promising(lists: DataFrame, percent: int) -> DataFrame:
+    """The entries of sets that share enough of their prefix to link with anything.
+
+    Of two linked sets, the one whose prefix ends first shares all but what lies beyond its prefix, at least `least` shingles, with the
+    other's prefix. In short lists, pairs are counted; a set's entries in long lists may all be shared with the same partner.
+    """
+    c = F.col
+
+    def least(n, m):
+        return _needed(percent, n, m) - F.ceil(F.greatest(n, m) * percent / 100.0 - 1e-6).cast("int") + 1
+
+    entries = lists.join(lists.groupBy("h").agg(F.count("*").alias("sets"), F.min("n").alias("n0"), F.max("n").alias("n1")), "h")
+    # The partner's size lies between a long list's ends; between these, `least` falls below both ends by one at most, where it is rounded.
+    n, long = c("n"), c("sets") > SHORT_LIST
+    low, high = F.greatest("n0", F.ceil(n * percent / 100.0 - 1e-6)).cast("int"), F.least("n1", F.floor(n * 100.0 / percent + 1e-6)).cast("int")
+    own = entries.where(long).groupBy("id").agg(F.count("*").alias("long"), (F.min(F.least(least(n, low), least(n, high))) - 1).alias("least"))
+    short = entries.where(~long).select("h", "id", "n", "p")
+    x, y = (short.select("h", *(c(i).alias(i + s) for i in ("id", "n", "p"))) for s in ("_x", "_y"))
+    fits = F.least("p_x", "p_y") + F.least(c("n_x") - c("p_x"), c("n_y") - c("p_y")) >= _needed(percent, c("n_x"), c("n_y"))
+    pairs = x.join(y, "h").where((c("id_x") < c("id_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & fits)
+    pairs = pairs.groupBy("id_x", "id_y").agg(F.count("*").alias("shared"), F.first(least(c("n_x"), c("n_y"))).alias("least"))
+    longs = lambda s: own.select(c("id").alias("id" + s), c("long").alias("long" + s))
+    both = F.when(c("long_x").isNotNull() & c("long_y").isNotNull(), F.least("long_x", "long_y")).otherwise(0)
+    pairs = pairs.join(longs("_x"), "id_x", "left").join(longs("_y"), "id_y", "left").where(c("shared") + both >= c("least"))
+    kept = pairs.select(F.explode(F.array("id_x", "id_y")).alias("id")).union(own.where("long >= least").select("id")).distinct()
+    return lists.join(kept, "id", "left_semi")
+
+
 def _answers(lists: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Every set against the leader that it shares most lists with: (id, n, leader, leader_n, both, diff), and the links among them.
 
@@ -199,9 +233,10 @@ def _answers(lists: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tu
         # Linked sets lie in the same size band or in neighbouring ones. A leader comes before its followers in the order, so none follows itself.
         near = ranked.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
         met = near.join(leaders, ["h", "band"]).where(F.col("leader") < F.col("order")).groupBy("id", "leader").count()
-        pairs = met.groupBy("id").agg(F.max_by("leader.id", F.struct("count", -F.col("leader.least"), "leader.id")).alias("leader"))
+        pairs = staged(met.groupBy("id").agg(F.max_by("leader.id", F.struct("count", -F.col("leader.least"), "leader.id")).alias("leader")), "followers")
         one = pairs.join(sets, "id").withColumnRenamed("shingles", "own")
-        both = one.join(sets.select(F.col("id").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        theirs = sets.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.col("shingles").alias("theirs"))
+        both = one.join(theirs, "leader")
         lost, more = F.array_except("theirs", "own"), F.array_except("own", "theirs")
         both = both.select("id", F.size("own").alias("n"), "leader", F.size("theirs").alias("leader_n"), lost.alias("lost"), more.alias("more")).withColumn("both", F.col("leader_n") - F.size("lost"))
         diff = F.when(4 * F.col("both") >= F.col("n") + F.col("leader_n"), F.concat("lost", "more"))
