@@ -32,7 +32,7 @@ from .common import connected_components, shingle_hashes, sliced, staged, word_h
 
 BUCKETS = 22  # bits: size of the table that orders shingles by frequency; it does not grow with the data
 LONG_LIST = 1 << 14  # a list that may hold more entries than this, and more than the mean bucket 16 times over, is salted
-SHORT_LIST = 16  # entries of a list whose pairs are counted before any set is read
+SHORT_LIST = 64  # entries of a list whose pairs are counted before any set is read
 POSITIONS = 8  # blocks of positions in a prefix
 
 
@@ -163,7 +163,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
     # Their sets, each read from one of its documents. Spark broadcasts the ids or not by their stored size.
     rep = F.min("doc_id").alias("doc_id")
     found = staged(member.join(lists.select("id").distinct(), "id").groupBy("id", "doc_id").agg(F.count("*").alias("rows")).groupBy("id").agg(rep, F.min_by("rows", "doc_id").alias("rows")), "found")
-    sets = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_sets(k), "id long, shingles array<long>")
+    sets = docs.join(found.select("doc_id"), "doc_id", "left_semi").mapInPandas(_sets(k), "id long, shingles array<long>")
     sets = sets.join(found.select("id"), "id", "left_semi")
     if not found.where("rows > 1").isEmpty():
         sets = sets.dropDuplicates(["id"])
@@ -235,7 +235,7 @@ def _answers(lists: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tu
         met = near.join(leaders, ["h", "band"]).where(F.col("leader") < F.col("order")).groupBy("id", "leader").count()
         pairs = staged(met.groupBy("id").agg(F.max_by("leader.id", F.struct("count", -F.col("leader.least"), "leader.id")).alias("leader")), "followers")
         one = pairs.join(sets, "id").withColumnRenamed("shingles", "own")
-        theirs = sets.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.col("shingles").alias("theirs"))
+        theirs = sets.join(pairs.select(F.col("leader").alias("id")), "id", "left_semi").select(F.col("id").alias("leader"), F.col("shingles").alias("theirs"))
         both = one.join(theirs, "leader")
         lost, more = F.array_except("theirs", "own"), F.array_except("own", "theirs")
         both = both.select("id", F.size("own").alias("n"), "leader", F.size("theirs").alias("leader_n"), lost.alias("lost"), more.alias("more")).withColumn("both", F.col("leader_n") - F.size("lost"))
@@ -301,5 +301,7 @@ def _crossed(lists: DataFrame, sets: DataFrame, leader: DataFrame, component: Da
     # All shingles that both prefixes share are counted. The set whose prefix ends first shares no more of its prefix than these.
     beyond = F.greatest(*(F.ceil(c(n) * percent / 100.0 - 1e-6) for n in ("xn", "n"))) - 1
     pairs = met.groupBy(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).agg(F.count("*").alias("shared"), F.first(_needed(percent, c("xn"), c("n")) - beyond).alias("least")).where("shared >= least").select("x", "y")
-    one = staged(pairs, "pairs").join(sets.select(c("id").alias("x"), c("shingles").alias("sx")), "x").join(sets.select(c("id").alias("y"), c("shingles").alias("sy")), "y")
+    pairs = staged(pairs, "pairs")
+    own = lambda i, name: sets.join(pairs.select(c(i).alias("id")), "id", "left_semi").select(c("id").alias(i), c("shingles").alias(name))
+    one = pairs.join(own("x", "sx"), "x").join(own("y", "sy"), "y")
     return one.where(F.size(F.array_intersect("sx", "sy")) >= _needed(percent, F.size("sx"), F.size("sy"))).select(c("x").alias("id"), c("y").alias("leader"))
