@@ -138,22 +138,19 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         out.append((bin_, 1 + more))
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, buckets: int = 64) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, bucket_rows: int = 1 << 16) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty (one token); repeated rows are packed as documents of their own; an empty table gives no rows.
+    Null texts are empty (one token); repeated rows are packed as documents of their own; an empty table gives no rows; other columns
+    are ignored. The pieces of a length are numbered in buckets of about `bucket_rows`, dealt by a stored row number, so that neither one
+    length nor copies of one document make a large group.
     """
     spark = docs.sparkSession
-    p = staged(pieces(docs, tokenizer_path, capacity), "pieces")
-    # Full pieces are the one length that grows with the texts, so they are dealt to more buckets.
-    deal = lambda n: F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int")
-    p = p.withColumn("bucket", F.when(F.col("length") == capacity, deal(64 * buckets)).otherwise(deal(buckets)))
-    sizes = p.groupBy("length", "bucket").count()
-    # The histogram: at most (capacity + 64) x buckets rows.
-    hist = sizes.toPandas().sort_values(["length", "bucket"])
+    p = staged(pieces(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    # At most `capacity` rows.
+    totals = p.groupBy("length").count().toPandas()
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, hist.length.to_numpy(np.int64), hist["count"].to_numpy(np.int64))
-    hist["before"] = hist.groupby("length")["count"].cumsum() - hist["count"]
+    counts[totals.length.to_numpy(np.int64)] = totals["count"].to_numpy(np.int64)
     slots, first = [], np.zeros(capacity + 1, np.int64)
     sequence = 0
     for lengths, times in plan(counts, capacity):
@@ -162,9 +159,12 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, buckets:
             slots.append((n, int(first[n]), sequence, [int(o) for o in at]))
             first[n] += times * len(at)
         sequence += times
-    before = spark.createDataFrame(hist[["length", "bucket", "before"]].astype("int64"), "length long, bucket long, before long").withColumn("bucket", F.col("bucket").cast("int"))
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(max(64, int(counts.sum()) // bucket_rows))).cast("int"))
+    sizes = p.groupBy("length", "bucket").count()
+    ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
+    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket", "row")
     return _place(ranked, slots)
 
 
