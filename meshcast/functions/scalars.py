@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 # Fixed values.
 MONTHS = ("Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio", "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre")
 CLOUD_TYPE = {0: "Clear", 1: "Probably Clear", 2: "Fog", 3: "Water", 4: "Super-Cooled Water", 5: "Mixed", 6: "Opaque Ice", 7: "Cirrus", 8: "Overlapping", 9: "Overshooting", 10: "Unknown", 11: "Dust", 12: "Smoke", -15: "Sin dato"}
+FILL_FLAG = {0: "", 1: "Missing Image", 2: "Low Irradiance", 3: "Exceeds Clearsky", 4: "Missing Cloud Properties", 5: "Rayleigh Violation"}
+UNITS = {"ghi": "W/m²", "dni": "W/m²", "dhi": "W/m²", "clearsky_ghi": "W/m²", "clearsky_dni": "W/m²", "clearsky_dhi": "W/m²", "ghi_uv_280_400": "W/m²", "ghi_uv_295_385": "W/m²", "temperature": "°C", "dew_point": "°C", "pressure": "mbar", "relative_humidity": "%", "precipitable_water": "cm", "wind_speed": "m/s", "wind_direction": "°", "solar_zenith_angle": "°", "ozone": "atm-cm"}
+KEY_COLUMNS = ("nodo_id", "datetime", "year", "month", "day", "hour")
+FLAG_COLUMNS = ("cloud_type", "cloud_fill_flag", "fill_flag")
 RANGES = {"ghi": (0, 1500), "dni": (0, 1200), "dhi": (0, 1200), "clearsky_ghi": (0, 1500), "clearsky_dni": (0, 1200), "clearsky_dhi": (0, 1200), "temperature": (-40, 60), "dew_point": (-50, 45), "relative_humidity": (0, 100), "pressure": (700, 1100), "precipitable_water": (0, 10), "wind_speed": (0, 80), "wind_direction": (0, 360), "solar_zenith_angle": (0, 180), "surface_albedo": (0, 1)}
 PRESSURE_TOLERANCE = 60.0
 
-AGGREGATES = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp, "median": F.median, "count": F.count}
+AGGREGATES = {"mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min, "std": F.stddev_samp, "median": F.median, "count": F.count}
 
 
 def aggregate(name: str, column) -> Column:
@@ -93,3 +97,25 @@ def wkt_point(lon: Column, lat: Column, decimals: int = 4) -> Column:
 def tidy_name(name: str, dashes: bool = False) -> str:
     name = name.strip().lower().replace(" ", "_")
     return name.replace("-", "_") if dashes else name
+
+
+def decoded_number(raw) -> Column:
+    """UTF-8 bytes as a number; null where they are none."""
+    return F.expr(f"try_cast(trim(decode({raw}, 'UTF-8')) AS double)")
+
+
+def decoded_text(raw) -> Column:
+    return F.trim(F.decode(F.col(raw), "UTF-8"))
+
+
+def analysable(df) -> list[str]:
+    """The variables of a table: its numeric columns without keys and flags."""
+    return [f.name for f in df.schema if f.name not in KEY_COLUMNS + FLAG_COLUMNS and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
+
+
+def with_units(df):
+    """Units as metadata of the columns that have one."""
+    for c in df.columns:
+        if c in UNITS:
+            df = df.withMetadata(c, {"unit": UNITS[c]})
+    return df

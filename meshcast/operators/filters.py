@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clearness
+from ..functions.scalars import aggregate, analysable, clearness
 
 
 def _list(x):
@@ -57,24 +58,96 @@ def daylight_mask(df: DataFrame, zenith_max: float = 85.0) -> DataFrame:
 
 
 def in_polygon(points: DataFrame, edges, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Points inside a polygon, given as (x1, y1, x2, y2) edges, by the parity of crossings. One expression over the edges: no join."""
+    """Points inside a polygon, given as (x1, y1, x2, y2) edges, by the parity of crossings.
+
+    A box filter comes first and reaches the scan; the edges, however many, are one array literal that each remaining point folds over.
+    """
+    edges = [tuple(map(float, e)) for e in edges if e[1] != e[3]]
+    if not edges:
+        return points.limit(0)
     x, y = F.col(lon), F.col(lat)
-    crossings = F.lit(0)
-    for x1, y1, x2, y2 in edges:
-        if y1 != y2:
-            crossings = crossings + (((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < F.lit(x2 - x1) * (y - y1) / F.lit(y2 - y1) + x1)).cast("int")
-    return points.where(crossings % 2 == 1)
+    xs, ys = [e[i] for e in edges for i in (0, 2)], [e[i] for e in edges for i in (1, 3)]
+    sides = F.from_json(F.lit(json.dumps(edges)), "array<array<double>>")
+
+    def crosses(e):
+        x1, y1, x2, y2 = (F.get(e, F.lit(i)) for i in range(4))
+        return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+
+    return points.where(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))).where(F.size(F.filter(sides, crosses)) % 2 == 1)
 
 
 def near_focus(nodes: DataFrame, focus, margin: float) -> DataFrame:
     """Neighbours of a set of node ids within its bounding box and a margin, without the set itself."""
     inside = nodes.where(F.col("nodo_id").isin(list(focus)))
-    lo_x, hi_x, lo_y, hi_y = inside.agg(F.min("longitude"), F.max("longitude"), F.min("latitude"), F.max("latitude")).first()
-    if lo_x is None:
-        return nodes.limit(0)
+    lo_x, hi_x, lo_y, hi_y = (inside.agg(f(c)).scalar() for c in ("longitude", "latitude") for f in (F.min, F.max))
     box = F.col("longitude").between(lo_x - margin, hi_x + margin) & F.col("latitude").between(lo_y - margin, hi_y + margin)
     return nodes.where(box & ~F.col("nodo_id").isin(list(focus)))
 
 
 def sample_nodes(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return nodes.orderBy(F.xxhash64("nodo_id", F.lit(seed)), "nodo_id").limit(n)
+
+
+def in_period(df: DataFrame, period: str = "annual", month: int | None = None, day: str | None = None) -> DataFrame:
+    """annual, monthly (needs month) or daily (needs day, 'MM-DD' or 'YYYY-MM-DD'); an empty result is an error. Runs a job to see that."""
+    if period == "monthly":
+        if not month:
+            raise ValueError("a monthly period needs month=1..12")
+        df = df.where(F.col("month") == int(month))
+    elif period == "daily":
+        if not day:
+            raise ValueError("a daily period needs day='YYYY-MM-DD'")
+        df = on_days(df, day)
+    elif period != "annual":
+        raise ValueError("a period is annual, monthly or daily")
+    if df.isEmpty():
+        raise ValueError("the period has no rows")
+    return df
+
+
+def checked(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:
+    """df itself, if it has the variable and the aggregate is known; kt counts where its parts are there."""
+    if variable not in df.columns and not (variable == "kt" and {"ghi", "clearsky_ghi"} <= set(df.columns)):
+        raise ValueError(f"unknown variable {variable!r}; one of {', '.join(analysable(df))}")
+    aggregate(agg, F.lit(0))
+    return df
+
+
+def water_nodes(nodes: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Nodes at or below an elevation; unknown elevations are left out."""
+    return nodes.where(F.col("msnm") <= threshold)
+
+
+def complete_rows(df: DataFrame, columns) -> DataFrame:
+    return df.na.drop(subset=list(columns))
+
+
+def within_hour(sub: DataFrame, hour, ts: str = "ts") -> DataFrame:
+    """Sub-hourly rows of one hour, as a range that reaches the scan."""
+    lo = F.date_trunc("hour", F.lit(hour).cast("timestamp_ntz")).cast("timestamp_ntz")
+    return sub.where((F.col(ts) >= lo) & (F.col(ts) < lo + F.expr("INTERVAL 1 HOUR")))
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str = "nodo_id") -> DataFrame:
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str = "nodo_id") -> DataFrame:
+    return df.join(ids.select(key), key, "left_anti")
+
+
+def preview(df: DataFrame, node: int, n: int = 5) -> DataFrame:
+    return df.where(F.col("nodo_id") == node).orderBy("datetime").limit(n)
+
+
+def selection(nodes: DataFrame, steps) -> DataFrame:
+    """Node ids chosen by steps in order: ("add", edges), ("remove", edges), ("add_ids", ids), ("remove_ids", ids), ("add_water", m), ("reset", None)."""
+    chosen = nodes.select("nodo_id").limit(0)
+    for what, value in steps:
+        kind = what.partition("_")[2]
+        if what == "reset":
+            chosen = nodes.select("nodo_id").limit(0)
+            continue
+        part = {"": lambda: in_polygon(nodes, value), "ids": lambda: nodes.where(F.col("nodo_id").isin(_list(value))), "water": lambda: water_nodes(nodes, value)}[kind]().select("nodo_id")
+        chosen = chosen.union(part).distinct() if what.startswith("add") else chosen.subtract(part)
+    return chosen

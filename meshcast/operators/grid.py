@@ -26,7 +26,7 @@ def duplicate_flags(nodes: DataFrame) -> DataFrame:
 
 def reindexed(nodes: DataFrame, column: str = "nodo_id", name: str = "new_id") -> DataFrame:
     """A gapless number from 0 in the order of a unique numeric column."""
-    return running_total(nodes.withColumn("one", F.lit(1)), column, "one").withColumnRenamed("before", name).withColumn(name, F.col(name).cast("long")).drop("one")
+    return running_total(nodes.withColumn("one", F.lit(1)), column, "one").withColumnRenamed("before", name).withColumn(name, F.col(name).cast("long")).drop("one", "all")
 
 
 def id_map(nodes: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def match_report(nodes: DataFrame) -> DataFrame:
 
 def elevation_summary(nodes: DataFrame, threshold: float = 0.0) -> DataFrame:
     e = F.col("msnm")
-    return nodes.agg(F.min(e).alias("min"), F.percentile(e, F.lit(0.5)).alias("median"), F.max(e).alias("max"), F.count_if(e == 0).alias("at_zero"), F.round(F.count_if(e <= threshold) * 100.0 / F.count("*"), 3).alias("candidate_pct"))
+    return nodes.agg(F.min(e).alias("min"), F.percentile(e, F.lit(0.5)).alias("median"), F.max(e).alias("max"), F.count_if(e == 0).alias("at_zero"), F.round(F.try_divide(F.count_if(e <= threshold) * 100.0, F.count("*")), 3).alias("candidate_pct"), *((f("longitude").alias(n) for f, n in ((F.min, "lon_min"), (F.max, "lon_max"))) if "longitude" in nodes.columns else ()))
 
 
 def candidate_grid(spark, lat_range, lon_range, step: float) -> DataFrame:
@@ -66,8 +66,14 @@ def candidate_grid(spark, lat_range, lon_range, step: float) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "nodo_id") -> DataFrame:
-    """Rows of `new` win; columns are united. `new` must hold a key once."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Rows of `new` win, whole; columns are united; sorted by key. Of equal keys in `new`, the last of the given order stays: the row whose
+    fields are largest, compared in turn."""
+    fields = [F.col(c) for c in new.columns if c != key]
+    if fields:
+        new = new.groupBy(key).agg(F.max(F.struct(*fields)).alias("row")).select(key, "row.*")
+    else:
+        new = new.distinct()
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(key)
 
 
 def pending(nodes: DataFrame, present: DataFrame) -> DataFrame:
@@ -84,3 +90,43 @@ def differing_cells(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
     """(cell, datetime) where nodes of one cell do not hold identical values."""
     rows = facts.join(nodes.select("nodo_id", *CELL), "nodo_id")
     return rows.groupBy(*CELL, "datetime").agg(F.min(F.struct(*variables)).alias("a"), F.max(F.struct(*variables)).alias("b")).where("a <> b").select(*CELL, "datetime")
+
+
+def numbered(nodes: DataFrame, *order: str, name: str = "new_id") -> DataFrame:
+    """Gapless numbers from 0 in the order of any columns. One window: for node dimensions, not for facts."""
+    return nodes.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+
+
+def cell_numbers(nodes: DataFrame, name: str = "celda_id") -> DataFrame:
+    """The number of each coordinate pair, from 0 by latitude and longitude; nodes of a cell share it."""
+    cells = numbered(nodes.select(*CELL).distinct(), *CELL, name=name)
+    return nodes.join(cells, list(CELL), "left")
+
+
+def time_axis(nodes: DataFrame, steps: DataFrame, time: str = "ts") -> DataFrame:
+    """Every node at every step of a time axis. Steps per node come from one array, so the axis must be a year's, not a fact table's."""
+    axis = steps.agg(F.sort_array(F.collect_set(time)).alias("axis"))
+    return nodes.select("nodo_id", F.explode(axis.scalar()).alias(time))
+
+
+def renumbered(facts: DataFrame, ids: DataFrame, old: str = "nodo_id", new: str = "new_id") -> DataFrame:
+    """Facts under the new ids of a map (old, new); rows of unmapped ids drop out."""
+    return facts.join(ids.select(F.col(old).alias("nodo_id"), F.col(new).alias("renamed")), "nodo_id").withColumn("nodo_id", F.col("renamed").cast(facts.schema["nodo_id"].dataType)).drop("renamed").select(*facts.columns)
+
+
+def first_pending(nodes: DataFrame, present: DataFrame, n: int) -> DataFrame:
+    return pending(nodes, present).orderBy("nodo_id").limit(n)
+
+
+def ingest_states(nodes: DataFrame, present: DataFrame, keys=("region", "year")) -> DataFrame:
+    """Per region and year: total, present, missing, and whether the year can be consolidated."""
+    keys = list(keys)
+    seen = present.select(*keys, "nodo_id").distinct().withColumn("seen", F.lit(True))
+    out = nodes.select(*keys, "nodo_id").distinct().join(seen, [*keys, "nodo_id"], "left").groupBy(*keys)
+    return out.agg(F.count("*").alias("total"), F.count("seen").alias("present"), F.count_if(F.col("seen").isNull()).alias("missing")).withColumn("complete", F.col("missing") == 0)
+
+
+def without_metadata(present: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Ids that have data but no row in the node dimension; of `known` ids only, if they are given."""
+    ids = present.select("nodo_id").distinct().join(nodes.select("nodo_id"), "nodo_id", "left_anti")
+    return ids if known is None else ids.join(known.select("nodo_id"), "nodo_id", "left_semi")

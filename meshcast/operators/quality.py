@@ -30,9 +30,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def incomplete_nodes(df: DataFrame) -> DataFrame:
     """Nodes whose row count differs from days x hours."""
-    keys = df.groupBy("month", "day", "hour").agg(F.count("*").alias("n"))
-    days, hours = keys.agg(F.count_distinct("month", "day"), F.count_distinct("hour")).first()
-    return df.groupBy("nodo_id").agg(F.count("*").alias("n")).where(F.col("n") != days * hours).withColumn("expected", F.lit(days * hours).cast("long"))
+    keys = df.select("month", "day", "hour").distinct()
+    expected = keys.agg((F.count_distinct("month", "day") * F.count_distinct("hour")).alias("expected")).scalar()
+    return df.groupBy("nodo_id").agg(F.count("*").alias("n")).withColumn("expected", expected).where("n <> expected")
 
 
 def null_counts(df: DataFrame, columns=None) -> DataFrame:
@@ -89,8 +89,32 @@ def anomalies(df: DataFrame, nodes: DataFrame | None = None, limit: int | None =
     return out
 
 
+def integrity_row(df: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """All integrity metrics as one wide row, from one scan: completeness, duplicates, filled rows, nulls_<column> and n_<kind> of anomalies.
+
+    Rows are first reduced per (node, time), so the exact distinct counts work on keys.
+    """
+    rows = df if nodes is None else with_elevation(df, nodes)
+    tests = {f"n_{k}": F.count_if(t) for k, t in _tests(rows).items()} | {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
+    tests |= {"filled": F.count_if(F.col("fill_flag") != 0)} if "fill_flag" in df.columns else {}
+    parts = ("month", "day", "hour")
+    keys = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), *(F.first(p).alias(p) for p in parts), *(e.alias(k) for k, e in tests.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    out = keys.agg(total("rows"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates"), F.count_distinct("nodo_id").alias("nodes"), F.count_distinct("month", "day").alias("days"), F.count_distinct("hour").alias("hours"), *map(total, tests))
+    out = out.withColumn("expected", F.col("nodes") * F.col("days") * F.col("hours")).withColumn("missing", F.col("expected") - F.col("rows"))
+    return out.withColumn("missing_pct", F.round(F.try_divide(F.col("missing") * 100.0, "expected"), 3))
+
+
+def node_audit(df: DataFrame, node: int, expected: int = 8760) -> DataFrame:
+    """One row of a node: rows, whether they are as many as expected, columns, nulls of all columns together, and the types."""
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    types = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
+    return df.where(F.col("nodo_id") == node).agg(F.count("*").alias("rows"), (F.count("*") == expected).alias("complete"), F.lit(len(df.columns)).alias("columns"), nulls.cast("long").alias("nulls"), F.lit(types).alias("types"))
+
+
 def integrity(df: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
-    return {"completeness": completeness(df), "duplicates": duplicate_count(df), "incomplete_nodes": incomplete_nodes(df), "nulls": null_counts(df), "anomalies": anomaly_counts(df, nodes), "filled": filled(df)}
+    """The wide row and its details."""
+    return {"row": integrity_row(df, nodes), "completeness": completeness(df), "duplicates": duplicate_count(df), "incomplete_nodes": incomplete_nodes(df), "nulls": null_counts(df), "anomalies": anomaly_counts(df, nodes), "filled": filled(df)}
 
 
 def filled(df: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CLOUD_TYPE, aggregate, banded, clearness, label_of, labelled_bands, sector
@@ -17,13 +18,14 @@ def with_coordinates(df: DataFrame, nodes: DataFrame, how: str = "left") -> Data
     return df.join(nodes.select("nodo_id", "latitude", "longitude"), "nodo_id", how)
 
 
-def describe(df: DataFrame, variables, percentiles=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """One row per variable, from one pass."""
+def describe(df: DataFrame, variables, percentiles=(0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
+    """One row per variable, from one pass. Exact percentiles hold the distinct values of a variable; `accuracy` gives approximate ones in bounded memory."""
+    quantile = lambda c, p: F.percentile(c, F.lit(p)) if accuracy is None else F.percentile_approx(c, p, accuracy).cast("double")
     cols = []
     for v in variables:
         c = F.col(v)
         parts = [F.lit(v).alias("variable"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min")]
-        parts += [F.percentile(c, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in percentiles]
+        parts += [quantile(c, p).alias(f"p{round(p * 100):02d}") for p in percentiles]
         parts += [F.max(c).cast("double").alias("max"), F.count_if(c.isNull()).alias("nulls"), F.round(F.try_divide(F.count_if(c.isNull()) * 100.0, F.count("*")), 2).alias("null_pct")]
         cols.append(F.struct(*parts))
     return df.agg(F.array(*cols).alias("rows")).select(F.inline("rows"))
@@ -35,22 +37,30 @@ def node_summary(df: DataFrame, variable: str, aggs=("mean", "std", "min", "max"
 
 
 def flag_distribution(df: DataFrame) -> DataFrame:
-    """(flag, code, n, pct, label)."""
+    """(flag, code, n, pct, label), ordered by flag and code."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f).cast("int").alias("code")) for f in FLAGS))).alias("x")).select("x.*")
     counts = long.groupBy("flag", "code").agg(F.count("*").alias("n"))
-    total = counts.where(F.col("flag") == FLAGS[0]).agg(F.sum("n")).first()[0] or 0
-    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.lit(max(total, 1)), 3)).withColumn("label", F.when(F.col("flag") == "cloud_type", label_of("code", CLOUD_TYPE)))
+    # Every row has each flag once, so the rows of a flag are all rows.
+    total = F.sum("n").over(Window.partitionBy("flag"))
+    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, 3)).withColumn("label", F.when(F.col("flag") == "cloud_type", label_of("code", CLOUD_TYPE))).orderBy("flag", "code")
 
 
 def classify_days(df: DataFrame, by_node: bool = False, clear: float = 0.65, overcast: float = 0.35) -> DataFrame:
-    """Mean daylight kt per day (or node and day) and its class."""
+    """Mean daylight kt per day (or node and day) and its class, in the order of days."""
     keys = ["month", "day"] + (["nodo_id"] if by_node else [])
     out = df.where("solar_zenith_angle < 90").groupBy(*keys).agg(F.avg(clearness()).alias("kt"))
-    return out.where("kt is not null").withColumn("category", labelled_bands(F.col("kt"), ((clear, "clear"), (overcast, "partial")), "overcast"))
+    return out.where("kt is not null").withColumn("category", labelled_bands(F.col("kt"), ((clear, "clear"), (overcast, "partial")), "overcast")).orderBy(*keys)
+
+
+def day_counts(days: DataFrame) -> DataFrame:
+    """Days per class."""
+    return days.groupBy("category").agg(F.count("*").alias("days"))
 
 
 def compare_years(df: DataFrame, variable: str, years, by: str = "month", agg: str = "mean") -> DataFrame:
-    """by 'month' or 'nodo_id': a column per year, and for two years delta and delta_pct; by 'total': a row per year."""
+    """by 'month' or 'nodo_id': a column per year, and for two years delta and delta_pct; by 'total': a row per year. kt is compared by daylight only."""
+    if variable == "kt":
+        df = df.where("solar_zenith_angle < 90").withColumn("kt", clearness())
     if by == "total":
         return df.where(F.col("year").isin(list(years))).groupBy("year").agg(aggregate(agg, variable).alias("value"))
     out = df.where(F.col("year").isin(list(years))).groupBy(by).agg(*(aggregate(agg, F.when(F.col("year") == y, F.col(variable))).alias(f"y{y}") for y in years))
@@ -63,15 +73,20 @@ def compare_years(df: DataFrame, variable: str, years, by: str = "month", agg: s
 def histogram(df: DataFrame, variable: str, bins: int = 60) -> DataFrame:
     """(bin, low, high, n) of equal bins from the minimum to the maximum, empty bins included; the last one is closed."""
     v = F.col(variable).cast("double")
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
-    spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "bin int, low double, high double, n long")
-    width = (hi - lo) / bins or 1.0 / bins
-    at = F.least(F.floor((v - lo) / F.lit(width)).cast("int"), F.lit(bins - 1))
+    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    flat = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    ends = ends.select((F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
+    lo, width = ends.select("lo").scalar(), ends.select((F.col("hi") - F.col("lo")) / bins).scalar()
+    at = F.least(F.floor((v - lo) / width).cast("int"), F.lit(bins - 1))
     counts = df.where(v.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select("bin", (F.col("bin") * width + lo).alias("low"), ((F.col("bin") + 1) * width + lo).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), lo.alias("lo"), width.alias("width")).where("lo is not null")
+    grid = grid.join(counts, "bin", "left")
+    return grid.select("bin", (F.col("bin") * F.col("width") + F.col("lo")).alias("low"), ((F.col("bin") + 1) * F.col("width") + F.col("lo")).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def centre(df: DataFrame, variable: str) -> DataFrame:
+    """Mean and median, the marks of a histogram."""
+    return df.agg(F.avg(variable).alias("mean"), F.median(variable).alias("median"))
 
 
 def time_series(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:
@@ -91,17 +106,17 @@ def correlations(df: DataFrame, variables) -> DataFrame:
 
 def _ranks(df: DataFrame, column: str) -> DataFrame:
     """Average rank of each distinct value, from value counts; runs of values are range-partitioned, so no window holds all rows."""
-    counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(F.col(column).alias("v")).agg(F.sum("n").alias("n"))
     return running_total(counts, "v", "n").select("v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def running_total(df: DataFrame, key: str, n: str, descending: bool = False) -> DataFrame:
-    """`before`: the sum of n over the rows ahead of each in the order of `key` (unique, not null), without a global window.
+    """`before`: the sum of n over the rows ahead of each in the order of `key` (unique, not null), and `all`: that of all rows, without a global window.
 
-    Ranges of `key` are cut at approximate quantiles; the totals of the (at most 64) ranges are prefix sums on the driver.
+    Ranges of `key` are cut at approximate quantiles; the totals of the (at most 64) ranges are prefix sums on the driver. The rows are
+    computed once and kept on disk until Spark drops them.
     """
-    from pyspark.sql import Window
-
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / 64 for i in range(1, 64)])).first()[0] or []))
     band = reduce(lambda acc, c: acc + (F.col(key) > c).cast("int"), cuts, F.lit(0))
     df = df.withColumn("band", band)
@@ -112,14 +127,14 @@ def running_total(df: DataFrame, key: str, n: str, descending: bool = False) ->
         ahead[b], total = total, total + sums[b]
     offset = F.create_map(*(F.lit(x) for kv in ahead.items() for x in kv))[F.col("band")] if ahead else F.lit(0)
     w = Window.partitionBy("band").orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("before", F.sum(n).over(w) - F.col(n) + offset).drop("band")
+    return df.withColumn("before", F.sum(n).over(w) - F.col(n) + offset).withColumn("all", F.lit(total)).drop("band")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of the complete pairs, average ranks for ties; one row (a, b, r)."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-    ranked = both.join(_ranks(df.where(F.col(b).isNotNull() & F.col(a).isNotNull()), a).select(F.col("v").alias("x"), F.col("rank").alias("rx")), "x")
-    ranked = ranked.join(_ranks(df.where(F.col(b).isNotNull() & F.col(a).isNotNull()), b).select(F.col("v").alias("y"), F.col("rank").alias("ry")), "y")
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = both.join(_ranks(both, "x").select(F.col("v").alias("x"), F.col("rank").alias("rx")), "x")
+    ranked = ranked.join(_ranks(both, "y").select(F.col("v").alias("y"), F.col("rank").alias("ry")), "y")
     n, x, y = F.col("n"), F.col("rx"), F.col("ry")
     s = ranked.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
     r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
@@ -137,29 +152,28 @@ def outlier_nodes(df: DataFrame, variable: str, method: str = "zscore", threshol
     """Nodes whose aggregate lies outside; zscore with the population deviation, iqr with k = 1.5 where the threshold is the default 3."""
     per = df.groupBy("nodo_id").agg(aggregate(agg, variable).alias("value"))
     if method == "zscore":
-        mean, sd = per.agg(F.avg("value"), F.stddev_pop("value")).first()
-        z = (F.col("value") - F.lit(mean)) / F.lit(sd or None)
-        return per.withColumn("z", z.cast("double")).where(F.abs("z") > threshold)
+        mean, sd = per.agg(F.avg("value")).scalar(), per.agg(F.stddev_pop("value")).scalar()
+        return per.withColumn("z", F.try_divide(F.col("value") - mean, sd)).where(F.abs("z") > threshold)
     if method != "iqr":
         raise ValueError(f"unknown method {method!r}")
-    q1, q3 = per.agg(F.percentile("value", F.lit(0.25)), F.percentile("value", F.lit(0.75))).first()
-    if q1 is None:
-        return per.limit(0)
+    q1, q3 = (per.agg(F.percentile("value", F.lit(p))).scalar() for p in (0.25, 0.75))
     k = 1.5 if threshold == 3.0 else threshold
     return per.where((F.col("value") < q1 - k * (q3 - q1)) | (F.col("value") > q3 + k * (q3 - q1)))
 
 
 def wind_rose(df: DataFrame, sectors: int = 16, edges=(0, 2, 4, 6, 8, 10, float("inf")), by_month: bool = False) -> DataFrame:
-    """(month,) sector, speed_bin, pct of all rows (of the month) with a direction and a speed."""
+    """(month,) sector, speed_bin, pct of all rows (of the month); every sector and bin is there, with 0 where it has no rows.
+
+    Calm and missing winds are in no bin, but in the total. A month without rows has none.
+    """
     keys = ["month"] if by_month else []
-    rows = df.where("wind_direction is not null and wind_speed is not null").select(*keys, sector(F.col("wind_direction"), sectors).alias("sector"), banded(F.col("wind_speed"), edges).alias("speed_bin"))
+    rows = df.select(*keys, sector(F.col("wind_direction"), sectors).alias("sector"), banded(F.col("wind_speed"), edges).alias("speed_bin"))
     counts = rows.groupBy(*keys, "sector", "speed_bin").agg(F.count("*").alias("n"))
-    if by_month:
-        total = counts.groupBy("month").agg(F.sum("n").alias("total"))
-        counts = counts.join(total, "month")
-    else:
-        counts = counts.withColumn("total", F.lit(counts.agg(F.sum("n")).first()[0]))
-    return counts.where("speed_bin is not null").select(*keys, "sector", "speed_bin", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).where("total > 0")
+    cells = F.explode(F.array(*(F.struct(F.lit(s).alias("sector"), F.lit(b).alias("speed_bin")) for s in range(sectors) for b in range(len(edges) - 1))))
+    grid = total.select("*", cells.alias("cell")).select(*keys, "total", "cell.*")
+    out = grid.join(counts, [*keys, "sector", "speed_bin"], "left")
+    return out.select(*keys, "sector", "speed_bin", (F.coalesce("n", F.lit(0)) * 100.0 / F.col("total")).alias("pct"))
 
 
 def boxplot(df: DataFrame, variable: str, by: str = "month") -> DataFrame:
@@ -175,7 +189,7 @@ def month_hour(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:
 
 
 def daily_sums(df: DataFrame, variable: str) -> DataFrame:
-    return df.groupBy("nodo_id", "year", "month", "day").agg(F.sum(variable).alias("total"))
+    return df.groupBy("nodo_id", "year", "month", "day").agg(aggregate("sum", variable).alias("total"))
 
 
 def resource_map(df: DataFrame, variable: str, nodes: DataFrame, factor: float = 0.001) -> DataFrame:
@@ -202,5 +216,74 @@ def hourly(df: DataFrame, value: str = "value", code: str = "code", ts: str = "t
 def duration_curve(df: DataFrame, variable: str) -> DataFrame:
     """Compact duration curve: (value, n, exceedance_pct), where the last of n equal values has position / all * 100."""
     counts = df.where(F.col(variable).isNotNull()).groupBy(F.col(variable).alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    return running_total(counts, "value", "n", descending=True).select("value", "n", ((F.col("before") + F.col("n")) * 100.0 / F.lit(total)).alias("exceedance_pct"))
+    return running_total(counts, "value", "n", descending=True).select("value", "n", ((F.col("before") + F.col("n")) * 100.0 / F.col("all")).alias("exceedance_pct"))
+
+
+def duration_rows(df: DataFrame, variable: str) -> DataFrame:
+    """Row-level duration curve: (value, position, exceedance_pct), a row per observation in descending order, numbered from 1."""
+    counts = df.where(F.col(variable).isNotNull()).groupBy(F.col(variable).alias("value")).agg(F.count("*").alias("n"))
+    at = running_total(counts, "value", "n", descending=True)
+    rows = at.select("value", "all", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("position"))
+    return rows.select("value", "position", (F.col("position") * 100.0 / F.col("all")).alias("exceedance_pct"))
+
+
+def delta_map(df: DataFrame, variable: str, years, nodes: DataFrame, agg: str = "mean", relative: bool = False) -> DataFrame:
+    """(nodo_id, value, latitude, longitude, scale) of the difference between two years; scale is the largest absolute one."""
+    column = "delta_pct" if relative else "delta"
+    out = compare_years(df, variable, years, "nodo_id", agg).where(F.col(column).isNotNull()).select("nodo_id", F.col(column).alias("value"))
+    out = with_coordinates(out, nodes, "inner")
+    return out.withColumn("scale", out.agg(F.max(F.abs("value"))).scalar())
+
+
+def map_summary(values: DataFrame, value: str = "value") -> DataFrame:
+    """One row: nodes, mean, min and max of a map."""
+    return values.agg(F.count(value).alias("nodes"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def twelve_month_panel(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:
+    """(nodo_id, month, value, month_mean, low, high): the shared ends of all panels and each month's mean."""
+    per = twelve_months(df, variable, agg)
+    months = per.groupBy("month").agg(F.avg("value").alias("month_mean"))
+    return per.join(months, "month").withColumn("low", per.agg(F.min("value")).scalar()).withColumn("high", per.agg(F.max("value")).scalar())
+
+
+def daily_means(days: DataFrame, by_month: bool = False) -> DataFrame:
+    """Mean of the daily means of daily_spatial, of a year or of a month."""
+    return days.groupBy("year", *(["month"] if by_month else [])).agg(F.avg("mean").alias("mean"))
+
+
+def hourly_means(sub: DataFrame, variables, ts: str = "ts") -> DataFrame:
+    """Hourly means of all variables in one pass."""
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour_ts")
+    return sub.groupBy("nodo_id", hour).agg(*(F.avg(v).alias(v) for v in variables))
+
+
+def hourly_features(sub: DataFrame, rules: dict, ts: str = "ts") -> DataFrame:
+    """(nodo_id, hour_ts, ...): each name's (column, rule), the rule mean, max, minute_30 or mode (smallest of equally frequent); one variable may
+    come under several names. Variables that the table lacks are left out."""
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour_ts")
+    known = {"mean": F.avg, "max": F.max, "minute_30": lambda c: F.max(F.when(F.minute(ts) == 30, F.col(c))), "mode": lambda c: F.mode(c, True)}
+    return sub.groupBy("nodo_id", hour).agg(*(known[rule](c).alias(name) for name, (c, rule) in rules.items() if c in sub.columns))
+
+
+def node_list(df: DataFrame) -> DataFrame:
+    return df.select("nodo_id").distinct().orderBy("nodo_id")
+
+
+def row_counts(df: DataFrame) -> DataFrame:
+    """How many nodes have how many rows."""
+    return df.groupBy("nodo_id").agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("nodes"))
+
+
+def extent(nodes: DataFrame, padding: float = 0.0, focus=None) -> DataFrame:
+    """Padded extent of all nodes, and the centre of a focus set (or of all)."""
+    inside = F.lit(True) if focus is None else F.col("nodo_id").isin(list(focus))
+    x, y = F.col("longitude"), F.col("latitude")
+    return nodes.agg(
+        (F.min(x) - padding).alias("x0"), (F.max(x) + padding).alias("x1"), (F.min(y) - padding).alias("y0"), (F.max(y) + padding).alias("y1"), F.avg(F.when(inside, x)).alias("cx"), F.avg(F.when(inside, y)).alias("cy")
+    )
+
+
+def wide(long: DataFrame, variables, time: str = "datetime") -> DataFrame:
+    """(time, nodo_id, variable, value) rows as one column per named variable; the last of repeated values by size."""
+    return long.groupBy(time, "nodo_id").agg(*(F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables))

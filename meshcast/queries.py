@@ -9,7 +9,7 @@ from .functions import scalars as S
 from .operators import filters, grid, quality, stats
 from .plans import curation, fixtures
 from .plans.fixtures import WITH
-from .sources.files import matrix_rows
+from .sources.files import decoded, matrix_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,8 +67,8 @@ query("flt_polygon", f"SELECT nodo_id FROM nodos WHERE {_INSIDE}", "nodos")(lamb
 query("flt_near_focus", "SELECT n.nodo_id FROM nodos n, (SELECT min(longitude) a, max(longitude) b, min(latitude) c, max(latitude) d FROM nodos WHERE nodo_id IN (4, 8)) WHERE longitude BETWEEN a - 0.3 AND b + 0.3 AND latitude BETWEEN c - 0.3 AND d + 0.3 AND nodo_id NOT IN (4, 8)", "nodos")(
     lambda n: filters.near_focus(n, (4, 8), 0.3).select("nodo_id")
 )
-query("flt_water_nodes", "SELECT nodo_id, msnm FROM nodos WHERE msnm <= 0", "nodos")(lambda n: n.where("msnm <= 0").select("nodo_id", "msnm"))
-query("set_selection", f"SELECT nodo_id FROM nodos WHERE {_INSIDE} AND NOT coalesce(msnm <= 0, false)", "nodos")(lambda n: filters.in_polygon(n, fixtures.POLYGON).select("nodo_id").subtract(n.where("msnm <= 0").select("nodo_id")))
+query("flt_water_nodes", "SELECT nodo_id, msnm FROM nodos WHERE msnm <= 0", "nodos")(lambda n: filters.water_nodes(n).select("nodo_id", "msnm"))
+query("set_selection", f"SELECT nodo_id FROM nodos WHERE {_INSIDE} AND NOT coalesce(msnm <= 0, false)", "nodos")(lambda n: filters.selection(n, [("add_ids", [1, 2]), ("reset", None), ("add", fixtures.POLYGON), ("remove_water", 0.0)]))
 
 # Statistics
 _P = ((0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"))
@@ -93,7 +93,7 @@ def _days_sql(keys: str) -> str:
 
 query("agg_day_classes", _days_sql("month, day"), "obs")(lambda o: rounded(stats.classify_days(o), "kt"))
 query("agg_day_classes_by_node", _days_sql("month, day, nodo_id"), "obs")(lambda o: rounded(stats.classify_days(o, by_node=True), "kt"))
-query("agg_day_counts", f"SELECT category, count(*) AS days FROM ({_days_sql('month, day')}) GROUP BY category", "obs")(lambda o: stats.classify_days(o).groupBy("category").agg(F.count("*").alias("days")))
+query("agg_day_counts", f"SELECT category, count(*) AS days FROM ({_days_sql('month, day')}) GROUP BY category", "obs")(lambda o: stats.day_counts(stats.classify_days(o)))
 
 
 def _years_sql(by: str, years) -> str:
@@ -108,9 +108,11 @@ def _years_sql(by: str, years) -> str:
 query("agg_years_by_month", _years_sql("month", (1996, 1997, 1998)), "obs")(lambda o: rounded(stats.compare_years(o, "ghi", (1996, 1997, 1998)), "y1996", "y1997", "y1998"))
 query("agg_years_by_node", _years_sql("nodo_id", (1996, 1997)), "obs")(lambda o: rounded(stats.compare_years(o, "ghi", (1996, 1997), by="nodo_id"), "y1996", "y1997", "delta", "delta_pct"))
 query("agg_years_total", "SELECT year, " + r("avg(ghi)", "value") + " FROM obs WHERE year IN (1996, 1997) GROUP BY year", "obs")(lambda o: rounded(stats.compare_years(o, "ghi", (1996, 1997), by="total"), "value"))
-query("agg_histogram", "SELECT CAST(b.range AS INT) AS bin, b.range * 16.65 AS low, (b.range + 1) * 16.65 AS high, coalesce(n, 0) AS n FROM range(60) b LEFT JOIN (SELECT least(CAST(floor((ghi - lo) / ((hi - lo) / 60)) AS INT), 59) AS bin, count(*) AS n FROM obs, (SELECT min(ghi) lo, max(ghi) hi FROM obs) GROUP BY 1) h ON h.bin = b.range".replace("b.range * 16.65", r("b.range * (SELECT (max(ghi) - min(ghi)) / 60 FROM obs) + (SELECT min(ghi) FROM obs)", "low")[:-7]).replace("(b.range + 1) * 16.65", r("(b.range + 1) * (SELECT (max(ghi) - min(ghi)) / 60 FROM obs) + (SELECT min(ghi) FROM obs)", "high")[:-8]), "obs")(
+_ENDS = "(SELECT CASE WHEN min(ghi) = max(ghi) THEN min(ghi) - 0.5 ELSE min(ghi) END AS lo, CASE WHEN min(ghi) = max(ghi) THEN max(ghi) + 0.5 ELSE max(ghi) END AS hi FROM obs)"
+query("agg_histogram", "SELECT CAST(b.range AS INT) AS bin, " + r("b.range * ((hi - lo) / 60) + lo", "low") + ", " + r("(b.range + 1) * ((hi - lo) / 60) + lo", "high") + f", coalesce(n, 0) AS n FROM range(60) b JOIN {_ENDS} ON true LEFT JOIN (SELECT least(CAST(floor((ghi - lo) / ((hi - lo) / 60)) AS INT), 59) AS bin, count(*) AS n FROM obs, {_ENDS} WHERE ghi IS NOT NULL GROUP BY 1) h ON h.bin = b.range", "obs")(
     lambda o: rounded(stats.histogram(o, "ghi"), "low", "high")
 )
+query("agg16_centre", "SELECT " + r("avg(ghi)", "mean") + ", median(ghi) AS median FROM obs", "obs")(lambda o: rounded(stats.centre(o, "ghi"), "mean"))
 query("agg_time_series", "SELECT datetime, " + r("avg(temperature)", "value") + " FROM obs GROUP BY datetime", "obs")(lambda o: rounded(stats.time_series(o, "temperature"), "value"))
 query("agg_daily_profile", "SELECT hour, " + ", ".join([r("avg(temperature)", "mean"), r("stddev_samp(temperature)", "std"), r("avg(temperature) - stddev_samp(temperature)", "low"), r("avg(temperature) + stddev_samp(temperature)", "high")]) + " FROM obs GROUP BY hour", "obs")(
     lambda o: rounded(stats.daily_profile(o, "temperature"), "mean", "std", "low", "high")
@@ -138,8 +140,11 @@ _SECTOR = "CAST(floor(((wind_direction + 11.25) % 360.0) / 22.5) AS INT)"
 
 
 def _rose_sql(key: str) -> str:
-    total = "(SELECT count(*) FROM obs)" if not key else "sum(count(*)) OVER (PARTITION BY month)"
-    return f"SELECT * FROM (SELECT {key}{_SECTOR} AS sector, {_SPEED} AS speed_bin, " + r(f"count(*) * 100.0 / {total}", "pct") + f" FROM obs GROUP BY {key}{_SECTOR}, {_SPEED}) WHERE speed_bin IS NOT NULL"
+    """All sectors and bins; the total is all rows (of the month)."""
+    on = "s.range = o.sector AND b.range = o.bin" + (" AND m.month = o.month" if key else "")
+    months = "(SELECT month, count(*) AS total FROM obs GROUP BY month)" if key else "(SELECT count(*) AS total FROM obs)"
+    cells = f"(SELECT {key}{_SECTOR} AS sector, {_SPEED} AS bin, count(*) AS n FROM obs GROUP BY ALL)"
+    return f"SELECT {'m.month, ' if key else ''}CAST(s.range AS INT) AS sector, CAST(b.range AS INT) AS speed_bin, " + r("coalesce(n, 0) * 100.0 / total", "pct") + f" FROM range(16) s JOIN range(6) b ON true JOIN {months} m ON true LEFT JOIN {cells} o ON {on}"
 
 
 query("agg_wind_rose", _rose_sql(""), "obs")(lambda o: rounded(stats.wind_rose(o), "pct"))
@@ -157,7 +162,7 @@ _MODE = "(SELECT nodo_id, hour_ts, code AS mode FROM (SELECT nodo_id, date_trunc
 query("agg_hourly_rules", "SELECT h.nodo_id, h.hour_ts, " + r("mean", "mean") + f", max, minute_30, mode FROM {_HOURLY} h JOIN {_MODE} m ON h.nodo_id = m.nodo_id AND h.hour_ts = m.hour_ts", "subhora")(lambda s: rounded(stats.hourly(s), "mean"))
 query("agg_summary", "SELECT count(*) AS rows, count(DISTINCT nodo_id) AS nodes, count(DISTINCT (year, month, day)) AS days, min(datetime) AS first_time, max(datetime) AS last_time FROM obs", "obs")(quality.summary)
 query("agg_extent", "SELECT min(longitude) AS x0, max(longitude) AS x1, min(latitude) AS y0, max(latitude) AS y1, " + r("avg(longitude)", "cx") + ", " + r("avg(latitude)", "cy") + " FROM nodos", "nodos")(
-    lambda n: rounded(n.agg(F.min("longitude").alias("x0"), F.max("longitude").alias("x1"), F.min("latitude").alias("y0"), F.max("latitude").alias("y1"), F.avg("longitude").alias("cx"), F.avg("latitude").alias("cy")), "cx", "cy")
+    lambda n: rounded(stats.extent(n), "cx", "cy")
 )
 query("agg_retention", "SELECT count(*) AS rows_before, count(*) FILTER (clearsky_ghi > 0 AND solar_zenith_angle < 85) AS rows_after, " + r("count(*) FILTER (clearsky_ghi > 0 AND solar_zenith_angle < 85) * 100.0 / count(*)", "kept_pct", 3) + " FROM obs", "obs")(lambda o: quality.retention(o, F.expr("clearsky_ghi > 0 AND solar_zenith_angle < 85")))
 query("win_duration_curve", "SELECT ghi AS value, count(*) AS n, " + r("sum(count(*)) OVER (ORDER BY ghi DESC) * 100.0 / sum(count(*)) OVER ()", "exceedance_pct") + " FROM obs WHERE solar_zenith_angle < 90 GROUP BY ghi", "obs")(lambda o: rounded(stats.duration_curve(o.where("solar_zenith_angle < 90"), "ghi"), "exceedance_pct"))
@@ -168,7 +173,8 @@ query("dq_completeness", "SELECT CAST(rows AS BIGINT) AS rows, nodes, days, hour
 query("dq_duplicate_count", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM obs GROUP BY nodo_id, datetime)", "obs")(quality.duplicate_count)
 query("dq_duplicate_rows", "SELECT nodo_id, datetime, ghi, copies FROM (SELECT *, count(*) OVER (PARTITION BY nodo_id, datetime) AS copies FROM obs) WHERE copies > 1", "obs")(lambda o: quality.duplicate_rows(o).select("nodo_id", "datetime", "ghi", "copies"))
 query("dq_incomplete_nodes", f"SELECT nodo_id, n, days * hours AS expected FROM (SELECT nodo_id, count(*) AS n FROM obs GROUP BY nodo_id), {_COUNTS} WHERE n <> days * hours", "obs")(quality.incomplete_nodes)
-query("dq_null_counts", 'SELECT \'temperature\' AS "column", count(*) - count(temperature) AS n FROM obs', "obs")(quality.null_counts)
+_OBS_COLUMNS = [c for c, _ in fixtures.VIEWS["obs"][1]]
+query("dq_null_counts", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n FROM obs" for c in _OBS_COLUMNS) + ") WHERE n > 0", "obs")(quality.null_counts)
 _LIMITS = {c: f"{c} < {S.RANGES[c][0]} OR {c} > {S.RANGES[c][1]}" for c in ("ghi", "dni", "clearsky_ghi", "temperature", "relative_humidity", "wind_speed", "wind_direction", "solar_zenith_angle")}
 _LIMITS["pressure"] = "CASE WHEN msnm IS NULL THEN pressure < 700 OR pressure > 1100 ELSE abs(pressure - 1013.25 * pow(1 - 2.25577e-5 * msnm, 5.25588)) > 60 END"
 _KINDS = {f"rango_{c}": t for c, t in _LIMITS.items()} | {"ghi_over_clearsky": "ghi > clearsky_ghi", "ghi_zero_by_day": "ghi = 0 AND solar_zenith_angle < 90", "dni_zero_by_day": "dni = 0 AND solar_zenith_angle < 90", "ghi_negative": "ghi < 0"}
@@ -188,7 +194,7 @@ query("grid_multiplicity", f"SELECT k AS nodes_in_cell, count(*) AS cells FROM (
 query("grid_steps", f"SELECT DISTINCT step FROM (SELECT round(c - lag(c) OVER (ORDER BY c), 4) AS step FROM (SELECT DISTINCT round(lat_real, 4) AS c FROM {_SNAPPED})) WHERE step IS NOT NULL", "solicitados")(lambda s: grid.grid_steps(grid.snap_nodes(s)))
 _MATCH = ["count(*) AS nodes", "count(*) FILTER (a < 1e-6 AND b < 1e-6) AS matching", r("avg(a)", "mean_dlat", 6), r("avg(b)", "mean_dlon", 6), r("max(a)", "max_dlat", 6), r("max(b)", "max_dlon", 6), "max(a) < 0.001 AND max(b) < 0.001 AS aligned"]
 query("grid_match_report", "SELECT " + ", ".join(_MATCH) + f" FROM (SELECT abs(lat_real - lat_local) AS a, abs(lon_real - lon_local) AS b FROM {_SNAPPED})", "solicitados")(lambda s: rounded(grid.match_report(grid.snap_nodes(s)), "mean_dlat", "mean_dlon", "max_dlat", "max_dlon", digits=6))
-query("grid_elevation_summary", "SELECT min(msnm) AS min, quantile_cont(msnm, 0.5) AS median, max(msnm) AS max, count(*) FILTER (msnm = 0) AS at_zero, " + r("count(*) FILTER (msnm <= 0) * 100.0 / count(*)", "candidate_pct", 3) + " FROM nodos", "nodos")(grid.elevation_summary)
+query("grid_elevation_summary", "SELECT min(msnm) AS min, quantile_cont(msnm, 0.5) AS median, max(msnm) AS max, count(*) FILTER (msnm = 0) AS at_zero, " + r("count(*) FILTER (msnm <= 0) * 100.0 / count(*)", "candidate_pct", 3) + ", min(longitude) AS lon_min, max(longitude) AS lon_max FROM nodos", "nodos")(grid.elevation_summary)
 query("grid_upsert", "SELECT nodo_id, latitude, longitude, CASE WHEN nodo_id % 3 = 0 THEN 1.5 ELSE msnm END AS msnm FROM nodos", "nodos")(lambda n: grid.upserted(n, n.where("nodo_id % 3 = 0").withColumn("msnm", F.lit(1.5))))
 query("grid_pending", "SELECT nodo_id FROM solicitados WHERE nodo_id NOT IN (SELECT nodo_id FROM obs)", "solicitados", "obs")(lambda s, o: grid.pending(s.select("nodo_id"), o))
 query("grid_ingest_state", "SELECT count(*) AS total, count(o.nodo_id) AS present, count(*) - count(o.nodo_id) AS missing, count(*) = count(o.nodo_id) AS complete FROM solicitados s LEFT JOIN (SELECT DISTINCT nodo_id FROM obs) o ON s.nodo_id = o.nodo_id", "solicitados", "obs")(grid.ingest_state)
@@ -204,5 +210,116 @@ query("plan_hour_audit", f"SELECT nodo_id, hour_ts, " + r("mean", "mean") + " FR
 query("win_node_order", "SELECT nodo_id, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM nodos", "nodos")(lambda n: grid.reindexed(n.select("nodo_id")))
 query("srt_limited_anomalies", "SELECT nodo_id, datetime, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY nodo_id, datetime) AS i FROM (" + ORACLE_SQL["dq_anomalies"].removeprefix(WITH) + ")) WHERE i <= 5", "obs", "nodos")(lambda o, n: quality.anomalies(o, n, limit=5))
 
+# Further operators, named by their number in the survey
+query("agg07_years_by_node_with_places", "SELECT y.*, latitude, longitude FROM (" + _years_sql("nodo_id", (1996, 1997)) + ") y LEFT JOIN nodos n ON y.nodo_id = n.nodo_id", "obs", "nodos")(
+    lambda o, n: rounded(stats.with_coordinates(stats.compare_years(o, "ghi", (1996, 1997), by="nodo_id"), n), "y1996", "y1997", "delta", "delta_pct")
+)
+_KT = "CASE WHEN clearsky_ghi > 0 THEN ghi / clearsky_ghi END"
+query("agg06_clearness_by_year", "SELECT month, " + ", ".join(r(f"avg(CASE WHEN year = {y} THEN {_KT} END)", f"y{y}") for y in (1996, 1997, 1998)) + " FROM obs WHERE year IN (1996, 1997, 1998) AND solar_zenith_angle < 90 GROUP BY month", "obs")(
+    lambda o: rounded(stats.compare_years(o, "kt", (1996, 1997, 1998)), "y1996", "y1997", "y1998")
+)
+query("agg21_resample_hour", "SELECT period, " + r("avg(value)", "value") + " FROM (SELECT nodo_id, date_trunc('hour', datetime) AS period, coalesce(sum(temperature), 0) AS value FROM obs GROUP BY 1, 2) GROUP BY period", "obs")(lambda o: rounded(stats.resample(o, "temperature", "hour"), "value"))
+query("agg23_outliers_default", "SELECT nodo_id, " + r("value", "value") + f" FROM {_PER}, (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM {_PER}) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)", "obs")(lambda o: rounded(stats.outlier_nodes(o, "ghi", method="iqr"), "value"))
+query("agg26_boxplot_by_hour", ORACLE_SQL["agg_boxplot"].removeprefix(WITH).replace("month", "hour"), "obs")(lambda o: stats.boxplot(o, "temperature", by="hour"))
+_DELTA = "(SELECT nodo_id, avg(CASE WHEN year = 1997 THEN ghi END) AS b, avg(CASE WHEN year = 1996 THEN ghi END) AS a FROM obs WHERE year IN (1996, 1997) GROUP BY nodo_id)"
+query("agg29_delta_map", "SELECT d.nodo_id, " + r("b - a", "value") + f", latitude, longitude, " + r("max(abs(b - a)) OVER ()", "scale") + f" FROM {_DELTA} d JOIN nodos n ON d.nodo_id = n.nodo_id WHERE b - a IS NOT NULL", "obs", "nodos")(lambda o, n: rounded(stats.delta_map(o, "ghi", (1996, 1997), n), "value", "scale"))
+query("agg29_delta_map_relative", "SELECT d.nodo_id, " + r("(b - a) * 100 / a", "value") + ", latitude, longitude, " + r("max(abs((b - a) * 100 / a)) OVER ()", "scale") + f" FROM {_DELTA} d JOIN nodos n ON d.nodo_id = n.nodo_id WHERE b IS NOT NULL AND a <> 0", "obs", "nodos")(lambda o, n: rounded(stats.delta_map(o, "ghi", (1996, 1997), n, relative=True), "value", "scale"))
+query("agg33_map_summary", "SELECT count(value) AS nodes, " + ", ".join(r(f"{f}(value)", n) for f, n in (("avg", "mean"), ("min", "min"), ("max", "max"))) + f" FROM {_PER}", "obs")(lambda o: rounded(stats.map_summary(stats.node_summary(o, "ghi", aggs=("mean",)), "mean"), "mean", "min", "max"))
+_TWELVE = "(SELECT nodo_id, month, avg(ghi) AS value FROM obs GROUP BY nodo_id, month)"
+query("agg32_panel", "SELECT nodo_id, month, " + ", ".join([r("value", "value"), r("avg(value) OVER (PARTITION BY month)", "month_mean"), r("min(value) OVER ()", "low"), r("max(value) OVER ()", "high")]) + f" FROM {_TWELVE}", "obs")(lambda o: rounded(stats.twelve_month_panel(o, "ghi"), "value", "month_mean", "low", "high"))
+_DAYS = f"(SELECT year, month, day, avg(total / 1000) AS mean FROM {_DAILY} GROUP BY year, month, day)"
+query("agg34_monthly_mean", "SELECT year, month, " + r("avg(mean)", "mean") + f" FROM {_DAYS} GROUP BY year, month", "obs")(lambda o: rounded(stats.daily_means(stats.daily_spatial(o, "ghi"), by_month=True), "mean"))
+query("agg34_yearly_mean", "SELECT year, " + r("avg(mean)", "mean") + f" FROM {_DAYS} GROUP BY year", "obs")(lambda o: rounded(stats.daily_means(stats.daily_spatial(o, "ghi")), "mean"))
+query("agg39_hourly_means", "SELECT nodo_id, date_trunc('hour', ts) AS hour_ts, " + r("avg(value)", "value") + ", " + r("avg(code)", "code") + " FROM subhora GROUP BY 1, 2", "subhora")(lambda s: rounded(stats.hourly_means(s, ("value", "code")), "value", "code"))
+query("agg41_node_list", "SELECT DISTINCT nodo_id FROM obs", "obs")(stats.node_list)
+query("agg41_row_counts", "SELECT rows, count(*) AS nodes FROM (SELECT count(*) AS rows FROM obs GROUP BY nodo_id) GROUP BY rows", "obs")(stats.row_counts)
+query("agg42_extent_of_focus", "SELECT min(longitude) - 0.25 AS x0, max(longitude) + 0.25 AS x1, min(latitude) - 0.25 AS y0, max(latitude) + 0.25 AS y1, " + r("avg(longitude) FILTER (nodo_id IN (4, 8))", "cx") + ", " + r("avg(latitude) FILTER (nodo_id IN (4, 8))", "cy") + " FROM nodos", "nodos")(lambda n: rounded(stats.extent(n, 0.25, (4, 8)), "cx", "cy"))
+query("prj08_labels", "SELECT nodo_id, datetime, cloud_type, " + _CASES + " AS cloud_label, CASE fill_flag " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.FILL_FLAG.items()) + " END AS fill_label, fill_flag <> 0 AS filled FROM obs", "obs")(lambda o: decoded(o.select("nodo_id", "datetime", "cloud_type", "fill_flag")).drop("fill_flag"))
+query("prj19_variables", " UNION ALL ".join(f"SELECT '{c}' AS variable, '{S.UNITS.get(c, '')}' AS unit, count({c}) AS n FROM obs" for c in _OBS_COLUMNS if c not in S.KEY_COLUMNS + S.FLAG_COLUMNS), "obs")(
+    lambda o: S.with_units(o).agg(F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(S.with_units(o).schema[c].metadata.get("unit", "")).alias("unit"), F.count(c).alias("n")) for c in S.analysable(o))).alias("x")).select(F.inline("x"))
+)
+query("prj20_bytes", "SELECT nodo_id, CAST(latitude AS DOUBLE) AS latitude, CAST(nodo_id AS VARCHAR) AS name, CAST(NULL AS DOUBLE) AS number FROM nodos", "nodos")(
+    lambda n: n.withColumns({"a": F.col("latitude").cast("string").cast("binary"), "b": F.col("nodo_id").cast("string").cast("binary"), "c": F.concat(F.lit("node "), F.col("nodo_id").cast("string")).cast("binary")}).select("nodo_id", S.decoded_number("a").alias("latitude"), S.decoded_text("b").alias("name"), S.decoded_number("c").alias("number"))
+)
+query("prj21_mean_and_max", "SELECT nodo_id, date_trunc('hour', ts) AS hour_ts, " + r("avg(value)", "rh_mean") + ", max(value) AS rh_max FROM subhora GROUP BY 1, 2", "subhora")(lambda s: rounded(stats.hourly_features(s, {"rh_mean": ("value", "mean"), "rh_max": ("value", "max"), "none": ("missing", "max")}), "rh_mean"))
+query("flt11_month", "SELECT nodo_id, datetime FROM obs WHERE month = 3", "obs")(lambda o: filters.in_period(o, "monthly", month=3).select("nodo_id", "datetime"))
+query("flt11_day", "SELECT nodo_id, datetime FROM obs WHERE month = 3 AND day = 14", "obs")(lambda o: filters.in_period(o, "daily", day="03-14").select("nodo_id", "datetime"))
+query("flt12_checked", "SELECT nodo_id, max(ghi) AS value FROM obs GROUP BY nodo_id", "obs")(lambda o: filters.checked(o, "ghi", "max").groupBy("nodo_id").agg(S.aggregate("max", "ghi").alias("value")))
+query("flt16_complete", "SELECT nodo_id, datetime, temperature FROM obs WHERE temperature IS NOT NULL AND nodo_id IS NOT NULL", "obs")(lambda o: filters.complete_rows(o, ("nodo_id", "temperature")).select("nodo_id", "datetime", "temperature"))
+query("flt17_hour", "SELECT nodo_id, ts, value FROM subhora WHERE date_trunc('hour', ts) = (SELECT date_trunc('hour', TIMESTAMP '2024-01-10 13:20:00'))", "subhora")(lambda s: filters.within_hour(s, "2024-01-10 13:20:00").select("nodo_id", "ts", "value"))
+query("jn06_renumbered", f"SELECT r.new_id AS nodo_id, o.datetime, o.ghi FROM obs o JOIN (SELECT nodo_id, 1000 - nodo_id AS new_id FROM nodos WHERE nodo_id % 4 <> 0) r ON o.nodo_id = r.nodo_id", "obs", "nodos")(lambda o, n: grid.renumbered(o.select("nodo_id", "datetime", "ghi"), n.where("nodo_id % 4 <> 0").select("nodo_id", (1000 - F.col("nodo_id")).alias("new_id"))))
+query("jn07_kept_ids", "SELECT nodo_id, datetime FROM obs WHERE nodo_id IN (SELECT nodo_id FROM nodos WHERE msnm <= 0)", "obs", "nodos")(lambda o, n: filters.keep_ids(o, filters.water_nodes(n)).select("nodo_id", "datetime"))
+query("jn08_dropped_ids", "SELECT nodo_id, datetime FROM obs WHERE nodo_id NOT IN (SELECT nodo_id FROM nodos WHERE msnm <= 0)", "obs", "nodos")(lambda o, n: filters.drop_ids(o, filters.water_nodes(n)).select("nodo_id", "datetime"))
+query("jn10_time_axis", "SELECT n.nodo_id, s.ts FROM nodos n JOIN (SELECT DISTINCT date_trunc('day', ts) AS ts FROM subhora) s ON true", "nodos", "subhora")(lambda n, s: grid.time_axis(n, s.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))))
+query("win01_by_place", "SELECT nodo_id, row_number() OVER (ORDER BY latitude, longitude, nodo_id) - 1 AS new_id FROM nodos", "nodos")(lambda n: grid.numbered(n, "latitude", "longitude", "nodo_id").select("nodo_id", "new_id"))
+query("win03_cell_numbers", f"SELECT nodo_id, dense_rank() OVER (ORDER BY lat_real, lon_real) - 1 AS celda_id FROM {_SNAPPED}", "solicitados")(lambda s: grid.cell_numbers(grid.snap_nodes(s)).select("nodo_id", "celda_id"))
+query("win06_duration_rows", "SELECT temperature AS value, row_number() OVER (ORDER BY temperature DESC) AS position, " + r("row_number() OVER (ORDER BY temperature DESC) * 100.0 / count(*) OVER ()", "exceedance_pct") + " FROM obs WHERE temperature IS NOT NULL", "obs")(lambda o: rounded(stats.duration_rows(o, "temperature"), "exceedance_pct"))
+query("srt02_days", ORACLE_SQL["agg_day_classes"].removeprefix(WITH) + " ORDER BY month, day", "obs")(lambda o: rounded(stats.classify_days(o), "kt"))
+query("srt04_first_pending", "SELECT nodo_id FROM solicitados WHERE nodo_id NOT IN (SELECT nodo_id FROM obs) ORDER BY nodo_id LIMIT 25", "solicitados", "obs")(lambda s, o: grid.first_pending(s.select("nodo_id"), o, 25))
+query("srt05_preview", "SELECT nodo_id, datetime FROM obs WHERE nodo_id = 7 ORDER BY datetime LIMIT 12", "obs")(lambda o: filters.preview(o, 7, 12).select("nodo_id", "datetime"))
+query("srt06_flags_in_order", ORACLE_SQL["agg_flags"].removeprefix(WITH), "obs")(stats.flag_distribution)
+query("set02_without_metadata", "SELECT DISTINCT nodo_id FROM obs WHERE nodo_id NOT IN (SELECT nodo_id FROM nodos WHERE nodo_id % 3 = 0)", "obs", "nodos")(lambda o, n: grid.without_metadata(o, n.where("nodo_id % 3 = 0")))
+query("set05_upsert", "SELECT nodo_id, latitude, longitude, CASE WHEN nodo_id % 3 = 0 THEN 2.5 ELSE msnm END AS msnm, CASE WHEN nodo_id % 3 = 0 THEN 'b' END AS source FROM nodos UNION ALL SELECT 9999, 1.0, 2.0, 2.5, 'b'", "nodos")(
+    lambda n: grid.upserted(n, (t := n.where("nodo_id % 3 = 0").unionByName(n.limit(1).select(F.lit(9999).alias("nodo_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(0.0).alias("msnm"))).withColumn("msnm", F.lit(2.5)).withColumn("source", F.lit("b"))).union(t.withColumn("source", F.lit("a"))))
+)
+query("set06_wide", "SELECT datetime, nodo_id, max(ghi) AS ghi, max(temperature) AS temperature FROM obs GROUP BY 1, 2", "obs")(lambda o: stats.wide(o.select("datetime", "nodo_id", F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in ("ghi", "temperature"))))), ("ghi", "temperature")))
+
+# Curation jobs
+_WIDE = ["CAST(sum(rows) AS BIGINT) AS rows", "CAST(sum(rows - 1) AS BIGINT) AS duplicates", "count(DISTINCT nodo_id) AS nodes", "count(DISTINCT (month, day)) AS days", "count(DISTINCT hour) AS hours"]
+_WIDE += [f"CAST(sum(n_{k}) AS BIGINT) AS n_{k}" for k in _KINDS] + [f"CAST(sum(nulls_{c}) AS BIGINT) AS nulls_{c}" for c in _OBS_COLUMNS] + ["CAST(sum(filled) AS BIGINT) AS filled"]
+_PER_KEY = f"(SELECT nodo_id, datetime, any_value(month) AS month, any_value(day) AS day, any_value(hour) AS hour, count(*) AS rows, " + ", ".join([f"count(*) FILTER ({t}) AS n_{k}" for k, t in _KINDS.items()] + [f"count(*) - count({c}) AS nulls_{c}" for c in _OBS_COLUMNS] + ["count(*) FILTER (fill_flag <> 0) AS filled"]) + f" FROM {_JOINED} GROUP BY nodo_id, datetime)"
+query("dq01_integrity", "SELECT *, nodes * days * hours AS expected, nodes * days * hours - rows AS missing, " + r("(nodes * days * hours - rows) * 100.0 / (nodes * days * hours)", "missing_pct", 3) + " FROM (SELECT " + ", ".join(_WIDE) + f" FROM {_PER_KEY})", "obs", "nodos")(quality.integrity_row)
+_RAW = lambda o: o.drop("datetime").withColumn("minute", F.lit(30)).withColumnsRenamed({"nodo_id": " Nodo ID", "solar_zenith_angle": "Solar Zenith Angle", "year": "Year "})
+_STORED = "CAST(nodo_id AS SMALLINT) AS nodo_id, make_timestamp(year, month, day, hour, 0, 0) AS datetime, CAST(year AS SMALLINT) AS year, CAST(month AS TINYINT) AS month, CAST(day AS TINYINT) AS day, CAST(hour AS TINYINT) AS hour"
+query("dq03_consolidated", f"SELECT {_STORED}, ghi, solar_zenith_angle, CAST(cloud_type AS TINYINT) AS cloud_type FROM obs", "obs")(lambda o: curation.consolidated(_RAW(o)).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi", "solar_zenith_angle", "cloud_type"))
+_GATE = "SELECT rows, nodes, nodes * 600 AS expected, rows = nodes * 600 AS complete FROM (SELECT count(*) AS rows, count(DISTINCT nodo_id) AS nodes FROM {})"
+query("dq04_complement_gate", _GATE.format("complemento"), "obs")(lambda o: curation.complement_set(fixtures.complement(o).withColumn("Minute", F.lit(30)), hours=600)[1])
+query("dq05_master_gate", _GATE.format("obs"), "obs")(lambda o: curation.count_gate(curation.consolidated(_RAW(o)), hours=600))
+query("dq06_feature_year", "SELECT h.nodo_id, h.hour_ts AS datetime, " + r("mean", "mean") + ", max, minute_30 AS solar_zenith_angle, mode AS cloud_type, CAST(year(h.hour_ts) AS INT) AS year, CAST(month(h.hour_ts) AS INT) AS month, CAST(day(h.hour_ts) AS INT) AS day, CAST(hour(h.hour_ts) AS INT) AS hour" + f" FROM {_HOURLY} h JOIN {_MODE} m ON h.nodo_id = m.nodo_id AND h.hour_ts = m.hour_ts WHERE minute_30 < 85", "subhora")(
+    lambda s: rounded(curation.feature_year(s, {"mean": ("value", "mean"), "max": ("value", "max"), "solar_zenith_angle": ("value", "minute_30"), "cloud_type": ("code", "mode")}), "mean")
+)
+_FUSED = "(SELECT o.* FROM obs o JOIN complemento c ON o.nodo_id = c.nodo_id AND o.year = c.year AND o.month = c.month AND o.day = c.day AND o.hour = c.hour)"
+query("dq07_fusion_audit", f"SELECT b AS rows_before, a AS rows_after, b - a AS lost, " + r("a * 100.0 / b", "kept_pct", 3) + f" FROM (SELECT (SELECT count(*) FROM obs) AS b, (SELECT count(*) FROM {_FUSED}) AS a)", "obs")(lambda o: curation.fusion_audit(o, curation.fused(o, fixtures.complement(o))))
+query("dq08_fused_24h", "SELECT h.nodo_id, year, month, day, hour, " + r("mean", "mean") + f", max, minute_30, mode, cloud FROM (SELECT *, CAST(year(hour_ts) AS INT) AS year, CAST(month(hour_ts) AS INT) AS month, CAST(day(hour_ts) AS INT) AS day, CAST(hour(hour_ts) AS INT) AS hour FROM {_HOURLY}) h JOIN (SELECT nodo_id, hour_ts, mode, mode + 1 AS cloud FROM {_MODE} WHERE nodo_id % 10 <> 0) m ON h.nodo_id = m.nodo_id AND h.hour_ts = m.hour_ts", "subhora")(
+    lambda s: rounded(curation.fused_24h(s, curation.feature_year(s, {"cloud": ("code", "mode")}).where("nodo_id % 10 <> 0").select(*curation.KEYS, (F.col("cloud") + 1).alias("cloud"))), "mean")
+)
+_ASKED = "SELECT nodo_id, nodo_id % 3 AS region, 2017 + nodo_id % 2 AS year FROM"
+query("dq09_states", f"SELECT s.region, s.year, count(*) AS total, count(o.nodo_id) AS present, count(*) - count(o.nodo_id) AS missing, count(*) = count(o.nodo_id) AS complete FROM ({_ASKED} solicitados) s LEFT JOIN (SELECT DISTINCT nodo_id FROM obs WHERE nodo_id % 7 <> 0) o ON s.nodo_id = o.nodo_id GROUP BY s.region, s.year", "solicitados", "obs")(
+    lambda s, o: grid.ingest_states(*(x.selectExpr("nodo_id", "nodo_id % 3 AS region", "2017 + nodo_id % 2 AS year") for x in (s, o.where("nodo_id % 7 <> 0"))))
+)
+query("dq10_without_metadata", "SELECT DISTINCT nodo_id FROM obs WHERE nodo_id NOT IN (SELECT nodo_id FROM nodos WHERE nodo_id % 2 = 0) AND nodo_id <= 40", "obs", "nodos")(lambda o, n: grid.without_metadata(o, n.where("nodo_id % 2 = 0"), n.where("nodo_id <= 40")))
+query("dq11_daylight_dataset", "SELECT nodo_id, make_timestamp(year, month, day, hour, 0, 0) AS datetime, year, month, day, hour, ghi, dni, clearsky_ghi, temperature, pressure, wind_speed, cloud_type, solar_zenith_angle, relative_humidity AS rh_mean FROM obs WHERE clearsky_ghi > 0 AND solar_zenith_angle < 85", "obs")(lambda o: curation.daylight_dataset(o)[0])
+query("dq11_daylight_report", ORACLE_SQL["agg_retention"].removeprefix(WITH), "obs")(lambda o: curation.daylight_dataset(o)[1])
+_FACTS = f"(SELECT nodo_id, lat_real, lon_real, CASE WHEN nodo_id = 77 THEN 1.0 ELSE 0.0 END AS v, TIMESTAMP '2020-01-01' AS datetime FROM {_SNAPPED})"
+_facts = lambda s: s.select("nodo_id", F.when(F.col("nodo_id") == 77, 1.0).otherwise(0.0).alias("v"), F.lit("2020-01-01").cast("timestamp_ntz").alias("datetime"))
+query("dq13_differing_cells", f"SELECT lat_real, lon_real, datetime FROM {_FACTS} GROUP BY lat_real, lon_real, datetime HAVING count(DISTINCT v) > 1", "solicitados")(lambda s: grid.differing_cells(_facts(s), grid.snap_nodes(s), ["v"]))
+query("dq14_regridded", f"SELECT row_number() OVER (ORDER BY nodo_id) - 1 AS nodo_id, CAST(0 AS DOUBLE) AS v, TIMESTAMP '2020-01-01' AS datetime FROM {_FIRST} WHERE i = 1", "solicitados")(lambda s: curation.regridded(_facts(s).withColumn("v", F.lit(0.0)), grid.snap_nodes(s), ["v"]).select("nodo_id", "v", "datetime"))
+_CANON = f"(SELECT nodo_id, lat_real, lon_real, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM {_FIRST} WHERE i = 1)"
+query("dq15_lineage", f"SELECT new_id AS nodo_id, nodo_id AS nodo_id_original, lat_real, lon_real FROM {_CANON}", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o)[0].select("nodo_id", "nodo_id_original", "lat_real", "lon_real"))
+query("dq15_facts", f"SELECT CAST(c.new_id AS INT) AS nodo_id, o.datetime, o.ghi FROM obs o JOIN {_CANON} c ON o.nodo_id = c.nodo_id", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o.select("nodo_id", "datetime", "ghi"))[1])
+query("dq15_missing_sources", f"SELECT nodo_id FROM {_CANON} WHERE nodo_id NOT IN (SELECT nodo_id FROM obs)", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o)[2])
+_KEPT = "(SELECT *, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM nodos WHERE NOT coalesce(msnm <= 0, false))"
+query("dq16_nodes", f"SELECT new_id AS nodo_id, nodo_id AS nodo_id_4501, latitude, longitude, msnm FROM {_KEPT}", "nodos", "obs")(lambda n, o: curation.without_nodes(n, o, filters.water_nodes(n))[0])
+query("dq16_facts", f"SELECT CAST(k.new_id AS INT) AS nodo_id, o.datetime, o.ghi FROM obs o JOIN {_KEPT} k ON o.nodo_id = k.nodo_id", "nodos", "obs")(lambda n, o: curation.without_nodes(n, o.select("nodo_id", "datetime", "ghi"), filters.water_nodes(n))[1])
+query("dq17_candidates", "SELECT nodo_id, msnm FROM nodos WHERE msnm <= 100", "nodos")(lambda n: curation.water_candidates(n, 100.0)[0].select("nodo_id", "msnm"))
+query("dq17_statistics", ORACLE_SQL["grid_elevation_summary"].removeprefix(WITH).replace("msnm <= 0", "msnm <= 100"), "nodos")(lambda n: curation.water_candidates(n, 100.0)[1])
+query("dq18_reconstructed", f"SELECT f.nodo_id, f.lat_real, f.lon_real, dense_rank() OVER (ORDER BY f.lat_real, f.lon_real) - 1 AS celda_id, i > 1 AS is_duplicate FROM {_FIRST} f", "solicitados")(lambda s: curation.reconstructed(s).select("nodo_id", "lat_real", "lon_real", "celda_id", "is_duplicate"))
+_GRID = "(SELECT round(17.6 + CAST(a.range AS DOUBLE) * 0.04, 4) AS latitude, round(-68 + CAST(b.range AS DOUBLE) * 0.04, 4) AS longitude FROM range(31) a JOIN range(81) b ON true)"
+query("dq19_calibrated_grid", f"SELECT row_number() OVER (ORDER BY latitude, longitude) - 1 AS nodo_id, latitude, longitude FROM {_GRID} WHERE {_INSIDE} AND (SELECT count(*) FROM nodos) > 0", "nodos")(lambda n: curation.calibrated_grid(n.sparkSession, (17.6, 18.8), (-68.0, -64.8), 0.04, fixtures.POLYGON))
+_ZERO = "(SELECT nodo_id, CASE WHEN nodo_id % 9 = 0 THEN 0 ELSE latitude END AS latitude, longitude FROM nodos)"
+_zero = lambda n: n.select("nodo_id", F.when(F.col("nodo_id") % 9 == 0, 0.0).otherwise(F.col("latitude")).alias("latitude"), "longitude")
+query("dq20_pending", f"SELECT nodo_id FROM {_ZERO} WHERE latitude = 0 OR longitude = 0", "nodos")(lambda n: curation.pending_coordinates(_zero(n)).select("nodo_id"))
+query("dq20_confirmed", f"SELECT z.nodo_id, z.latitude AS lat_local, z.longitude AS lon_local, coalesce(c.latitude, z.latitude) AS latitude, coalesce(c.longitude, z.longitude) AS longitude, c.latitude IS NOT NULL AS corregido FROM {_ZERO} z LEFT JOIN (SELECT * FROM nodos WHERE nodo_id % 9 = 0) c ON z.nodo_id = c.nodo_id", "nodos")(
+    lambda n: curation.with_confirmed(_zero(n), n.where("nodo_id % 9 = 0").withColumnsRenamed({"latitude": "lat_nrel", "longitude": "lon_nrel"}))
+)
+query("dq22_node_audit", "SELECT count(*) AS rows, count(*) = 8760 AS complete, CAST(18 AS INT) AS columns, " + "CAST(" + " + ".join(f"count(*) - count({c})" for c in _OBS_COLUMNS) + " AS BIGINT) AS nulls FROM obs WHERE nodo_id = 5", "obs")(lambda o: quality.node_audit(o, 5).drop("types"))
+query("dq23_report_profile", ORACLE_SQL["agg_daily_profile"].removeprefix(WITH).replace("temperature", "ghi"), "obs", "nodos")(lambda o, n: rounded(curation.report(o, n)["profile"], "mean", "std", "low", "high"))
+query("dq23_report_resource", ORACLE_SQL["agg_resource_map"].removeprefix(WITH), "obs", "nodos")(lambda o, n: rounded(curation.report(o, n)["resource"], "value"))
+query("dq24_topology", "SELECT CAST(row_number() OVER (ORDER BY nodo_id) - 1 AS INT) AS nodo_id, latitude, longitude, msnm FROM nodos", "nodos")(
+    lambda n: curation.topology(n.agg(F.transform(F.sort_array(F.collect_list(F.struct("nodo_id", "latitude", "longitude", "msnm"))), lambda x: F.struct(x["latitude"].cast("string").cast("binary").alias("latitude"), x["longitude"].alias("longitude"), x["msnm"].cast("string").cast("binary").alias("elevation"))).alias("meta")))
+)
+QUERIES["src08_matrix_steps"] = lambda spark, sf_dir: matrix_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=10.0, steps=(100, 119))
+ORACLE_SQL["src08_matrix_steps"] = "SELECT vec_id AS step, CAST(i - 1 AS INT) AS nodo_id, CAST(embedding[i] AS DOUBLE) / 10 AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id BETWEEN 100 AND 119)"
+
 QUERIES["src_matrix"] = lambda spark, sf_dir: matrix_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=10.0)
 ORACLE_SQL["src_matrix"] = "SELECT vec_id AS step, CAST(i - 1 AS INT) AS nodo_id, CAST(embedding[i] AS DOUBLE) / 10 AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"

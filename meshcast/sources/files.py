@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.scalars import CLOUD_TYPE, FILL_FLAG, label_of
+from ..operators.filters import filtered
 
 FORMATS = ("parquet", "csv", "orc", "json")
 
@@ -18,6 +24,22 @@ def node_dimension(spark: SparkSession, path: str, schema: str = "nodo_id int, l
     return spark.read.schema(schema).csv(path, header=True)
 
 
+PER_NODE = ("location_id", "latitude", "longitude", "elevation")  # fixed names: header fields that change between nodes
+
+
+def payload_table(spark: SparkSession, folder: str, schema: str, header: str = "cambian") -> DataFrame:
+    """Payload texts as typed rows: file, the columns of `schema` by their tidied names (text that does not fit its type is an error),
+    and `header`: all fields ("todos") or those that change between nodes ("cambian")."""
+    if header not in ("todos", "cambian"):
+        raise ValueError(f"unknown header mode {header!r}")
+    rows = payloads(spark, folder)
+    fields = StructType.fromDDL(schema)
+    names = F.transform("columns", lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    cells = rows.withColumn("cells", F.map_from_arrays(names, "values"))
+    kept = F.col("header") if header == "todos" else F.map_filter("header", lambda k, _: k.isin(*PER_NODE))
+    return cells.select("file", kept.alias("header"), *(F.nullif(F.trim(F.try_element_at("cells", F.lit(f.name))), F.lit("")).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """(file, header map, columns, values) rows of payload texts: names, header values, column names, then one line per hour."""
     raw = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim("value"), "\r?\n").alias("lines"))
@@ -34,8 +56,20 @@ def matrix_rows(matrix: DataFrame, step: str = "vec_id", values: str = "embeddin
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
-    """Files and bytes of a table that is read from files."""
-    return df.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+    """One row of a table that is read from files: files, bytes, rows, and its columns with their types."""
+    per = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("rows"))
+    types = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for f in df.schema))
+    return per.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("rows").alias("rows")).withColumn("columns", types)
+
+
+def schema_audit(spark: SparkSession, paths, expected) -> DataFrame:
+    """(file, column, side) for Parquet files against a list of column names: side is missing or extra. Only footers are read, one per file."""
+    have = [(p, c) for p in paths for c in spark.read.parquet(p).columns]
+    have = spark.createDataFrame(have, "file string, column string")
+    files = spark.createDataFrame([(p,) for p in paths], "file string")
+    wanted = files.select("file", F.explode(F.array(*map(F.lit, expected))).alias("column"))
+    missing = wanted.join(have, ["file", "column"], "left_anti").withColumn("side", F.lit("missing"))
+    return missing.union(have.join(wanted, ["file", "column"], "left_anti").withColumn("side", F.lit("extra")))
 
 
 def schema_difference(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -50,10 +84,41 @@ def write_ordered(df: DataFrame, path: str, partitions: int | None = None, mode:
     dealt.sortWithinPartitions("nodo_id", "datetime").write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def export(df: DataFrame, path: str, fmt: str | None = None) -> None:
-    """Write by the path's extension or a named format; others are an error."""
+def decoded(df: DataFrame) -> DataFrame:
+    """Labels of cloud_type and fill_flag, and whether a row is filled, as further columns."""
+    if "cloud_type" in df.columns:
+        df = df.withColumn("cloud_label", label_of("cloud_type", CLOUD_TYPE))
+    if "fill_flag" in df.columns:
+        df = df.withColumn("fill_label", label_of("fill_flag", FILL_FLAG)).withColumn("filled", F.col("fill_flag") != 0)
+    return df
+
+
+def write_replacing(df: DataFrame, path: str, history: str | None = None) -> None:
+    """Write beside `path`, then swap: readers see the old or the new table, never a part. The old one moves to `history`, or goes.
+
+    Works on any file system that Spark writes to; `df` may be read from `path`.
+    """
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(staging)
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = history or f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"could not move {path} to {old}")
+    if not fs.rename(at(staging), at(path)):
+        raise OSError(f"could not move {staging} to {path}; the old table is {old}")
+    if history is None and fs.exists(at(old)):
+        fs.delete(at(old), True)
+
+
+def export(df: DataFrame, path: str, fmt: str | None = None, decode: bool = False, **filters) -> None:
+    """Write a filtered subset (arguments of `filtered`) by the path's extension or a named format; others are an error."""
     fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
+    df = filtered(df, **filters) if filters else df
+    df = decoded(df) if decode else df
     writer = df.write.format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)

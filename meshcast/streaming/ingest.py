@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def ingest_new_files(spark: SparkSession, folder: str, schema, out: str, checkpoint: str):
-    """Append the rows of files that no earlier run has read; returns the finished query."""
+    """Append the rows of files that no earlier run has read; returns the finished query. `schema` is fixed: a file's other columns are
+    ignored, missing ones are null; a failed run is repeated from its checkpoint without repeating rows in `out`."""
     stream = spark.readStream.schema(schema).parquet(folder)
     query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
