@@ -45,7 +45,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.rtrim("value"), "\r?\n").alias("lines"))
     names = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda c: F.regexp_replace(F.lower(F.trim(c)), "[ -]", "_"))
     header = F.map_from_arrays(names, F.split(F.get("lines", F.lit(1)), ","))
-    return raw.where(F.size("lines") > 3).select("file", header.alias("header"), F.split(F.get("lines", F.lit(2)), ",").alias("columns"), F.explode(F.slice("lines", F.lit(4), F.size("lines") - 3)).alias("line")).select("file", "header", "columns", F.split("line", ",").alias("values"))
+    return raw.where(F.size("lines") > 3).select("file", header.alias("header"), F.split(F.get("lines", F.lit(2)), ",").alias("columns"), F.explode(F.slice("lines", F.lit(4), F.size("lines") - 3)).alias("line")).where(F.trim("line") != "").select("file", "header", "columns", F.split("line", ",").alias("values"))
 
 
 def matrix_rows(matrix: DataFrame, step: str = "vec_id", values: str = "embedding", scale: float = 1.0, steps: tuple | None = None) -> DataFrame:
