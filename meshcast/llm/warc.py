@@ -8,8 +8,9 @@ assembles the transaction by joins on those identifiers into one nested row per
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,11 @@ def _record(kind, ident, uri, concurrent, extra, content_type, block):
     return F.concat(*head, *extra, F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip") -> None:
-    """Archive every row of `pages` (page_id, url, html) under `path`, as gzipped WARC files of one Spark task each.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", pages_per_file: int = 1000) -> None:
+    """Archive every row of `pages` (page_id, url, html) under `path`, as gzipped WARC files of at most `pages_per_file` pages.
 
     Of pages with equal payloads of at least `least_bytes` bytes the one with the largest page_id is a response, the others are
-    revisits of it. Null html is an empty payload; null urls are empty; white space and control characters of urls are percent-encoded.
+    revisits of it; of rows that share that page_id, one. Null html is an empty payload; null urls are empty; white space and control characters of urls are percent-encoded.
     """
     page = pages.select(
         F.col("page_id").cast("long"),
@@ -50,7 +51,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: s
     page = page.withColumn("digest", base32_sha1(F.col("html"))).withColumn("ident", F.format_string("<urn:capture:%s:%d>", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "row"))
     kept = page.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "ident")).alias("last"), F.count("*").alias("k")).where("k > 1").select("digest", "last")
     page = page.join(kept, "digest", "left")
-    again = F.coalesce((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last.page_id")), F.lit(False))
+    again = F.coalesce((F.octet_length("html") >= least_bytes) & (F.col("ident") != F.col("last.ident")), F.lit(False))
     # Rows without a repeated payload have no `last`.
     again = again & F.col("last").isNotNull()
     digest = [F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest")]
@@ -60,28 +61,23 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: s
     of = lambda what: F.concat(F.expr("substring(ident, 1, length(ident) - 1)"), F.lit(f":{what}>"))
     request = _record(F.lit("request"), of("request"), F.col("uri"), F.col("ident"), [], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record(F.lit("metadata"), of("metadata"), F.col("uri"), F.col("ident"), [], "application/warc-fields", F.concat(F.lit("payloadBytes: "), F.octet_length("html").cast("string"), F.lit("\r\n")))
-    page.select(F.concat_ws("\r\n\r\n", own, request, metadata).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    page.select(F.concat_ws("\r\n\r\n", own, request, metadata).alias("value")).write.option("maxRecordsPerFile", pages_per_file).option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def parse_archive(content: bytes):
-    """(headers, block) of each record of one archive."""
+    """(headers, block) of each record of one archive, plain or in any number of gzip members, unpacked as it is read."""
+    stream = io.BytesIO(content)
     if content[:2] == b"\x1f\x8b":
-        out = []
-        while content:
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(content))
-            content = z.unused_data
-        content = b"".join(out)
-    at = 0
-    while True:
-        at = content.find(b"WARC/1.", at)
-        if at < 0:
-            return
-        end = content.index(b"\r\n\r\n", at)
-        headers = dict(line.split(": ", 1) for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        yield headers, content[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        headers = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, found, value = line.decode("utf-8", "replace").partition(": ")
+            if found:
+                headers[name] = value
+        yield headers, stream.read(int(headers.get("Content-Length", 0)))
 
 
 FIELDS = {"kind": "WARC-Type", "id": "WARC-Record-ID", "concurrent_to": "WARC-Concurrent-To", "refers_to": "WARC-Refers-To", "uri": "WARC-Target-URI", "date": "WARC-Date", "declared": "WARC-Payload-Digest"}
