@@ -11,11 +11,13 @@ farther from them than CONTEXT characters cannot belong to a span that the label
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,23 +236,22 @@ def labelled(text: str) -> list[tuple[list[int], list[int]]]:
 
 def _training(batches):
     for pdf in sliced(batches, 200):
-        rows = [x for t in pdf.text for x in labelled(t)[:6]]
+        rows = [x for t in pdf.text for x in labelled(t)]
         if rows:  # an empty frame has no list columns
-            yield pd.DataFrame({"codes": [r[0] for r in rows], "tags": [r[1] for r in rows]})
+            yield pd.DataFrame({"key": [xxhash.xxh3_64_intdigest(np.asarray(r[0], np.int32).tobytes()) >> 1 for r in rows], "codes": [r[0] for r in rows], "tags": [r[1] for r in rows]})
 
 
 def fit(docs: DataFrame, rows: int = 6000, most_windows: int = 4000) -> Tagger:
-    """Train on the first `rows` rows by a hash of doc_id (texts up to 50,000 characters) and at most `most_windows` windows of
-    them; with nothing to learn from, the tagger has its first weights and MARGIN keeps it silent."""
+    """Train on the first `rows` rows by a hash of doc_id (texts up to 50,000 characters) and on `most_windows` different
+    windows of them, the first by a hash of their characters, so the layout of the files makes no difference; with nothing to learn from, the tagger has its first weights and MARGIN keeps it silent."""
     picked = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").where(F.length("text") <= 50_000)
-    got = texts.join(F.broadcast(picked), "doc_id").mapInPandas(_training, "codes array<int>, tags array<int>").limit(most_windows).toPandas()
+    got = texts.join(F.broadcast(picked), "doc_id").mapInPandas(_training, "key long, codes array<int>, tags array<int>").dropDuplicates(["key"]).orderBy("key").limit(most_windows).toPandas()
     tagger = Tagger()
     if len(got):
-        order = got.codes.map(lambda c: hashlib.md5(np.asarray(c, np.int32).tobytes()).digest()).argsort(kind="stable")
-        ids = padded([np.asarray(x, np.int64) for x in got.codes.iloc[order]])
+        ids = padded([np.asarray(x, np.int64) for x in got.codes])
         tags = np.zeros_like(ids)
-        for i, x in enumerate(got.tags.iloc[order]):
+        for i, x in enumerate(got.tags):
             tags[i, : len(x)] = x
         tagger.fit(ids, tags)
     return tagger
@@ -258,11 +259,20 @@ def fit(docs: DataFrame, rows: int = 6000, most_windows: int = 4000) -> Tagger:
 
 def reconciled(base, added, length) -> list[tuple[str, int, int]]:
     """Base spans and those added spans that overlap none kept before, best first; by kind as listed, then start."""
-    taken = sorted((a, b) for _, a, b in base)
+    # What is taken, as the union of its spans: sorted starts, and the end of each.
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = list(base)
-    for score, kind, a, b in sorted(added, key=lambda s: (-s[0], s[2], s[3], s[1])):
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+    for _, kind, a, b in sorted(added, key=lambda s: (-s[0], s[2], s[3], s[1])):
+        i = bisect.bisect_left(starts, b)
+        if i == 0 or ends[i - 1] <= a:
+            starts.insert(i, a)
+            ends.insert(i, b)
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
