@@ -21,7 +21,7 @@ from .common import shingle_hashes, sliced, word_hashes
 
 BLOCKS, BLOCK_BITS, NEAR = 4, 16, 4
 RADIUS = BLOCKS * (NEAR + 1) - 1
-ITEMS_AT_ONCE = 4096  # the query set is sent out in blocks of this many items
+ITEMS_AT_ONCE = 1024  # the query set is sent out in blocks of this many items
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 _BITS = np.arange(64, dtype=np.uint64)
@@ -69,20 +69,31 @@ class Index:
         # A bit per hash prefix: most shingles of the corpus are settled by one look-up.
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
-        self.weight = np.array([bin(i).count("1") for i in range(1 << BLOCK_BITS)], np.uint8)
+        # A table per block: for each of its values, the items whose block differs in at most NEAR bits.
+        masks = np.array([i for i in range(1 << BLOCK_BITS) if i.bit_count() <= NEAR], np.int64)
+        self.tables = []
+        for b in range(BLOCKS):
+            values = (((self.prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)[:, None] ^ masks).ravel()
+            order = np.argsort(values, kind="stable")
+            ends = np.cumsum(np.bincount(values, minlength=1 << BLOCK_BITS))
+            self.tables.append((np.concatenate([[0], ends]).astype(np.int32), (order // max(len(masks), 1)).astype(np.int16)))
 
     def within(self, prints: np.ndarray, which: np.ndarray) -> np.ndarray:
         """(window, item) pairs, both as indices, within the radius: a look-up in each block's table, then the whole distance."""
-        found = np.zeros((len(prints), len(which)), bool)
-        for b in range(BLOCKS):
-            shift = np.uint64(b * BLOCK_BITS)
-            mine, theirs = (((x >> shift) & np.uint64(0xFFFF)).astype(np.int64) for x in (prints, self.prints[which]))
-            values, back = np.unique(mine, return_inverse=True)
-            table = self.weight[values[:, None] ^ theirs[None, :]] <= NEAR
-            found |= table[back]
-        x, y = np.nonzero(found)
-        near = np.bitwise_count(prints[x] ^ self.prints[which[y]]) <= RADIUS
-        return np.stack([x[near], which[y[near]]], axis=1)
+        wanted = np.zeros(len(self.items), bool)
+        wanted[which] = True
+        pairs = []
+        for b, (ends, items) in enumerate(self.tables):
+            v = ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
+            n = ends[v + 1] - ends[v]
+            x = np.repeat(np.arange(len(v)), n)
+            y = items[np.repeat(ends[v] - np.cumsum(n) + n, n) + np.arange(len(x))].astype(np.int64)
+            keep = wanted[y]
+            x, y = x[keep], y[keep]
+            near = np.bitwise_count(prints[x] ^ self.prints[y]) <= RADIUS
+            pairs.append(x[near] * len(self.items) + y[near])
+        found = np.unique(np.concatenate(pairs))
+        return np.stack([found // len(self.items), found % len(self.items)], axis=1)
 
     def matches(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
         """(item, start, length, similarity) of the windows of one document that pass."""
@@ -139,7 +150,7 @@ def _scan(index, k: int, threshold: float):
                     b[3] += 1
                     if score > b[2]:
                         b[:3] = start, n, score
-                rows += [(doc, item, b[3], b[0], b[1], b[2]) for item, b in sorted(best.items())]
+                rows += [(doc, item, b[3], b[0], b[1], b[2]) for item, b in sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_windows", "start_word", "n_words", "similarity"])
 
     return run
@@ -148,41 +159,42 @@ def _scan(index, k: int, threshold: float):
 SCHEMA = "doc_id long, item_id long, n_windows long, start_word long, n_words long, similarity double"
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, k: int):
+    """The query set as broadcast indexes of at most ITEMS_AT_ONCE texts; rows that repeat both id and text are taken once."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
+    last, key = None, F.struct(F.coalesce("item_id", F.lit(-(2**63))).alias("a"), F.sha1(F.col("text").cast("binary")).alias("b"))
+    items = items.withColumn("key", key)
+    while True:
+        block = (items if last is None else items.where(F.col("key") > F.struct(F.lit(last.a).alias("a"), F.lit(last.b).alias("b")))).orderBy("key").limit(ITEMS_AT_ONCE).collect()
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block], k))
+        if len(block) < ITEMS_AT_ONCE:
+            return
+        last = block[-1].key
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document and benchmark item that has a window in it: the number of passing windows, the best one's first word,
     its words and its similarity (the first of equally good ones).
 
     Null and empty texts, on either side, match nothing. Repeated document rows give repeated results; repeated items are
-    taken once. Items of fewer than k words match exact repeats. Empty tables give an empty result.
+    taken once, and texts that share an item_id, or have none, are each searched (items without an id as null). Items of fewer than k
+    words match exact repeats. Other columns are ignored. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     out = None
-    last = None
-    while True:  # the stated query set, in blocks of a fixed size
-        block = (items if last is None else items.where(F.col("item_id") > last)).orderBy("item_id").limit(ITEMS_AT_ONCE).collect()
-        if out is not None and not block:
-            return out
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block], k))
+    for index in _indexes(docs, benchmark, k):
         found = docs.mapInPandas(_scan(index, k, threshold), SCHEMA)
         out = found if out is None else out.union(found)
-        if len(block) < ITEMS_AT_ONCE:
-            return out
-        last = block[-1].item_id
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` without any benchmark passage, all columns kept."""
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").dropDuplicates(["item_id"])
-    indexes, last = [], None
-    while True:
-        block = (rows if last is None else rows.where(F.col("item_id") > last)).orderBy("item_id").limit(ITEMS_AT_ONCE).collect()
-        indexes.append(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block], k)))
-        if len(block) < ITEMS_AT_ONCE:
-            break
-        last = block[-1].item_id
+    """The rows of `docs` without any benchmark passage, all columns kept.
+
+    Null and empty texts stay; repeated rows stay or go together; items without an id count like others; an empty table on either side
+    drops nothing. Columns of `docs` may have any names beside `text`.
+    """
+    indexes = list(_indexes(docs, benchmark, k))
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
