@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshcast.llm.common import fresh_path
+from meshcast.llm.common import fresh_path, staged
 from meshcast.llm.decontamination import decontaminate
 from meshcast.llm.ngram_jaccard import ngram_jaccard_join
 from meshcast.llm.packing import packed
@@ -16,13 +16,21 @@ from meshcast.llm.toxicity import toxicity_scores
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    return toxicity_scores(docs, table(spark, sf_dir, "labels"), threshold=0.7).where("predicted = 0").select(*docs.columns)
+    scored = toxicity_scores(docs.select(F.struct("*").alias("own"), "doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return scored.where("predicted = 0").select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest doc_id. Rows without a doc_id stay."""
-    kept = ngram_jaccard_join(docs, k=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each group of linked ones: the one with the smallest doc_id. Rows are told apart by a stored number, so repeated
+    rows, rows that share a doc_id and rows without one are documents like others; texts without words link with nothing and stay."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", packing),
 ]
-#: Learnt models and packing cannot be written in SQL; tests compare each stage with a brute-force version.
+#: Learnt models and packing cannot be written in SQL; tests/llm/test_pipeline.py compares the stages with brute force on small tables.
 ORACLE_SQL = None
 
 
