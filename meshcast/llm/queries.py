@@ -75,5 +75,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses)}
-# Learnt models, packing, graph iterations, archives and rolling hashes are tested against brute force instead.
+# Learnt models, packing, graph iterations and rolling hashes are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
+_BITS = " ".join(f"{i:04b}" for i in range(16))
+_VALUE = " + ".join(f"CAST(substr(bits, CAST(5 * j + {i + 1} AS INT), 1) AS INT) * {16 >> i}" for i in range(5))
+ORACLE_SQL["op2_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '[\x00-\x20\x7F]', '%20', 'g') AS target_uri FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('{_BITS}', 5 * (strpos('0123456789abcdef', substr(sha1(html), CAST(i AS INT), 1)) - 1) + 1, 4)), '') AS bits,
+  max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_VALUE}, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, target_uri, true AS has_request, true AS has_metadata FROM b"""
+_REACH = "reach AS (SELECT {0}, {0} AS r FROM {1} UNION SELECT reach.{0}, l.b FROM reach JOIN links l ON reach.r = l.a)"
+ORACLE_SQL["op7_ngram_jaccard"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * (any_value(nx.n) + any_value(ny.n) - count(*))),
+{_REACH.format("doc_id", "documents")}
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+ORACLE_SQL["op5_embeddings"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+{_REACH.format("vec_id", "embeddings")}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach GROUP BY vec_id"""
