@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, sliced, staged
 
 CHUNK = 1024  # residents of a cell that visitors meet in one task
+CELL = 64  # vectors to a cell of the grid, on average; codebooks grow so that it is not exceeded, as far as the sample can train them
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -92,18 +93,37 @@ def cutoff(x: np.ndarray, books, threshold: float, recall: float, probes: int =
     return float(min(np.quantile(need, recall), 2 - 2 * threshold)) + 1e-9
 
 
+def traversal(s1: np.ndarray, s2: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, a, b): multi-sequence order. s1 and s2 hold each vector's sorted bounds to the cells of both codebooks. In each step every
+    vector visits the nearest cell s1[a] + s2[b] that it has not visited yet; its traversal ends where that lies beyond `most`."""
+    live, out = np.arange(len(s1)), []
+    nearest, at = s1 + s2[:, :1], np.zeros(s1.shape, np.int64)  # of each a: the bound of its next cell, and the b of that cell
+    while len(live):
+        rows = np.arange(len(live))
+        a = nearest.argmin(1)
+        go = nearest[rows, a] <= most
+        if not go.all():
+            live, nearest, at, s1, s2 = live[go], nearest[go], at[go], s1[go], s2[go]
+            rows, a = np.arange(len(live)), a[go]
+        b = at[rows, a]
+        out.append((live, a, b))
+        at[rows, a] = b + 1
+        more = b + 1 < s2.shape[1]
+        nearest[rows, a] = np.where(more, s1[rows, a] + s2[rows, np.where(more, b + 1, 0)], np.inf)
+    return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+
+
 def _visits(books, most: float):
     """(vector, cell) rows: the multi-sequence traversal of the grid, nearest cells first, up to the cutoff."""
 
     def run(batches):
         c1, c2 = books.value
-        for pdf in sliced(batches, 500):
+        for pdf in sliced(batches, 2000):
             x = _normalised(np.array(pdf.v.tolist(), np.float64))
             h = x.shape[1] // 2
             b1, b2 = _bounds(x[:, :h], c1), _bounds(x[:, h:], c2)
             o1, o2 = b1.argsort(1, kind="stable"), b2.argsort(1, kind="stable")
-            s1, s2 = np.take_along_axis(b1, o1, 1), np.take_along_axis(b2, o2, 1)
-            n, a, b = np.nonzero(s1[:, :, None] + s2[:, None, :] <= most)
+            n, a, b = traversal(np.take_along_axis(b1, o1, 1), np.take_along_axis(b2, o2, 1), most)
             yield pd.DataFrame({"label": pdf.label.to_numpy()[n], "rep": pdf.rep.to_numpy()[n], "i": o1[n, a].astype(np.int32), "j": o2[n, b].astype(np.int32)})
 
     return run
@@ -163,7 +183,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroid
     """vec_id, n_links, component_id, kept: one row per row of `vectors` (vec_id, embedding, label).
 
     Only vectors of equal, non-null labels and equal length are compared. Null, zero and empty vectors and those with null or
-    non-finite components link with nothing. Equal vectors link with each other. vec_id names one vector. An empty table gives no rows.
+    non-finite components link with nothing. Equal vectors link with each other. vec_id names one vector: a repeated row is one more
+    vector, which links with its twin. An empty table gives no rows. Each codebook has `centroids` centroids, more for over
+    CELL * centroids^2 vectors, and is learnt from at most `sample` vectors drawn by a hash; every vector is indexed.
     """
     spark = vectors.sparkSession
     # Floats travel as they are; all arithmetic is in double precision.
@@ -178,23 +200,21 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroid
     classes = staged(classes, "classes")
     member = all_.select("vec_id", "digest").join(classes.select("digest", "rep", "copies"), "digest", "left").select("vec_id", "rep", "copies")
 
-    learnt: dict[int, tuple] = {}
-    # The sample's size is bounded by the parameter.
-    for row in classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample).toPandas().v:
-        learnt.setdefault(len(row), []).append(np.asarray(row, np.float64))
     found = None
-    for width in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
-        train = learnt.get(width)
-        if train is None:
-            train = [np.asarray(r.v) for r in classes.where(F.size("v") == width).select("v").limit(64).collect()]
-        x = _normalised(np.array(train))
+    # One turn for each vector length; a table of embeddings has one.
+    for width, n in classes.groupBy(F.size("v")).count().collect():
+        some = classes.where(F.size("v") == width)
+        # The sample is drawn by a hash, and bounded by the parameter.
+        train = some.orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample).toPandas().v
+        x = _normalised(np.array(train.tolist(), np.float64))
+        k = max(centroids, min(int(np.ceil(np.sqrt(n / CELL))), sample // 8))
         h = width // 2
-        books = spark.sparkContext.broadcast((kmeans(x[:, :h], centroids), kmeans(x[:, h:], centroids)))
+        books = spark.sparkContext.broadcast((kmeans(x[:, :h], k), kmeans(x[:, h:], k)))
         cells = staged(
-            classes.where(F.size("v") == width).select("label", "rep", "copies", "v").mapInPandas(_assign(books), f"label string, rep long, copies long, v {kind}, i int, j int"), "cells"
+            some.select("label", "rep", "copies", "v").mapInPandas(_assign(books), f"label string, rep long, copies long, v {kind}, i int, j int"), "cells"
         )
         # A row of cells is cut into blocks of columns, and a block with many residents into chunks; its visitors are dealt to chunks too.
-        block = F.pmod("j", F.least(F.ceil(F.sum("count").over(Window.partitionBy("label", "i")) / CHUNK), F.lit(centroids)).cast("int"))
+        block = F.pmod("j", F.least(F.ceil(F.sum("count").over(Window.partitionBy("label", "i")) / CHUNK), F.lit(k)).cast("int"))
         sizes = cells.groupBy("label", "i", "j").count().withColumn("block", block)
         blocks = staged(sizes.groupBy("label", "i", "block").agg(F.ceil(F.sum("count") / CHUNK).cast("int").alias("chunks"), F.collect_list("j").alias("js")), "blocks")
         visits = cells.select("label", "rep", "v").mapInPandas(_visits(books, cutoff(x, books.value, threshold, recall)), "label string, rep long, i int, j int")
@@ -206,7 +226,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, centroid
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         keys = [*own, "chunk", "turn"]
         # Blocks by number: those that a vector visits, at most all of the grid, and its own.
-        number = (F.col("i") * centroids + F.col("block")).cast("int")
+        number = (F.col("i") * k + F.col("block")).cast("int")
         seen = visits.groupBy("rep").agg(F.collect_list(number).alias("seen"))
         placed = cells.join(blocks.select("label", "i", "block", F.explode("js").alias("j")), ["label", "i", "j"])
         residents = placed.join(turns, own).join(seen, "rep")

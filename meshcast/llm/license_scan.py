@@ -1,9 +1,12 @@
 """License scan by a positional rare-token index, with DataFrame functions only.
 
-The vocabulary of the templates is fixed and small. One pass over every whole text keeps the positions of vocabulary words; the
-inverse document frequencies of those words come from all rows. A word at position p that a template holds at offset r votes for the
-alignment at p - r with its IDF, and the votes are summed by alignment. A template is a label if enough of its IDF weight agrees on
-one alignment and its mandatory key phrase stands there word by word. Everything after the first pass is local to a row, so that no key can be hot.
+Templates are the clauses of licence texts and the short names by which texts refer to them. The vocabulary of the templates is fixed
+and small. One pass over every whole text keeps the positions of vocabulary words; the inverse document frequencies of those words
+come from all rows. Each template is looked up by its rarest words, as many as hold more of its IDF weight than may be missing, so
+that every alignment that can reach the threshold has one of them. A rare word at position p that a template holds at offset r points
+to the alignment p - r; these are intersected with the alignments of the template's mandatory key phrase, which stands word by word.
+Where any is left, all words of the template vote with their IDF, and the votes are summed by alignment. A template is a label if
+enough of its weight agrees on an alignment with the key phrase. Everything after the first pass is local to a row, so that no key can be hot.
 """
 
 from __future__ import annotations
@@ -18,24 +21,61 @@ from .common import lower_ascii, staged
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: (label, template, mandatory key phrase). Template words in STOP keep their place but are not looked up.
+# Fixed values: (label, clause or name, mandatory key phrase, which tells the licence from others of like wording).
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
+    ("mit", "of this software and associated documentation files the software to deal in the software without restriction", "associated documentation files"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "without limitation"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall"),
     ("apache", "licensed under the apache license version", "apache license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable law"),
     ("gpl", "gnu general public license", "general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
+    ("agpl", "gnu affero general public license", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms", "binary forms"),
-    ("mpl", "mozilla public license", "mozilla public license"),
+    ("bsd", "with or without modification are permitted provided that the following conditions are met", "without modification"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "code must retain"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "binary form must reproduce"),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission", "prior written permission"),
     ("isc", "isc license", "isc license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted"),
+    ("mpl", "mozilla public license", "mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    ("epl", "eclipse public license", "eclipse public license"),
     ("cc-by", "creative commons attribution", "creative commons attribution"),
+    ("cc-by", "licensed under cc by", "licensed under"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released"),
+    ("unlicense", "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "compiled binary"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "held liable"),
+    ("zlib", "including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "redistribute"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
 )
-STOP = frozenset("a and any free in is of person source the to under use version".split())
+SHORT = 4  # template words of fewer letters keep their place but are not looked up, unless a base or key phrase holds them or the template has up to NAME words
+NAME = 4
 LEAST = 0.8  # share of a template's IDF weight that has to agree
 
 
+def searched(template: str, key: str) -> list[tuple[str, int]]:
+    """(word, offset) of the template's words that vote."""
+    words = template.split()
+    return [(w, i) for i, w in enumerate(words) if len(w) >= SHORT or w in key.split() or len(words) <= NAME]
+
+
 def vocabulary() -> list[str]:
-    texts = [p for p, _ in BASE] + [t for _, t, _ in TEMPLATES] + [k for _, _, k in TEMPLATES]
-    return sorted({w for t in texts for w in t.split()} - STOP)
+    return sorted({w for p, _ in BASE for w in p.split()} | {w for _, t, k in TEMPLATES for w in k.split() + [w for w, _ in searched(t, k)]})
+
+
+def index_words(own: list[tuple[str, int]], idf: dict[str, float], least: float) -> list[tuple[str, int]]:
+    """The rarest of a template's words, as few as hold more of its weight than an alignment with a share of `least` may lack."""
+    out, left = [], sum(idf[w] for w, _ in own) * (1 - least) + 1e-6
+    for w, i in sorted(own, key=lambda x: (-idf[x[0]], x)):
+        if left >= 0:
+            out.append((w, i))
+            left -= idf[w]
+    return out
 
 
 def _starts(hits, word: str, offset: int):
@@ -48,7 +88,7 @@ def _moved(places, offset: int):
 
 
 def _places(hits, phrase: str):
-    """First positions of the places where all words of a phrase without stop words stand consecutively."""
+    """First positions of the places where all words of a phrase stand consecutively."""
     words = phrase.split()
     out = _starts(hits, words[0], 0)
     for i, w in enumerate(words[1:], 1):
@@ -56,37 +96,46 @@ def _places(hits, phrase: str):
     return out
 
 
-def _aligned(hits, template: str, key: str, idf: dict[str, float], least: float):
-    """struct(share, ok): the largest share of the template's IDF weight that agrees on one alignment, and whether an alignment with
-    the key phrase in its place has a share of `least`. Votes are sorted by alignment and summed in one pass."""
-    words = template.split()
-    own = [(w, i) for i, w in enumerate(words) if w not in STOP]
+def _aligned(hits, present, template: str, key: str, idf: dict[str, float], least: float):
+    """The largest share of the template's IDF weight that agrees on one alignment with the key phrase in its place and an index word
+    in its own; 0 without such an alignment. Votes are sorted by alignment and summed in one pass."""
+    words, phrase = template.split(), key.split()
+    first = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+    own = searched(template, key)
     weight = sum(idf[w] for w, _ in own)
+    rare = index_words(own, idf, least)
+    keyed = _moved(_places(hits, key), first)
+    pointed = F.array_intersect(F.flatten(F.array(*(_starts(hits, w, i) for w, i in rare))), keyed)
 
-    def votes(places, value: float, key: bool):
-        return F.transform(places, lambda at: F.struct(at.alias("at"), F.lit(value).alias("idf"), F.lit(key).alias("key")))
+    def votes(places, value: float, kind: int):
+        return F.transform(places, lambda at: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(value).alias("idf")))
 
-    cast = [votes(_starts(hits, w, i), idf[w], False) for w, i in own]
-    cast.append(votes(_moved(_places(hits, key), words.index(key.split()[0])), 0.0, True))
+    # Of an alignment, the marks that it may count come first.
+    cast = [votes(pointed, 0.0, 0)] + [votes(_starts(hits, w, i), idf[w], 1) for w, i in own]
 
     def count(acc, x):
         same = F.coalesce(acc.at == x.at, F.lit(False))
         got = F.when(same, acc.got).otherwise(0.0) + x.idf
-        stands = (same & acc.key) | x.key
+        stands = (x.kind == 0) | (same & acc.stands)
         # Rounded, so that a whole template is 1 whatever the order of additions.
-        share = F.round(got / F.lit(weight), 9)
-        return F.struct(x.at.alias("at"), got.alias("got"), stands.alias("key"), F.greatest(acc.share, share).alias("share"), (acc.ok | (stands & (share >= least))).alias("ok"))
+        share = F.when(stands, F.round(got / F.lit(weight), 9)).otherwise(0.0)
+        return F.struct(x.at.alias("at"), got.alias("got"), stands.alias("stands"), F.greatest(acc.share, share).alias("share"))
 
-    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("got"), F.lit(False).alias("key"), F.lit(0.0).alias("share"), F.lit(False).alias("ok"))
-    return F.aggregate(F.array_sort(F.flatten(F.array(*cast))), start, count, lambda acc: F.struct(acc.share.alias("share"), acc.ok.alias("ok")))
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("got"), F.lit(False).alias("stands"), F.lit(0.0).alias("share"))
+    share = F.aggregate(F.array_sort(F.flatten(F.array(*cast))), start, count, lambda acc: acc.share)
+    # The words present decide for most rows; only where they allow a label are positions looked at.
+    some = F.arrays_overlap(present, F.array(*(F.lit(w) for w, _ in rare)))
+    for w in phrase:
+        some = F.array_contains(present, w) & some
+    return F.when(some, share).otherwise(0.0)
 
 
 def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of `docs` (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, empty labels and score 0. Repeated rows give repeated results, a null doc_id stays null,
-    other columns are ignored, an empty table gives no rows. score is the best template's share of agreeing IDF weight, and 1
-    where a base phrase stands.
+    other columns are ignored, an empty table gives no rows. score is the best template's share of IDF weight that agrees on an
+    alignment with its key phrase, 0 without one, and 1 where a base phrase stands; labels are templates with a share of `least`.
     """
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), 0)
     vocab = vocabulary()
@@ -95,9 +144,9 @@ def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x.w.isin(vocab)).alias("hits"),
     )
-    rows = staged(rows, "hits")
+    rows = staged(rows.withColumn("present", F.array_distinct(F.col("hits.w"))), "hits")
     # At most one row per vocabulary word.
-    seen = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x.w))).alias("w")).groupBy("w").count().collect()
+    seen = rows.select(F.explode("present").alias("w")).groupBy("w").count().collect()
     total, seen = rows.count(), {r.w: r["count"] for r in seen}
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in vocab}
 
@@ -105,8 +154,8 @@ def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     places = [_places(hits, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
     aligned, found = [], []
     for i, (label, template, key) in enumerate(TEMPLATES):
-        aligned.append(_aligned(hits, template, key, idf, least).alias(f"t{i}"))
-        found.append((label, F.col(f"t{i}.ok"), F.col(f"t{i}.share")))
+        aligned.append(_aligned(hits, F.col("present"), template, key, idf, least).alias(f"t{i}"))
+        found.append((label, F.col(f"t{i}") >= least, F.col(f"t{i}")))
     some = rows.where(F.size("hits") > 0).select("doc_id", "n_words", *places, *aligned)
     base = F.concat(*(F.col(f"b{i}") for i in range(len(BASE))))
     base_labels = [F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]
