@@ -78,56 +78,43 @@ def index_words(own: list[tuple[str, int]], idf: dict[str, float], least: float)
     return out
 
 
-def _starts(hits, word: str, offset: int):
-    """Alignments that the places of one word vote for."""
-    return F.transform(F.filter(hits, lambda x: x.w == word), lambda x: x.p - offset)
-
-
-def _moved(places, offset: int):
-    return F.transform(places, lambda p: p - offset)
-
-
-def _places(hits, phrase: str):
-    """First positions of the places where all words of a phrase stand consecutively."""
-    words = phrase.split()
-    out = _starts(hits, words[0], 0)
-    for i, w in enumerate(words[1:], 1):
-        out = F.array_intersect(out, _starts(hits, w, i))
+def _places(phrase: str) -> str:
+    """SQL: first positions of the places where all words of a phrase stand consecutively."""
+    starts = [f"transform(filter(hits, h -> h.w = '{w}'), h -> h.p - {i})" for i, w in enumerate(phrase.split())]
+    out = starts[0]
+    for x in starts[1:]:
+        out = f"array_intersect({out}, {x})"
     return out
 
 
-def _aligned(hits, present, template: str, key: str, idf: dict[str, float], least: float):
-    """The largest share of the template's IDF weight that agrees on one alignment with the key phrase in its place and an index word
-    in its own; 0 without such an alignment. Votes are sorted by alignment and summed in one pass."""
+def _aligned(template: str, key: str, idf: dict[str, float], least: float) -> str:
+    """SQL: the largest share of the template's IDF weight that agrees on one alignment with the key phrase in its place and an index
+    word in its own; 0 without such an alignment. Votes are sorted by alignment and summed in one pass."""
     words, phrase = template.split(), key.split()
     first = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
     own = searched(template, key)
     weight = sum(idf[w] for w, _ in own)
     rare = index_words(own, idf, least)
-    keyed = _moved(_places(hits, key), first)
-    pointed = F.array_intersect(F.flatten(F.array(*(_starts(hits, w, i) for w, i in rare))), keyed)
-
-    def votes(places, value: float, kind: int):
-        return F.transform(places, lambda at: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(value).alias("idf")))
-
-    # Of an alignment, the marks that it may count come first.
-    cast = [votes(pointed, 0.0, 0)] + [votes(_starts(hits, w, i), idf[w], 1) for w, i in own]
-
-    def count(acc, x):
-        same = F.coalesce(acc.at == x.at, F.lit(False))
-        got = F.when(same, acc.got).otherwise(0.0) + x.idf
-        stands = (x.kind == 0) | (same & acc.stands)
-        # Rounded, so that a whole template is 1 whatever the order of additions.
-        share = F.when(stands, F.round(got / F.lit(weight), 9)).otherwise(0.0)
-        return F.struct(x.at.alias("at"), got.alias("got"), stands.alias("stands"), F.greatest(acc.share, share).alias("share"))
-
-    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("got"), F.lit(False).alias("stands"), F.lit(0.0).alias("share"))
-    share = F.aggregate(F.array_sort(F.flatten(F.array(*cast))), start, count, lambda acc: acc.share)
+    # Postings of the template: word -> its offsets. Of an alignment, the key phrase comes first, then index words, then the others.
+    postings: dict[str, list[str]] = {}
+    for w, i in own:
+        postings.setdefault(w, []).append(f"named_struct('offset', {i}, 'kind', {1 if (w, i) in rare else 2}, 'idf', {idf[w]!r}D)")
+    table = "map(" + ", ".join(f"'{w}', array({', '.join(x)})" for w, x in postings.items()) + ")"
+    listed = lambda some: ", ".join(f"'{w}'" for w in sorted(set(some)))
+    pointed = f"""transform(filter(hits, h -> h.w IN ({listed(postings)})),
+        h -> transform({table}[h.w], x -> named_struct('at', h.p - x.offset, 'kind', x.kind, 'idf', x.idf)))"""
+    keyed = f"transform({_places(key)}, p -> named_struct('at', p - {first}, 'kind', 0, 'idf', 0D))"
+    same = "coalesce(acc.at = x.at, false)"
+    got = f"(IF({same}, acc.got, 0D) + x.idf)"
+    # 0: no key phrase here; 1: the key phrase; 2: an index word too.
+    stands = f"(CASE WHEN x.kind = 0 THEN 1 WHEN NOT {same} OR acc.stands = 0 THEN 0 WHEN x.kind = 1 THEN 2 ELSE acc.stands END)"
+    # Rounded, so that a whole template is 1 whatever the order of additions.
+    share = f"greatest(acc.share, IF({stands} = 2, round({got} / {weight!r}D, 9), 0D))"
     # The words present decide for most rows; only where they allow a label are positions looked at.
-    some = F.arrays_overlap(present, F.array(*(F.lit(w) for w, _ in rare)))
-    for w in phrase:
-        some = F.array_contains(present, w) & some
-    return F.when(some, share).otherwise(0.0)
+    some = " AND ".join([f"array_contains(present, '{w}')" for w in phrase] + [f"arrays_overlap(present, array({listed(w for w, _ in rare)}))"])
+    return f"""CASE WHEN {some} THEN aggregate(array_sort(concat({keyed}, flatten({pointed}))),
+        named_struct('at', CAST(NULL AS INT), 'got', 0D, 'stands', 0, 'share', 0D),
+        (acc, x) -> named_struct('at', x.at, 'got', {got}, 'stands', {stands}, 'share', {share}), acc -> acc.share) ELSE 0D END"""
 
 
 def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -150,11 +137,10 @@ def license_scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     total, seen = rows.count(), {r.w: r["count"] for r in seen}
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in vocab}
 
-    hits = F.col("hits")
-    places = [_places(hits, phrase).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
+    places = [F.expr(_places(phrase)).alias(f"b{i}") for i, (phrase, _) in enumerate(BASE)]
     aligned, found = [], []
     for i, (label, template, key) in enumerate(TEMPLATES):
-        aligned.append(_aligned(hits, F.col("present"), template, key, idf, least).alias(f"t{i}"))
+        aligned.append(F.expr(_aligned(template, key, idf, least)).alias(f"t{i}"))
         found.append((label, F.col(f"t{i}") >= least, F.col(f"t{i}")))
     some = rows.where(F.size("hits") > 0).select("doc_id", "n_words", *places, *aligned)
     base = F.concat(*(F.col(f"b{i}") for i in range(len(BASE))))
