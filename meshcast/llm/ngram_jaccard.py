@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, shingle_hashes, sliced, staged, word_hashes
@@ -176,7 +176,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
     nearest = nearest.select("id", "x.*")
     groups = staged(nearest.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
     derived = _derived(groups, percent)
-    crossed = _crossed(lists, sets, groups.select("id", "leader"), component, percent)
+    crossed = _crossed(lists.drop("mine"), sets, groups.select("id", "leader"), component, percent)
     edges = linked.union(derived).union(crossed)
     component = staged(connected_components(staged(edges, "links"), "id", "leader"), "components").withColumnRenamed("node", "id")
 
@@ -187,7 +187,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, star_roun
 
 
 def _promising(lists: DataFrame, percent: int) -> DataFrame:
-    """The entries of sets that share enough of their prefix to link with anything.
+    """The entries of sets that share enough of their prefix to link with anything, with the number of a set's entries as `mine`.
 
     Of two linked sets, the one whose prefix ends first shares all but what lies beyond its prefix, at least `least` shingles, with the
     other's prefix. In short lists, pairs are counted; a set's entries in long lists may all be shared with the same partner.
@@ -211,7 +211,7 @@ def _promising(lists: DataFrame, percent: int) -> DataFrame:
     both = F.when(c("long_x").isNotNull() & c("long_y").isNotNull(), F.least("long_x", "long_y")).otherwise(0)
     pairs = pairs.join(longs("_x"), "id_x", "left").join(longs("_y"), "id_y", "left").where(c("shared") + both >= c("least"))
     kept = pairs.select(F.explode(F.array("id_x", "id_y")).alias("id")).union(own.where("long >= least").select("id")).distinct()
-    return lists.join(kept, "id", "left_semi")
+    return lists.join(kept, "id", "left_semi").withColumn("mine", F.count("*").over(Window.partitionBy("id")))
 
 
 def _answers(lists: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -227,12 +227,13 @@ def _answers(lists: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tu
             taken = linked.select("id").union(linked.select("leader")).distinct()
             open_ = open_.join(taken, "id", "left_anti")
         # An original has few shingles of its own, its edited copies do: the larger the share of its prefix that others hold, the better a leader.
-        share = open_.groupBy("id").agg((F.count("*") / F.first(F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)).alias("share"))
-        ranked = open_.join(share, "id").withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int")).withColumn("order", F.struct((-F.col("share")).alias("least"), F.xxhash64("id", F.lit(turn)).alias("any"), "id"))
-        leaders = ranked.groupBy("h", "band").agg(F.min("order").alias("leader"))
+        share = F.col("mine") / (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
+        ranked = open_.select("h", "id", share.alias("share"), F.floor(F.log("n") / F.lit(step)).cast("int").alias("band"))
+        order = F.struct((-F.col("share")).alias("least"), F.xxhash64("id", F.lit(turn)).alias("any"), "id")
+        leaders = ranked.groupBy("h", "band").agg(F.min(order).alias("leader")).withColumnRenamed("band", "led")
         # Linked sets lie in the same size band or in neighbouring ones. A leader comes before its followers in the order, so none follows itself.
-        near = ranked.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        met = near.join(leaders, ["h", "band"]).where(F.col("leader") < F.col("order")).groupBy("id", "leader").count()
+        # Joined on the list alone: a list has few bands, and its entries shuffle once.
+        met = ranked.join(leaders, "h").where((F.abs(F.col("band") - F.col("led")) <= 1) & (F.col("leader") < order)).groupBy("id", "leader").count()
         pairs = staged(met.groupBy("id").agg(F.max_by("leader.id", F.struct("count", -F.col("leader.least"), "leader.id")).alias("leader")), "followers")
         one = pairs.join(sets, "id").withColumnRenamed("shingles", "own")
         theirs = sets.join(pairs.select(F.col("leader").alias("id")), "id", "left_semi").select(F.col("id").alias("leader"), F.col("shingles").alias("theirs"))
