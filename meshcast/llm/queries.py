@@ -12,6 +12,7 @@ from .license_scan import license_scan
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import packed
 from .pii import pii_spans
+from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
 from .warc import archived_pages
@@ -74,7 +75,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses, op13_token_counts)}
 # Learnt models, packing, graph iterations and rolling hashes are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
 _BITS = " ".join(f"{i:04b}" for i in range(16))
