@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import formatted_chats, read_back
+from .conversation_repair import COUNTS, damaged, repair
 from .decontamination import contaminated_windows
 from .embeddings import near_duplicate_vectors
 from .license_scan import license_scan
@@ -75,11 +76,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    found = repair(damaged(rows)).withColumnRenamed("conv_id", "conv")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses, op12_conversation_repair, op13_token_counts)}
 # Learnt models, packing, graph iterations and rolling hashes are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
 _BITS = " ".join(f"{i:04b}" for i in range(16))
@@ -104,3 +112,30 @@ WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
 {_REACH.format("vec_id", "embeddings")}
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach GROUP BY vec_id"""
+# A value of the search is ten digits of cost, the edits, chr(1), and the repaired lines.
+def _add(v: str, cost, letter: str, line: str = "''") -> str:
+    return f"lpad(CAST(CAST(substr({v}, 1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({v}, 11, strpos({v}, chr(1)) - 11) || '{letter}' || substr({v}, strpos({v}, chr(1))) || {line}"
+
+
+_LINE = "chr(10) || {} || ':' || text"
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_CLOSED = f"least(v2, {_add('v0', 2, 'I', "chr(10) || 'user:'")}, {_add('v1', 2, 'I', "chr(10) || 'user:'")}, {_add('v3', 2, 'I', "chr(10) || 'user:'")}) AS u1, least(v3, {_add('u1', 2, 'I', "chr(10) || 'assistant:'")}) AS a1"
+_USER = "least(v0, v1, a1)"
+ORACLE_SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, len({_KEY}) + 1), lambda i: [CAST(ord(substr({_KEY}, CAST(i AS INT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, role[1] AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+step AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '0000000000' || chr(1) AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM c UNION ALL
+  SELECT conv_id, i, {_add('v0', 3, 'D')}, CASE WHEN go OR r <> 's' THEN {_add('v1', 3, 'D')} ELSE least({_add('v1', 3, 'D')}, {_add('v0', 't', 'K', _LINE.format('role'))}) END,
+    CASE WHEN go THEN {_add('u1', 3, 'D')} ELSE least({_add('u1', 3, 'D')}, CASE WHEN r = 'u' THEN {_add(_USER, 't', 'K', _LINE.format('role'))} END, {_add(_USER, '2 + t', 'R', _LINE.format("'user'"))}) END,
+    CASE WHEN go THEN {_add('a1', 3, 'D')} ELSE least({_add('a1', 3, 'D')}, CASE WHEN r = 'a' THEN {_add('u1', 't', 'K', _LINE.format('role'))} END, {_add('u1', '2 + t', 'R', _LINE.format("'assistant'"))}) END
+  FROM (SELECT f.conv_id, f.i, f.role, f.text, f.r, f.fault IN ('b', 'd') AS go, CAST(f.fault = 't' AS INT) AS t, v0, v1, {_CLOSED} FROM step JOIN f ON f.conv_id IS NOT DISTINCT FROM step.conv_id AND f.i = step.i + 1)),
+e AS (SELECT conv_id, i, least(v0, a1) AS v FROM (SELECT conv_id, i, v0, {_CLOSED} FROM step))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(v, 1, 10) AS BIGINT), 0) AS cost,
+  coalesce(substr(v, 11, strpos(v, chr(1)) - 11), '') AS audit, sha256(coalesce(substr(v, strpos(v, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.i = c.n"""
