@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import formatted_chats, read_back
+from .collocations import collocations
 from .conversation_repair import COUNTS, damaged, repair
 from .decontamination import contaminated_windows
 from .embeddings import near_duplicate_vectors
@@ -76,6 +77,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, inside_percent=50)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     found = repair(damaged(rows)).withColumnRenamed("conv_id", "conv")
@@ -87,7 +92,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses, op12_conversation_repair, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_chat, op4_packing, op5_embeddings, op6_urls, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_licenses, op11_collocations, op12_conversation_repair, op13_token_counts)}
 # Learnt models, packing, graph iterations and rolling hashes are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
 _BITS = " ".join(f"{i:04b}" for i in range(16))
@@ -139,3 +144,16 @@ e AS (SELECT conv_id, i, least(v0, a1) AS v FROM (SELECT conv_id, i, v0, {_CLOSE
 SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(v, 1, 10) AS BIGINT), 0) AS cost,
   coalesce(substr(v, 11, strpos(v, chr(1)) - 11), '') AS audit, sha256(coalesce(substr(v, strpos(v, chr(1)) + 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.i = c.n"""
+ORACLE_SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+f AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS g FROM w) GROUP BY lang, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(g) > 1 AND f >= 10),
+inner_ AS (SELECT lang, s, max(f) AS longer FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS s FROM c WHERE len(g) = 3) GROUP BY lang, s),
+left_ AS (SELECT c.lang, c.g, c.f AS a FROM c LEFT JOIN inner_ i ON i.lang = c.lang AND i.s = c.g WHERE longer IS NULL OR 100 * longer < 50 * c.f),
+cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM left_),
+s AS (SELECT cut.lang, cut.g, a, k, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1:len(cut.g)]),
+b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n ON n.lang = b.lang QUALIFY rank <= 2000"""
