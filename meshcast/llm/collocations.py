@@ -10,11 +10,9 @@ Each task counts its own tiles; Spark adds the counts up. Per chunk, each word a
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +22,10 @@ from pyspark.sql import functions as F
 from ..operators.order import numbered
 from .common import UPPER, staged
 
-TOKENS = re.compile("[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
-SEPARATORS = frozenset(".,;:!?\n\x0b\x0c\r")
+SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 LOWER = str.maketrans(UPPER, UPPER.lower())
 CHUNK_WORDS, AT_ONCE = 1_000_000, 2_000_000
+NOTHING, BREAK = 0, 1
 TILE_BITS = 9
 #: A tile with so many pairs at once is counted densely.
 DENSE = 1 << (2 * TILE_BITS - 3)
@@ -35,6 +33,8 @@ FILTER_BITS = 26
 
 
 class _Numbers(dict):
+    """Numbers of strings in the order of their coming."""
+
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
@@ -48,6 +48,21 @@ def _unpacked(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
+def _split(text: str):
+    """Lists of words and "." for breaks, an end included; empty strings beside them."""
+    start = 0
+    while start < len(text):
+        end = min(start + AT_ONCE, len(text))
+        while end < len(text) and text[end] not in " \t" and text[end] not in SEPARATORS:  # not within a word
+            end += 1
+        part = text[start:end].replace("\t", " ")
+        for c in SEPARATORS:
+            if c in part:
+                part = part.replace(c, " . ")
+        yield (part if end < len(text) else part + " .").split(" ")
+        start = end
+
+
 CHUNKS = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
 
 
@@ -57,10 +72,9 @@ def _chunks(batches):
 
     def emit(lang: str):
         numbers, streams, _ = open_.pop(lang)
-        raw = np.concatenate(streams)
         lowered = _Numbers()
-        to = np.array([-1 if w in SEPARATORS else lowered[w.translate(LOWER)] for w in numbers] + [-1], np.int32)
-        stream = to[raw]
+        to = np.array([lowered[w.lower() if w.isascii() else w.translate(LOWER)] if i > BREAK else -1 for i, w in enumerate(numbers)], np.int32)
+        stream = to[np.concatenate(streams)]
         counts = np.bincount(stream[stream >= 0], minlength=len(lowered))
         row = {"chunk": uuid.uuid4().hex, "lang": lang, "n": int(counts.sum()), "words": list(lowered), "counts": counts.tolist(), "stream": _packed(stream)}
         return pa.RecordBatch.from_pylist([row], CHUNKS)
@@ -70,12 +84,13 @@ def _chunks(batches):
             lang, text = lang.as_py(), text.as_py()
             if not text:
                 continue
-            numbers, streams, size = open_.setdefault(lang, (_Numbers(), [], [0]))
-            found = iter(TOKENS.findall(text)) if len(text) < AT_ONCE else (m[0] for m in TOKENS.finditer(text))
-            while some := list(islice(found, AT_ONCE)):
-                streams.append(np.fromiter(map(numbers.__getitem__, some), np.int32, len(some)))
+            if lang not in open_:
+                open_[lang] = _Numbers({"": NOTHING, ".": BREAK}), [], [0]
+            numbers, streams, size = open_[lang]
+            for some in _split(text):
+                ids = np.fromiter(map(numbers.__getitem__, some), np.int32, len(some))
+                streams.append(ids[ids != NOTHING])
                 size[0] += len(some)
-            streams.append(np.array([-1], np.int32))
             if size[0] >= CHUNK_WORDS:
                 yield emit(lang)
         # Few languages hold much of a task's texts; many small ones are passed on before they fill memory.
@@ -101,27 +116,36 @@ def _recoded(batches):
 
 def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of ranks (below 2^40) and how often each occurs."""
-    mask = (1 << TILE_BITS) - 1
-    tiles, tile, sizes = np.unique((a >> TILE_BITS) << 31 | b >> TILE_BITS, return_inverse=True, return_counts=True)
+    if not len(a):
+        return a, a, a
+    mask, area = (1 << TILE_BITS) - 1, 2 * TILE_BITS
+    rows, columns = a >> TILE_BITS, b >> TILE_BITS
     local = (a & mask) << TILE_BITS | b & mask
-    full = sizes >= DENSE
+    width = int(columns.max()) + 1
+    if (int(rows.max()) + 1) * width <= AT_ONCE:  # tiles have addresses, too
+        tile = rows * width + columns
+        sizes = np.bincount(tile)
+        tiles = np.arange(len(sizes))
+    else:
+        tiles, tile, sizes = np.unique(rows << 31 | columns, return_inverse=True, return_counts=True)
+        width = 1 << 31
+    full = np.flatnonzero(sizes >= DENSE)
+    slot = np.full(len(sizes), -1)
+    slot[full] = np.arange(len(full))
+    own = slot[tile]
     keys, counts = [], []
-    order = np.argsort(tile, kind="stable") if full.any() else None
-    ends = np.cumsum(sizes)
-    for t in np.flatnonzero(full):
-        dense = np.bincount(local[order[ends[t] - sizes[t] : ends[t]]], minlength=1 << 2 * TILE_BITS)
+    for lo in range(0, len(full), 8):  # eight tiles at a time
+        some = (own >= lo) & (own < lo + 8)
+        dense = np.bincount(own[some] - lo << area | local[some], minlength=0)
         hit = np.flatnonzero(dense)
-        keys.append(t << 2 * TILE_BITS | hit)
+        keys.append(full[lo + (hit >> area)] << area | hit & (1 << area) - 1)
         counts.append(dense[hit])
-    rest = ~full[tile]
-    if rest.any():
-        coordinates = np.sort(tile[rest] << 2 * TILE_BITS | local[rest])
-        starts = np.flatnonzero(np.diff(coordinates, prepend=-1))
-        keys.append(coordinates[starts])
-        counts.append(np.diff(starts, append=len(coordinates)))
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    corner, inside = tiles[key >> 2 * TILE_BITS] if len(key) else key, key & (1 << 2 * TILE_BITS) - 1
-    return (corner >> 31) << TILE_BITS | inside >> TILE_BITS, (corner & (1 << 31) - 1) << TILE_BITS | inside & mask, np.concatenate(counts) if counts else key
+    rest = own < 0
+    coordinates = np.sort(tile[rest] << area | local[rest])
+    starts = np.flatnonzero(np.diff(coordinates, prepend=-1))
+    key = np.concatenate([*keys, coordinates[starts]])
+    corner, inside = tiles[key >> area], key & (1 << area) - 1
+    return corner // width << TILE_BITS | inside >> TILE_BITS, corner % width << TILE_BITS | inside & mask, np.concatenate([*counts, np.diff(starts, append=len(coordinates))])
 
 
 def _neighbours(words: np.ndarray, grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +221,10 @@ def _advanced(size: int):
                 w, g = _unpacked(words.as_py(), np.int64), _unpacked(grams.as_py(), np.int64)
                 places, x, y = _neighbours(w, g, size)
                 ta, tb, tr = (c.values.to_numpy() for c in (a, b, rank))
-                _, codes = np.unique(np.concatenate([ta, x]), return_inverse=True)
-                key = codes * (int(max(tb.max(initial=0), y.max(initial=0))) + 1) + np.concatenate([tb, y])
+                codes, width = np.concatenate([ta, x]), int(max(tb.max(initial=0), y.max(initial=0))) + 1
+                if int(codes.max(initial=0)) * width >= 1 << 62:
+                    codes = np.unique(codes, return_inverse=True)[1]
+                key = codes * width + np.concatenate([tb, y])
                 order = np.argsort(key[: len(ta)])
                 known = key[: len(ta)][order]
                 at = np.minimum(np.searchsorted(known, key[len(ta) :]), len(known) - 1)
