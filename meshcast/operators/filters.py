@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -57,23 +57,57 @@ def daylight_mask(df: DataFrame, zenith_max: float = 85.0) -> DataFrame:
     return df
 
 
+#: Coordinates with decimals are no exact doubles: a point is on an edge if its two products agree to this share.
+BORDER = 1e-12
+
+
+def edge_bands(edges, most: int = 4096) -> tuple[float, float, int, list]:
+    """(lowest latitude, band height, bands, [(band, edges)]): which (x1, y1, x2, y2) edges touch which of equal bands of latitude.
+
+    As many bands as edges, but fewer where edges are so tall that they would stand in more than eight bands on average.
+    """
+    low, high = min(min(e[1], e[3]) for e in edges), max(max(e[1], e[3]) for e in edges)
+    bands = max(1, min(len(edges), most))
+    while True:
+        height = (high - low) / bands or 1.0
+        spans = [[min(math.floor((y - low) / height), bands - 1) for y in (min(e[1], e[3]), max(e[1], e[3]))] for e in edges]
+        if bands == 1 or sum(b - a + 1 for a, b in spans) <= 8 * len(edges):
+            break
+        bands = (bands + 1) // 2
+    index: dict[int, list] = {}
+    for e, (a, b) in zip(edges, spans):
+        for band in range(a, b + 1):
+            index.setdefault(band, []).append(e)
+    return low, height, bands, sorted(index.items())
+
+
 def in_polygon(points: DataFrame, edges, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Points inside a polygon, given as (x1, y1, x2, y2) edges, by the parity of crossings.
+    """Points strictly inside a polygon, given as (x1, y1, x2, y2) edges, by the parity of crossings; points on an edge or a corner are outside.
 
-    A box filter comes first and reaches the scan; the edges, however many, are one array literal that each remaining point folds over.
+    A box filter comes first and reaches the scan. Each remaining point then meets the edges of its band of latitude only. That index is broadcast: at most eight
+    rows of five numbers for each edge of the caller's list. Points without coordinates are outside.
     """
-    edges = [tuple(map(float, e)) for e in edges if e[1] != e[3]]
+    edges = [tuple(map(float, e)) for e in edges]
     if not edges:
         return points.limit(0)
     x, y = F.col(lon), F.col(lat)
     xs, ys = [e[i] for e in edges for i in (0, 2)], [e[i] for e in edges for i in (1, 3)]
-    sides = F.from_json(F.lit(json.dumps(edges)), "array<array<double>>")
+    low, height, bands, index = edge_bands(edges)
+    inside = points.where((x > min(xs)) & (x < max(xs)) & (y > min(ys)) & (y < max(ys)))
+    table = points.sparkSession.createDataFrame(index, "band_of_edges int, edges_of_band array<struct<x1: double, y1: double, x2: double, y2: double>>")
 
     def crosses(e):
-        x1, y1, x2, y2 = (F.get(e, F.lit(i)) for i in range(4))
-        return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        return ((e.y1 > y) != (e.y2 > y)) & (x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1)
 
-    return points.where(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))).where(F.size(F.filter(sides, crosses)) % 2 == 1)
+    def touches(e):
+        across, along = (e.x2 - e.x1) * (y - e.y1), (e.y2 - e.y1) * (x - e.x1)
+        on_line = F.abs(across - along) <= (F.abs(across) + F.abs(along)) * BORDER
+        return on_line & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
+
+    band = F.least(F.floor((y - low) / height), F.lit(bands - 1)).cast("int")
+    met = inside.join(F.broadcast(table), band == F.col("band_of_edges"))
+    own = F.col("edges_of_band")
+    return met.where((F.size(F.filter(own, crosses)) % 2 == 1) & ~F.exists(own, touches)).drop("band_of_edges", "edges_of_band")
 
 
 def near_focus(nodes: DataFrame, focus, margin: float) -> DataFrame:
@@ -88,21 +122,27 @@ def sample_nodes(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return nodes.orderBy(F.xxhash64("nodo_id", F.lit(seed)), "nodo_id").limit(n)
 
 
+#: Periods: the argument that each one needs, and its filter.
+_PERIODS = {
+    "annual": (None, lambda df, _: df),
+    "monthly": ("month", lambda df, month: df.where(F.col("month") == int(month))),
+    "daily": ("day", on_days),
+}
+
+
 def in_period(df: DataFrame, period: str = "annual", month: int | None = None, day: str | None = None) -> DataFrame:
-    """annual, monthly (needs month) or daily (needs day, 'MM-DD' or 'YYYY-MM-DD'); an empty result is an error. Runs a job to see that."""
-    if period == "monthly":
-        if not month:
-            raise ValueError("a monthly period needs month=1..12")
-        df = df.where(F.col("month") == int(month))
-    elif period == "daily":
-        if not day:
-            raise ValueError("a daily period needs day='YYYY-MM-DD'")
-        df = on_days(df, day)
-    elif period != "annual":
-        raise ValueError("a period is annual, monthly or daily")
-    if df.isEmpty():
-        raise ValueError("the period has no rows")
-    return df
+    """Rows of a year, a month (1 to 12) or a day ('MM-DD' or 'YYYY-MM-DD'). Unknown periods, a lacking argument and periods without rows are errors; a job looks
+    for the first row."""
+    if period not in _PERIODS:
+        raise ValueError(f"{period!r} is no period; known: {', '.join(_PERIODS)}")
+    argument, chosen = _PERIODS[period]
+    value = {"month": month, "day": day}.get(argument)
+    if argument and not value:
+        raise ValueError(f"{period} rows are chosen by {argument}=")
+    out = chosen(df, value)
+    if out.isEmpty():
+        raise ValueError(f"no rows in this {period} period")
+    return out
 
 
 def checked(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:

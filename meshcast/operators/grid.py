@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import snapped
-from .stats import running_total
+from .order import numbered, preceded
 
 CELL = ("lat_real", "lon_real")
 
@@ -26,7 +26,7 @@ def duplicate_flags(nodes: DataFrame) -> DataFrame:
 
 def reindexed(nodes: DataFrame, column: str = "nodo_id", name: str = "new_id") -> DataFrame:
     """A gapless number from 0 in the order of a unique numeric column."""
-    return running_total(nodes.withColumn("one", F.lit(1)), column, "one").withColumnRenamed("before", name).withColumn(name, F.col(name).cast("long")).drop("one", "all")
+    return numbered(nodes, column, name=name)
 
 
 def id_map(nodes: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def multiplicity(nodes: DataFrame) -> DataFrame:
 
 
 def grid_steps(nodes: DataFrame, column: str = "lat_real") -> DataFrame:
-    """Distinct differences of neighbouring distinct coordinates (a dimension's distinct values: one small window)."""
-    d = nodes.select(F.round(column, 4).alias("c")).distinct()
-    return d.select(F.round(F.col("c") - F.lag("c").over(Window.orderBy("c")), 4).alias("step")).where("step is not null").distinct()
+    """Distinct differences of neighbouring distinct coordinates; neighbours meet across bands of the order, too."""
+    d = nodes.select(F.round(column, 4).alias("c")).where("c is not null").distinct()
+    return preceded(d, "c").select(F.round(F.col("c") - F.col("previous"), 4).alias("step")).where("step is not null").distinct()
 
 
 def match_report(nodes: DataFrame) -> DataFrame:
@@ -86,15 +86,41 @@ def ingest_state(nodes: DataFrame, present: DataFrame) -> DataFrame:
     return nodes.select("nodo_id").distinct().join(seen, "nodo_id", "left").agg(F.count("*").alias("total"), F.count("seen").alias("present"), F.count_if(F.col("seen").isNull()).alias("missing")).withColumn("complete", F.col("missing") == 0)
 
 
-def differing_cells(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
-    """(cell, datetime) where nodes of one cell do not hold identical values."""
-    rows = facts.join(nodes.select("nodo_id", *CELL), "nodo_id")
-    return rows.groupBy(*CELL, "datetime").agg(F.min(F.struct(*variables)).alias("a"), F.max(F.struct(*variables)).alias("b")).where("a <> b").select(*CELL, "datetime")
+def _row_hash(variables, seed: str, *more):
+    """64 bits of a row's values, as a decimal that sums exactly; a null is told from every value and place."""
+    values = [x for v in variables for x in (F.col(v).isNull(), F.col(v))]
+    return F.xxhash64(F.lit(seed), *more, *values).cast("decimal(38,0)")
+
+
+def fingerprints(facts: DataFrame, variables, *keys) -> list:
+    """Aggregates n, sum_a and sum_b that equal multisets of rows share in any order: their number and the sums of two 64-bit hashes."""
+    return [F.count("*").alias("n"), F.sum(_row_hash(variables, "a", *keys)).alias("sum_a"), F.sum(_row_hash(variables, "b", *keys)).alias("sum_b")]
+
 
+def differing_twins(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
+    """(lat_real, lon_real, nodo_id, twin): nodes whose series is not that of the first node of their cell, in any variable, hour or number of rows.
 
-def numbered(nodes: DataFrame, *order: str, name: str = "new_id") -> DataFrame:
-    """Gapless numbers from 0 in the order of any columns. One window: for node dimensions, not for facts."""
-    return nodes.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    One row per node is shuffled, not the facts; nodes without facts have an empty series.
+    """
+    series = facts.groupBy("nodo_id").agg(*fingerprints(facts, variables, "datetime"))
+    prints = nodes.select("nodo_id", *CELL).join(series, "nodo_id", "left").withColumn("print", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sum_a", "sum_b"))
+    first = prints.groupBy(*CELL).agg(F.min_by(F.struct("nodo_id", "print"), "nodo_id").alias("first"))
+    both = prints.join(first, list(CELL))
+    same = (F.col("print.n") == F.col("first.print.n")) & F.col("print.sum_a").eqNullSafe(F.col("first.print.sum_a")) & F.col("print.sum_b").eqNullSafe(F.col("first.print.sum_b"))
+    return both.where(~same).select(*CELL, F.col("first.nodo_id").alias("nodo_id"), F.col("nodo_id").alias("twin"))
+
+
+def differing_cells(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
+    """(lat_real, lon_real, nodo_id, twin, datetime, kind) where a node's series differs from that of the first node of its cell: its hour is `lacking`, `surplus`
+    (also by the number of repeated rows) or `different`. Only series that differ as a whole are compared hour by hour."""
+    bad = differing_twins(facts, nodes, variables)
+    sides = bad.select(*CELL, "nodo_id", "twin", F.explode(F.array(F.struct(F.col("nodo_id").alias("node"), F.lit(True).alias("first")), F.struct(F.col("twin").alias("node"), F.lit(False).alias("first")))).alias("x"))
+    sides = sides.select(*CELL, "nodo_id", "twin", F.col("x.node").alias("node"), F.col("x.first").alias("is_first"))
+    rows = facts.select(F.col("nodo_id").alias("node"), "datetime", *(_row_hash(variables, seed).alias(f"h_{seed}") for seed in "ab")).join(sides, "node")
+    side = lambda c, first: F.sum(F.when(F.col("is_first") == first, c).otherwise(0))
+    hours = rows.groupBy(*CELL, "nodo_id", "twin", "datetime").agg(*(side(F.col(c) if c != "n" else F.lit(1), f).alias(f"{c}_{int(f)}") for c in ("n", "h_a", "h_b") for f in (True, False)))
+    kind = F.when(F.col("n_0") < F.col("n_1"), "lacking").when(F.col("n_0") > F.col("n_1"), "surplus").when((F.col("h_a_0") != F.col("h_a_1")) | (F.col("h_b_0") != F.col("h_b_1")), "different")
+    return hours.withColumn("kind", kind).where("kind is not null").select(*CELL, "nodo_id", "twin", "datetime", "kind")
 
 
 def cell_numbers(nodes: DataFrame, name: str = "celda_id") -> DataFrame:
@@ -103,10 +129,12 @@ def cell_numbers(nodes: DataFrame, name: str = "celda_id") -> DataFrame:
     return nodes.join(cells, list(CELL), "left")
 
 
-def time_axis(nodes: DataFrame, steps: DataFrame, time: str = "ts") -> DataFrame:
-    """Every node at every step of a time axis. Steps per node come from one array, so the axis must be a year's, not a fact table's."""
-    axis = steps.agg(F.sort_array(F.collect_set(time)).alias("axis"))
-    return nodes.select("nodo_id", F.explode(axis.scalar()).alias(time))
+def time_axis(nodes: DataFrame, steps: DataFrame, time: str = "ts", slices: int = 64) -> DataFrame:
+    """Every node at every distinct step of a time axis. Steps are dealt into slices by their hash and each node goes to every slice, so neither side of
+    the join is held whole; the result has nodes x steps rows by its meaning."""
+    axis = steps.select(time).distinct().withColumn("slice", F.pmod(F.xxhash64(time), F.lit(slices)).cast("int"))
+    spread = nodes.select("nodo_id", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    return spread.join(axis, "slice").select("nodo_id", time)
 
 
 def renumbered(facts: DataFrame, ids: DataFrame, old: str = "nodo_id", new: str = "new_id") -> DataFrame:

@@ -32,30 +32,29 @@ def _keys(order):
 
 
 def _spare(df: DataFrame, name: str) -> str:
-    while name in df.columns:
+    while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
 
 
 def numbered(df: DataFrame, *order, name: str = "new_id", bands: int = BANDS) -> DataFrame:
     """Gapless numbers from 0 in the order of any columns or expressions, nulls first; rows of equal keys take theirs in any order."""
-    band = _spare(df, "band")
+    band, at, before, place = (_spare(df, c) for c in ("band", "at", "before", "place"))
     dealt = banded_by(df, order, bands, band)
     # One row per band.
-    ahead = dealt.groupBy(band).agg(F.count("*").alias("rows")).select(F.col(band).alias("at"), F.coalesce(F.sum("rows").over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    place = _spare(df, "place")
+    ahead = dealt.groupBy(band).agg(F.count("*").alias("rows")).select(F.col(band).alias(at), F.coalesce(F.sum("rows").over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
     dealt = dealt.withColumn(place, F.row_number().over(Window.partitionBy(band).orderBy(*_keys(order))).cast("long") - 1)
-    out = dealt.join(F.broadcast(ahead), F.col(band) == F.col("at"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col(place) + F.col("ahead")).cast("long").alias(name))
+    out = dealt.join(F.broadcast(ahead), F.col(band) == F.col(at))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col(place) + F.col(before)).cast("long").alias(name))
 
 
 def preceded(df: DataFrame, column: str, name: str = "previous", bands: int = BANDS) -> DataFrame:
     """df with the value before each one in the order of a column without nulls; null for the first. Each band's first row takes the last one of the bands before."""
-    band = _spare(df, "band")
+    band, at, border, own = (_spare(df, c) for c in ("band", "at", "border", "own"))
     dealt = banded_by(df, [column], bands, band)
     last = dealt.groupBy(band).agg(F.max(column).alias("last"))
     # One row per band.
-    border = last.select(F.col(band).alias("at"), F.last("last", True).over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, -1)).alias("border"))
-    own = F.lag(column).over(Window.partitionBy(band).orderBy(column))
-    out = dealt.withColumn(name, own).join(F.broadcast(border), F.col(band) == F.col("at"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.coalesce(name, "border").alias(name))
+    borders = last.select(F.col(band).alias(at), F.last("last", True).over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, -1)).alias(border))
+    lagged = dealt.withColumn(own, F.lag(column).over(Window.partitionBy(band).orderBy(column)))
+    out = lagged.join(F.broadcast(borders), F.col(band) == F.col(at))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.coalesce(own, border).alias(name))

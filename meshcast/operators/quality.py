@@ -10,17 +10,58 @@ from ..functions.scalars import PRESSURE_TOLERANCE, RANGES, surface_pressure
 KEY = ("nodo_id", "datetime")
 
 
+# Days of a year as bits of six numbers, two months in each, and the hours of a day as those of a seventh.
+_DAYS = [f"bit_or(CASE WHEN month IN ({m}, {m + 1}) AND day BETWEEN 1 AND 31 THEN shiftleft(1L, CAST((month - {m}) * 32 + day AS INT)) END)" for m in range(1, 12, 2)]
+_HOURS = "bit_or(CASE WHEN hour BETWEEN 0 AND 23 THEN shiftleft(1L, CAST(hour AS INT)) END)"
+
+
+def calendar_bits() -> list:
+    """Aggregates day_bits0 to day_bits5 and hour_bits: the distinct (month, day) and hours of a group in 56 bytes. Values outside the calendar are not counted."""
+    return [F.expr(e).alias(f"day_bits{i}") for i, e in enumerate(_DAYS)] + [F.expr(_HOURS).alias("hour_bits")]
+
+
+def united_bits() -> list:
+    """Aggregates days and hours over rows of calendar_bits."""
+    ones = lambda c: F.coalesce(F.bit_count(F.bit_or(c)), F.lit(0)).cast("long")
+    return [sum((ones(f"day_bits{i}") for i in range(1, len(_DAYS))), ones("day_bits0")).alias("days"), ones("hour_bits").alias("hours")]
+
+
+def times_of_nodes(df: DataFrame, *more) -> DataFrame:
+    """(nodo_id, bucket, offset, rows, times, ...): rows and distinct times per node and bucket of 32,768 hours, with further aggregates.
+
+    The hours are bits of a bitmap of 4 KB, so what is shuffled grows with nodes and years, not with rows. offset is the time within the hour: times need not be
+    whole hours, and each offset has a bitmap of its own. Rows without a time are a group with one time, the null.
+    """
+    micros = F.unix_micros(F.col("datetime").cast("timestamp"))
+    hour = F.floor(micros / F.lit(3_600_000_000)).cast("long")
+    rows = df.withColumn("hour_number", hour).withColumn("bucket", F.bitmap_bucket_number("hour_number")).withColumn("offset", F.pmod(micros, F.lit(3_600_000_000)))
+    out = rows.groupBy("nodo_id", "bucket", "offset").agg(F.count("*").alias("rows"), F.bitmap_construct_agg(F.bitmap_bit_position("hour_number")).alias("times"), *more)
+    return out.withColumn("times", F.when(F.col("bucket").isNull(), 1).otherwise(F.bitmap_count("times")).cast("long"))
+
+
+def _expected(out: DataFrame) -> DataFrame:
+    out = out.withColumn("expected", F.col("nodes") * F.col("days") * F.col("hours")).withColumn("missing", F.col("expected") - F.col("rows"))
+    return out.withColumn("missing_pct", F.round(F.try_divide(F.col("missing") * 100.0, F.col("expected")), 3))
+
+
 def completeness(df: DataFrame) -> DataFrame:
-    """One row: rows, nodes, days (month and day), hours, expected = their product, missing and missing_pct."""
-    # Distinct keys first: the exact distinct counts then work on few rows.
-    keys = df.groupBy("nodo_id", "month", "day", "hour").agg(F.count("*").alias("n"))
-    out = keys.agg(F.sum("n").alias("rows"), F.count_distinct("nodo_id").alias("nodes"), F.count_distinct("month", "day").alias("days"), F.count_distinct("hour").alias("hours"))
-    out = out.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("expected", F.col("nodes") * F.col("days") * F.col("hours"))
-    return out.withColumn("missing", F.col("expected") - F.col("rows")).withColumn("missing_pct", F.round(F.try_divide(F.col("missing") * 100.0, F.col("expected")), 3))
+    """One row: rows, nodes, days (month and day), hours, expected = their product, missing and missing_pct. One row per node is shuffled."""
+    per = df.groupBy("nodo_id").agg(F.count("*").alias("rows"), *calendar_bits())
+    return _expected(per.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("nodo_id").alias("nodes"), *united_bits()))
+
+
+def node_completeness(df: DataFrame) -> DataFrame:
+    """(nodo_id, rows, times, surplus, expected, missing): per node its distinct times, the rows beyond them, and how many times it lacks of all days x hours of
+    the table. Buckets of hours are shuffled, not rows."""
+    per = times_of_nodes(df, *calendar_bits())
+    all_ = per.agg(*united_bits()).select((F.col("days") * F.col("hours")).alias("expected"))
+    out = per.groupBy("nodo_id").agg(F.sum("rows").alias("rows"), F.sum("times").alias("times"))
+    return out.withColumn("surplus", F.col("rows") - F.col("times")).withColumn("expected", all_.scalar()).withColumn("missing", F.col("expected") - F.col("times"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    return df.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    """Rows beyond the first of each node and time."""
+    return times_of_nodes(df).agg(F.coalesce(F.sum(F.col("rows") - F.col("times")), F.lit(0)).alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -92,17 +133,18 @@ def anomalies(df: DataFrame, nodes: DataFrame | None = None, limit: int | None =
 def integrity_row(df: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """All integrity metrics as one wide row, from one scan: completeness, duplicates, filled rows, nulls_<column> and n_<kind> of anomalies.
 
-    Rows are first reduced per (node, time), so the exact distinct counts work on keys.
+    Rows are first reduced per node and bucket of hours, with bitmaps of hours and days, so no more than these are shuffled.
     """
     rows = df if nodes is None else with_elevation(df, nodes)
     tests = {f"n_{k}": F.count_if(t) for k, t in _tests(rows).items()} | {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
     tests |= {"filled": F.count_if(F.col("fill_flag") != 0)} if "fill_flag" in df.columns else {}
-    parts = ("month", "day", "hour")
-    keys = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), *(F.first(p).alias(p) for p in parts), *(e.alias(k) for k, e in tests.items()))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    out = keys.agg(total("rows"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates"), F.count_distinct("nodo_id").alias("nodes"), F.count_distinct("month", "day").alias("days"), F.count_distinct("hour").alias("hours"), *map(total, tests))
-    out = out.withColumn("expected", F.col("nodes") * F.col("days") * F.col("hours")).withColumn("missing", F.col("expected") - F.col("rows"))
-    return out.withColumn("missing_pct", F.round(F.try_divide(F.col("missing") * 100.0, "expected"), 3))
+    per = times_of_nodes(rows, *calendar_bits(), *(e.alias(k) for k, e in tests.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = [total("rows").alias("rows"), total(F.col("rows") - F.col("times")).alias("duplicates"), *(total(c).alias(c) for c in tests)]
+    # Few buckets to a node, so nodes are counted over one row each.
+    by_node = per.groupBy("nodo_id").agg(*counts, *(F.bit_or(f"day_bits{i}").alias(f"day_bits{i}") for i in range(len(_DAYS))), F.bit_or("hour_bits").alias("hour_bits"))
+    out = by_node.agg(total("rows").alias("rows"), total("duplicates").alias("duplicates"), F.count("nodo_id").alias("nodes"), *united_bits(), *(total(c).alias(c) for c in tests))
+    return _expected(out)
 
 
 def node_audit(df: DataFrame, node: int, expected: int = 8760) -> DataFrame:

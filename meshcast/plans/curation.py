@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decoded_number, tidy_name, timestamp_of
 from ..operators.filters import daylight_mask
-from ..operators.grid import CELL, differing_cells, id_map
+from ..operators.grid import CELL, differing_cells, differing_twins, id_map
 from ..operators import filters, quality, stats
 from ..operators.filters import in_polygon
-from ..operators.grid import candidate_grid, cell_numbers, duplicate_flags, elevation_summary, match_report, numbered, reindexed, renumbered, snap_nodes
+from ..operators.grid import candidate_grid, cell_numbers, duplicate_flags, elevation_summary, match_report, reindexed, renumbered, snap_nodes
+from ..operators.order import numbered
 from ..operators.stats import hourly, hourly_features
 from ..sources.files import node_files, write_ordered
 
@@ -51,10 +54,11 @@ def hour_audit(sub: DataFrame, stored: DataFrame, tolerance: float = 1e-6) -> Da
 
 
 def regridded(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
-    """Keep one node per cell, under its new number; an error names a cell whose nodes differ."""
-    bad = differing_cells(facts, nodes, variables).first()
+    """Keep one node per cell, under its new number; an error names a cell, two of its nodes and an hour where they differ. Runs a job to see that."""
+    bad = differing_twins(facts, nodes, variables).orderBy(*CELL, "twin").first()
     if bad is not None:
-        raise ValueError(f"nodes of cell {tuple(bad[c] for c in CELL)} differ at {bad.datetime}")
+        hour = differing_cells(facts, nodes.where(F.col("nodo_id").isin(bad.nodo_id, bad.twin)), variables).orderBy("datetime").first()
+        raise ValueError(f"nodes {bad.nodo_id} and {bad.twin} of cell {tuple(bad[c] for c in CELL)} differ" + (f" at {hour.datetime}: {hour.kind}" if hour else ""))
     ids = id_map(nodes).where("nodo_id = representative").select("nodo_id", "new_id")
     return facts.join(ids, "nodo_id").drop("nodo_id").withColumnRenamed("new_id", "nodo_id")
 
@@ -156,6 +160,18 @@ def calibrated_grid(spark, lat_range, lon_range, step: float, edges) -> DataFram
     return numbered(inside.drop("nodo_id"), "latitude", "longitude", name="nodo_id").select("nodo_id", "latitude", "longitude")
 
 
+def grid_over(nodes: DataFrame, step: float, edges=None, margin: float = 0.0) -> DataFrame:
+    """The candidate grid over the extent of a table's nodes and a margin, anchored at multiples of the step, clipped by a polygon if one is given, with gapless ids
+    by latitude and longitude. Runs a job for the extent; nodes without coordinates give an empty grid."""
+    ends = nodes.agg(*(f(c).alias(f"{n}_{c}") for c in ("latitude", "longitude") for n, f in (("low", F.min), ("high", F.max)))).first()
+    if ends.low_latitude is None or ends.low_longitude is None:
+        return nodes.sparkSession.createDataFrame([], "nodo_id long, latitude double, longitude double")
+    anchored = lambda low, high: (round(math.floor((low - margin) / step) * step, 4), round(math.ceil((high + margin) / step) * step, 4))
+    grid = candidate_grid(nodes.sparkSession, anchored(ends.low_latitude, ends.high_latitude), anchored(ends.low_longitude, ends.high_longitude), step)
+    clipped = grid if edges is None else in_polygon(grid, edges)
+    return numbered(clipped.drop("nodo_id"), "latitude", "longitude", name="nodo_id").select("nodo_id", "latitude", "longitude")
+
+
 def pending_coordinates(nodes: DataFrame) -> DataFrame:
     """Nodes with a zero coordinate, or not corrected yet where the table says."""
     test = (F.col("latitude") == 0) | (F.col("longitude") == 0)

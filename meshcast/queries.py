@@ -62,12 +62,20 @@ query("flt_filter", "SELECT nodo_id, datetime, ghi, " + r("CASE WHEN clearsky_gh
 query("flt_days", "SELECT nodo_id, datetime FROM obs WHERE day = 5 OR (month = 3 AND day = 14) OR (year = 1997 AND month = 6 AND day = 21)", "obs")(lambda o: filters.on_days(o, [5, "03-14", "1997-06-21"]).select("nodo_id", "datetime"))
 query("flt_between", "SELECT nodo_id, datetime, ghi FROM obs WHERE datetime BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31 23:00:00'", "obs")(lambda o: filters.filtered(o, between=("1996-01-01", "1996-03-31 23:00:00"), columns=["nodo_id", "datetime", "ghi"]))
 query("flt_daylight_mask", "SELECT nodo_id, datetime, ghi FROM obs WHERE clearsky_ghi > 0 AND solar_zenith_angle < 85", "obs")(lambda o: filters.daylight_mask(o).select("nodo_id", "datetime", "ghi"))
-_INSIDE = "(" + " + ".join(f"CAST((({y1} > latitude) <> ({y2} > latitude)) AND longitude < ({x2 - x1!r}) * (latitude - {y1}) / ({y2 - y1!r}) + ({x1}) AS INT)" for x1, y1, x2, y2 in fixtures.POLYGON if y1 != y2) + ") % 2 = 1"
+# The winding number, unlike the library's parity of crossings; points on an edge are outside.
+_SIDE = [(f"(({x2 - x1!r}) * (latitude - ({y1})) - (longitude - ({x1})) * ({y2 - y1!r}))", x1, y1, x2, y2) for x1, y1, x2, y2 in fixtures.POLYGON]
+_TURNS = " + ".join(f"CASE WHEN {y1} <= latitude AND {y2} > latitude AND {side} > 0 THEN 1 WHEN {y1} > latitude AND {y2} <= latitude AND {side} < 0 THEN -1 ELSE 0 END" for side, x1, y1, x2, y2 in _SIDE)
+_NEAR = [f"abs({side}) <= 1e-12 * (abs({x2 - x1!r} * (latitude - ({y1}))) + abs((longitude - ({x1})) * {y2 - y1!r}))" for side, x1, y1, x2, y2 in _SIDE]
+_ON_EDGE = " OR ".join(f"({near} AND longitude BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND latitude BETWEEN {min(y1, y2)} AND {max(y1, y2)})" for near, (_, x1, y1, x2, y2) in zip(_NEAR, _SIDE))
+_INSIDE = f"({_TURNS}) <> 0 AND NOT ({_ON_EDGE})"
 query("flt_polygon", f"SELECT nodo_id FROM nodos WHERE {_INSIDE}", "nodos")(lambda n: filters.in_polygon(n, fixtures.POLYGON).select("nodo_id"))
 query("flt_near_focus", "SELECT n.nodo_id FROM nodos n, (SELECT min(longitude) a, max(longitude) b, min(latitude) c, max(latitude) d FROM nodos WHERE nodo_id IN (4, 8)) WHERE longitude BETWEEN a - 0.3 AND b + 0.3 AND latitude BETWEEN c - 0.3 AND d + 0.3 AND nodo_id NOT IN (4, 8)", "nodos")(
     lambda n: filters.near_focus(n, (4, 8), 0.3).select("nodo_id")
 )
 query("flt_water_nodes", "SELECT nodo_id, msnm FROM nodos WHERE msnm <= 0", "nodos")(lambda n: filters.water_nodes(n).select("nodo_id", "msnm"))
+# An L whose sides run through nodes.
+_L = ((-67.54, 17.85), (-65.14, 17.85), (-65.14, 18.17), (-66.34, 18.17), (-66.34, 18.49), (-67.54, 18.49))
+query("flt14_border", "SELECT nodo_id FROM nodos WHERE longitude > -67.54 AND latitude > 17.85 AND (longitude < -65.14 AND latitude < 18.17 OR longitude < -66.34 AND latitude < 18.49)", "nodos")(lambda n: filters.in_polygon(n, [(*a, *b) for a, b in zip(_L, (*_L[1:], _L[0]))]).select("nodo_id"))
 query("set_selection", f"SELECT nodo_id FROM nodos WHERE {_INSIDE} AND NOT coalesce(msnm <= 0, false)", "nodos")(lambda n: filters.selection(n, [("add_ids", [1, 2]), ("reset", None), ("add", fixtures.POLYGON), ("remove_water", 0.0)]))
 
 # Statistics
@@ -172,6 +180,7 @@ _COUNTS = "(SELECT count(*) AS rows, count(DISTINCT nodo_id) AS nodes, count(DIS
 query("dq_completeness", "SELECT CAST(rows AS BIGINT) AS rows, nodes, days, hours, nodes * days * hours AS expected, nodes * days * hours - rows AS missing, " + r("(nodes * days * hours - rows) * 100.0 / (nodes * days * hours)", "missing_pct", 3) + f" FROM {_COUNTS}", "obs")(quality.completeness)
 query("dq_duplicate_count", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM obs GROUP BY nodo_id, datetime)", "obs")(quality.duplicate_count)
 query("dq_duplicate_rows", "SELECT nodo_id, datetime, ghi, copies FROM (SELECT *, count(*) OVER (PARTITION BY nodo_id, datetime) AS copies FROM obs) WHERE copies > 1", "obs")(lambda o: quality.duplicate_rows(o).select("nodo_id", "datetime", "ghi", "copies"))
+query("agg09_node_completeness", f"SELECT nodo_id, rows, times, rows - times AS surplus, days * hours AS expected, days * hours - times AS missing FROM (SELECT nodo_id, count(*) AS rows, count(DISTINCT datetime) AS times FROM obs GROUP BY nodo_id) n, (SELECT days, hours FROM {_COUNTS}) c", "obs")(quality.node_completeness)
 query("dq_incomplete_nodes", f"SELECT nodo_id, n, days * hours AS expected FROM (SELECT nodo_id, count(*) AS n FROM obs GROUP BY nodo_id), {_COUNTS} WHERE n <> days * hours", "obs")(quality.incomplete_nodes)
 _OBS_COLUMNS = [c for c, _ in fixtures.VIEWS["obs"][1]]
 query("dq_null_counts", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n FROM obs" for c in _OBS_COLUMNS) + ") WHERE n > 0", "obs")(quality.null_counts)
@@ -274,6 +283,18 @@ _STORED = "CAST(nodo_id AS SMALLINT) AS nodo_id, make_timestamp(year, month, day
 query("dq03_consolidated", f"SELECT {_STORED}, ghi, solar_zenith_angle, CAST(cloud_type AS TINYINT) AS cloud_type FROM obs", "obs")(lambda o: curation.consolidated(_RAW(o)).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi", "solar_zenith_angle", "cloud_type"))
 _GATE = "SELECT rows, nodes, nodes * 600 AS expected, rows = nodes * 600 AS complete FROM (SELECT count(*) AS rows, count(DISTINCT nodo_id) AS nodes FROM {})"
 query("dq04_complement_gate", _GATE.format("complemento"), "obs")(lambda o: curation.complement_set(fixtures.complement(o).withColumn("Minute", F.lit(30)), hours=600)[1])
+_PROFILE = "SELECT hour, max(ghi) AS ghi FROM obs GROUP BY hour"
+
+
+def _typical_day(n: DataFrame, o: DataFrame) -> DataFrame:
+    """Raw rows of a typical day of each node: the highest value of each hour, with a minute and untidy names."""
+    day = n.select("nodo_id", F.lit(2023).alias("Year"), F.lit(6).alias("Month"), F.lit(21).alias("Day"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("Hour"), F.lit(30).alias("Minute"))
+    return day.join(o.groupBy(F.col("hour").alias("Hour")).agg(F.max("ghi").alias("GHI")), "Hour", "left")
+
+
+query("dq05_master", f"SELECT n.nodo_id, TIMESTAMP '2023-06-21' + to_hours(CAST(h.range AS INT)) AS datetime, 2023 AS year, 6 AS month, 21 AS day, CAST(h.range AS INT) AS hour, p.ghi FROM nodos n JOIN range(24) h ON true LEFT JOIN ({_PROFILE}) p ON p.hour = h.range", "nodos", "obs")(
+    lambda n, o: curation.master(_typical_day(n, o), nodes=n.count(), hours=24).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi")
+)
 query("dq05_master_gate", _GATE.format("obs"), "obs")(lambda o: curation.count_gate(curation.consolidated(_RAW(o)), hours=600))
 query("dq06_feature_year", "SELECT h.nodo_id, h.hour_ts AS datetime, " + r("mean", "mean") + ", max, minute_30 AS solar_zenith_angle, mode AS cloud_type, CAST(year(h.hour_ts) AS INT) AS year, CAST(month(h.hour_ts) AS INT) AS month, CAST(day(h.hour_ts) AS INT) AS day, CAST(hour(h.hour_ts) AS INT) AS hour" + f" FROM {_HOURLY} h JOIN {_MODE} m ON h.nodo_id = m.nodo_id AND h.hour_ts = m.hour_ts WHERE minute_30 < 85", "subhora")(
     lambda s: rounded(curation.feature_year(s, {"mean": ("value", "mean"), "max": ("value", "max"), "solar_zenith_angle": ("value", "minute_30"), "cloud_type": ("code", "mode")}), "mean")
@@ -292,8 +313,31 @@ query("dq11_daylight_dataset", "SELECT nodo_id, make_timestamp(year, month, day,
 query("dq11_daylight_report", ORACLE_SQL["agg_retention"].removeprefix(WITH), "obs")(lambda o: curation.daylight_dataset(o)[1])
 _FACTS = f"(SELECT nodo_id, lat_real, lon_real, CASE WHEN nodo_id = 77 THEN 1.0 ELSE 0.0 END AS v, TIMESTAMP '2020-01-01' AS datetime FROM {_SNAPPED})"
 _facts = lambda s: s.select("nodo_id", F.when(F.col("nodo_id") == 77, 1.0).otherwise(0.0).alias("v"), F.lit("2020-01-01").cast("timestamp_ntz").alias("datetime"))
-query("dq13_differing_cells", f"SELECT lat_real, lon_real, datetime FROM {_FACTS} GROUP BY lat_real, lon_real, datetime HAVING count(DISTINCT v) > 1", "solicitados")(lambda s: grid.differing_cells(_facts(s), grid.snap_nodes(s), ["v"]))
+query("dq13_differing_cells", f"SELECT lat_real, lon_real, datetime FROM {_FACTS} GROUP BY lat_real, lon_real, datetime HAVING count(DISTINCT v) > 1", "solicitados")(lambda s: grid.differing_cells(_facts(s), grid.snap_nodes(s), ["v"]).select("lat_real", "lon_real", "datetime").distinct())
 query("dq14_regridded", f"SELECT row_number() OVER (ORDER BY nodo_id) - 1 AS nodo_id, CAST(0 AS DOUBLE) AS v, TIMESTAMP '2020-01-01' AS datetime FROM {_FIRST} WHERE i = 1", "solicitados")(lambda s: curation.regridded(_facts(s).withColumn("v", F.lit(0.0)), grid.snap_nodes(s), ["v"]).select("nodo_id", "v", "datetime"))
+# Nodes of a cell share one station's series; planted: some nodes lack the evening, others have another value at noon.
+_TWINS = f"(SELECT s.nodo_id, o.datetime, o.hour, o.ghi, o.temperature FROM (SELECT nodo_id, min(nodo_id) OVER (PARTITION BY lat_real, lon_real) AS head FROM {_SNAPPED}) s JOIN obs o ON o.nodo_id = s.head % 100 + 1)"
+_PLANTED = f"(SELECT nodo_id, datetime, CASE WHEN nodo_id % 50 = 9 AND hour = 12 THEN ghi + 1 ELSE ghi END AS ghi, temperature FROM {_TWINS} WHERE NOT (nodo_id % 50 = 7 AND hour >= 20))"
+_HEADS = f"(SELECT nodo_id AS twin, lat_real, lon_real, min(nodo_id) OVER (PARTITION BY lat_real, lon_real) AS nodo_id FROM {_SNAPPED})"
+_HOURS_OF = f"(SELECT h.lat_real, h.lon_real, h.nodo_id, h.twin, p.datetime, count(*) AS n, list_sort(list({{{{'g': p.ghi, 't': p.temperature}}}})) AS l FROM {_HEADS} h JOIN {_PLANTED} p ON p.nodo_id = h.{{}} WHERE h.twin <> h.nodo_id GROUP BY ALL)"
+_KEYS_OF = ("lat_real", "lon_real", "nodo_id", "twin", "datetime")
+_DIFFER = "SELECT " + ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in _KEYS_OF) + ", CASE WHEN coalesce(b.n, 0) < coalesce(a.n, 0) THEN 'lacking' WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN 'surplus' ELSE 'different' END AS kind FROM " + f"{_HOURS_OF.format('nodo_id')} a FULL JOIN {_HOURS_OF.format('twin')} b ON " + " AND ".join(f"a.{c} = b.{c}" for c in _KEYS_OF) + " WHERE a.l IS DISTINCT FROM b.l"
+
+
+def _series(asked: DataFrame, o: DataFrame, planted: bool) -> DataFrame:
+    heads = grid.id_map(grid.snap_nodes(asked)).select("nodo_id", (F.col("representative") % 100 + 1).alias("station"))
+    out = heads.join(o.select(F.col("nodo_id").alias("station"), "datetime", "hour", "ghi", "temperature"), "station").drop("station")
+    kind = F.col("nodo_id") % 50
+    if planted:
+        out = out.where(~((kind == 7) & (F.col("hour") >= 20))).withColumn("ghi", F.when((kind == 9) & (F.col("hour") == 12), F.col("ghi") + 1).otherwise(F.col("ghi")))
+    return out.drop("hour")
+
+
+query("dq13_twins", _DIFFER, "solicitados", "obs")(lambda s, o: grid.differing_cells(_series(s, o, True), grid.snap_nodes(s), ["ghi", "temperature"]))
+query("dq14_gate", f"SELECT DISTINCT lat_real, lon_real, nodo_id, twin FROM ({_DIFFER})", "solicitados", "obs")(lambda s, o: grid.differing_twins(_series(s, o, True), grid.snap_nodes(s), ["ghi", "temperature"]))
+query("dq14_regridded_series", f"SELECT r.new_id AS nodo_id, t.datetime, t.ghi, t.temperature FROM {_TWINS} t JOIN (SELECT nodo_id, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM {_FIRST} WHERE i = 1) r ON r.nodo_id = t.nodo_id", "solicitados", "obs")(
+    lambda s, o: curation.regridded(_series(s, o, False), grid.snap_nodes(s), ["ghi", "temperature"]).select("nodo_id", "datetime", "ghi", "temperature")
+)
 _CANON = f"(SELECT nodo_id, lat_real, lon_real, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM {_FIRST} WHERE i = 1)"
 query("dq15_lineage", f"SELECT new_id AS nodo_id, nodo_id AS nodo_id_original, lat_real, lon_real FROM {_CANON}", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o)[0].select("nodo_id", "nodo_id_original", "lat_real", "lon_real"))
 query("dq15_facts", f"SELECT CAST(c.new_id AS INT) AS nodo_id, o.datetime, o.ghi FROM obs o JOIN {_CANON} c ON o.nodo_id = c.nodo_id", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o.select("nodo_id", "datetime", "ghi"))[1])
@@ -304,8 +348,11 @@ query("dq16_facts", f"SELECT CAST(k.new_id AS INT) AS nodo_id, o.datetime, o.ghi
 query("dq17_candidates", "SELECT nodo_id, msnm FROM nodos WHERE msnm <= 100", "nodos")(lambda n: curation.water_candidates(n, 100.0)[0].select("nodo_id", "msnm"))
 query("dq17_statistics", ORACLE_SQL["grid_elevation_summary"].removeprefix(WITH).replace("msnm <= 0", "msnm <= 100"), "nodos")(lambda n: curation.water_candidates(n, 100.0)[1])
 query("dq18_reconstructed", f"SELECT f.nodo_id, f.lat_real, f.lon_real, dense_rank() OVER (ORDER BY f.lat_real, f.lon_real) - 1 AS celda_id, i > 1 AS is_duplicate FROM {_FIRST} f", "solicitados")(lambda s: curation.reconstructed(s).select("nodo_id", "lat_real", "lon_real", "celda_id", "is_duplicate"))
-_GRID = "(SELECT round(17.6 + CAST(a.range AS DOUBLE) * 0.04, 4) AS latitude, round(-68 + CAST(b.range AS DOUBLE) * 0.04, 4) AS longitude FROM range(31) a JOIN range(81) b ON true)"
-query("dq19_calibrated_grid", f"SELECT row_number() OVER (ORDER BY latitude, longitude) - 1 AS nodo_id, latitude, longitude FROM {_GRID} WHERE {_INSIDE} AND (SELECT count(*) FROM nodos) > 0", "nodos")(lambda n: curation.calibrated_grid(n.sparkSession, (17.6, 18.8), (-68.0, -64.8), 0.04, fixtures.POLYGON))
+_STEP = "CAST(0.04 AS DOUBLE)"
+_ENDS_OF = "SELECT " + ", ".join(f"round(floor(min({c}) / {_STEP}) * {_STEP}, 4) AS low_{c}, round(ceil(max({c}) / {_STEP}) * {_STEP}, 4) AS high_{c}" for c in ("latitude", "longitude")) + " FROM nodos"
+_AXES = [f"(SELECT unnest(range(0, CAST(round((high_{c} - low_{c}) / {_STEP}) AS BIGINT) + 1)) AS k, low_{c} FROM ({_ENDS_OF})) {c[:3]}" for c in ("latitude", "longitude")]
+_GRID = "(SELECT " + ", ".join(f"round(CAST({c[:3]}.k AS DOUBLE) * {_STEP} + {c[:3]}.low_{c}, 4) AS {c}" for c in ("latitude", "longitude")) + f" FROM {_AXES[0]} JOIN {_AXES[1]} ON true)"
+query("dq19_calibrated_grid", f"SELECT row_number() OVER (ORDER BY latitude, longitude) - 1 AS nodo_id, latitude, longitude FROM {_GRID} WHERE {_INSIDE}", "nodos")(lambda n: curation.grid_over(n, 0.04, fixtures.POLYGON))
 _ZERO = "(SELECT nodo_id, CASE WHEN nodo_id % 9 = 0 THEN 0 ELSE latitude END AS latitude, longitude FROM nodos)"
 _zero = lambda n: n.select("nodo_id", F.when(F.col("nodo_id") % 9 == 0, 0.0).otherwise(F.col("latitude")).alias("latitude"), "longitude")
 query("dq20_pending", f"SELECT nodo_id FROM {_ZERO} WHERE latitude = 0 OR longitude = 0", "nodos")(lambda n: curation.pending_coordinates(_zero(n)).select("nodo_id"))
