@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CLOUD_TYPE, aggregate, banded, clearness, label_of, labelled_bands, sector
+from .quantiles import exact_quantiles
 
 FLAGS = ("cloud_type", "cloud_fill_flag", "fill_flag")
 
@@ -18,17 +19,35 @@ def with_coordinates(df: DataFrame, nodes: DataFrame, how: str = "left") -> Data
     return df.join(nodes.select("nodo_id", "latitude", "longitude"), "nodo_id", how)
 
 
+#: Distinct values of a variable (of a group) up to which `percentile`, which keeps them all in a buffer, is used; beyond, quantiles are found by refinement.
+BUFFERED = 50_000
+
+
+def _buffered(df: DataFrame, variables, by: str | None = None) -> bool:
+    """Whether no variable (in no group of `by`) has more than about BUFFERED distinct values. Runs a job."""
+    seen = df.groupBy(*([by] if by else [])).agg(F.greatest(F.lit(0), *(F.approx_count_distinct(v) for v in variables)).alias("n")).agg(F.max("n").alias("n")).first()
+    return (seen.n or 0) <= BUFFERED
+
+
 def describe(df: DataFrame, variables, percentiles=(0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
-    """One row per variable, from one pass. Exact percentiles hold the distinct values of a variable; `accuracy` gives approximate ones in bounded memory."""
+    """One row per variable. Percentiles are exact: in one pass for variables of few distinct values, else by refinement (jobs run at once), so no
+    buffer holds more than about BUFFERED values; `accuracy` gives approximate ones in one pass."""
+    names = [f"p{round(p * 100):02d}" for p in percentiles]
+    one_pass = accuracy is not None or not percentiles or _buffered(df, variables)
     quantile = lambda c, p: F.percentile(c, F.lit(p)) if accuracy is None else F.percentile_approx(c, p, accuracy).cast("double")
     cols = []
     for v in variables:
         c = F.col(v)
         parts = [F.lit(v).alias("variable"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min")]
-        parts += [quantile(c, p).alias(f"p{round(p * 100):02d}") for p in percentiles]
+        parts += [(quantile(c, p) if one_pass else F.lit(None).cast("double")).alias(n) for p, n in zip(percentiles, names)]
         parts += [F.max(c).cast("double").alias("max"), F.count_if(c.isNull()).alias("nulls"), F.round(F.try_divide(F.count_if(c.isNull()) * 100.0, F.count("*")), 2).alias("null_pct")]
         cols.append(F.struct(*parts))
-    return df.agg(F.array(*cols).alias("rows")).select(F.inline("rows"))
+    out = df.agg(F.array(*cols).alias("rows")).select(F.inline("rows"))
+    if one_pass:
+        return out
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables))).alias("x")).select("x.*")
+    found = exact_quantiles(long, "value", percentiles, by="variable")
+    return out.drop(*names).join(F.broadcast(found.withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)})), "variable", "left").select(*out.columns)
 
 
 def node_summary(df: DataFrame, variable: str, aggs=("mean", "std", "min", "max"), nodes: DataFrame | None = None) -> DataFrame:
@@ -85,8 +104,11 @@ def histogram(df: DataFrame, variable: str, bins: int = 60) -> DataFrame:
 
 
 def centre(df: DataFrame, variable: str) -> DataFrame:
-    """Mean and median, the marks of a histogram."""
-    return df.agg(F.avg(variable).alias("mean"), F.median(variable).alias("median"))
+    """Mean and median, the marks of a histogram. The median is exact and found as in `describe`."""
+    mean = F.avg(variable).alias("mean")
+    if _buffered(df, [variable]):
+        return df.agg(mean, F.median(variable).alias("median"))
+    return df.agg(mean).withColumn("median", exact_quantiles(df, variable, [0.5]).scalar())
 
 
 def time_series(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:
@@ -177,11 +199,17 @@ def wind_rose(df: DataFrame, sectors: int = 16, edges=(0, 2, 4, 6, 8, 10, float(
 
 
 def boxplot(df: DataFrame, variable: str, by: str = "month") -> DataFrame:
-    """Quartiles, and whiskers at the last values inside 1.5 IQR."""
-    counts = df.where(F.col(variable).isNotNull()).groupBy(by, F.col(variable).alias("v")).agg(F.count("*").alias("n"))
-    q = counts.groupBy(by).agg(*(F.percentile("v", F.lit(p), F.col("n")).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    """Quartiles, and whiskers at the last values inside 1.5 IQR. Quartiles are exact, from value counts where these are few, else by refinement; whiskers take one more
+    pass, in which only a group's least and largest value are kept."""
+    rows = df.where(F.col(variable).isNotNull()).select(F.col(by), F.col(variable).alias("v"))
+    names = ("q1", "median", "q3")
+    if _buffered(rows, ["v"], by):
+        rows = rows.groupBy(by, "v").agg(F.count("*").alias("n"))
+        q = rows.groupBy(by).agg(*(F.percentile("v", F.lit(p), F.col("n")).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    else:
+        q = F.broadcast(exact_quantiles(rows, "v", (0.25, 0.5, 0.75), by).withColumnsRenamed({f"q{i}": f"quartile{i}" for i in range(3)}).withColumnsRenamed({f"quartile{i}": n for i, n in enumerate(names)}))
     inside = F.col("v").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return counts.join(q, by).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"))
+    return rows.join(q, by).groupBy(by, *names).agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"))
 
 
 def month_hour(df: DataFrame, variable: str, agg: str = "mean") -> DataFrame:

@@ -12,9 +12,10 @@ from ..operators.filters import daylight_mask
 from ..operators.grid import CELL, differing_cells, differing_twins, id_map
 from ..operators import filters, quality, stats
 from ..operators.filters import in_polygon
-from ..operators.grid import candidate_grid, cell_numbers, duplicate_flags, elevation_summary, match_report, reindexed, renumbered, snap_nodes
+from ..operators.grid import candidate_grid, cell_numbers, duplicate_flags, elevation_summary, ingest_states, match_report, reindexed, renumbered, snap_nodes
 from ..operators.order import numbered
 from ..operators.stats import hourly, hourly_features
+from ..sources import versions
 from ..sources.files import node_files, write_ordered
 
 KEYS = ["nodo_id", "year", "month", "day", "hour"]
@@ -81,6 +82,31 @@ def consolidate_year(spark, folder: str, out: str, hours: int = 8760, partitions
     return count_gate(spark.read.parquet(out), hours)
 
 
+def consolidate_complete(nodes: DataFrame, raw: DataFrame, out: str, keys=("region", "year")) -> list[dict]:
+    """Consolidate each (region, year) of `raw` whose nodes are all there and that the table at `out` does not hold yet; the keys done now.
+
+    `nodes` and `raw` have the keys and nodo_id. Each part is claimed before it is written, and looked for again under the claim, so of two runs at once one writes
+    it and the other leaves it; a run that dies leaves no part. Regions and years are few: their states come to the driver.
+    """
+    spark, keys = raw.sparkSession, list(keys)
+    done = []
+    for state in ingest_states(nodes, raw, keys).where("complete").select(*keys).collect():
+        own = state.asDict()
+        text = {k: str(v) for k, v in own.items()}
+        here = lambda: any({k: str(v) for k, v in part.items()} == text for part in versions.parts(spark, out))  # noqa: B023, E731
+        if here():
+            continue
+        try:
+            with versions.claim(spark, out, "-".join(f"{k}={v}" for k, v in text.items())):
+                if not here():
+                    some = raw.where(" and ".join(f"`{k}` <=> '{v}'" for k, v in text.items())).join(nodes.select(*keys, "nodo_id").distinct(), [*keys, "nodo_id"], "left_semi")
+                    versions.publish(consolidated(some).repartitionByRange("nodo_id", "datetime").sortWithinPartitions("nodo_id", "datetime"), out, keys)
+                    done.append(own)
+        except versions.Taken:
+            continue
+    return done
+
+
 def complement_set(raw: DataFrame, hours: int = 8760) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Complement files: tidied rows without minute, their count gate and their null counts."""
     df = raw.toDF(*(tidy_name(c) for c in raw.columns)).drop("minute")

@@ -94,7 +94,8 @@ def decoded(df: DataFrame) -> DataFrame:
 
 
 def write_replacing(df: DataFrame, path: str, history: str | None = None) -> None:
-    """Write beside `path`, then swap: readers see the old or the new table, never a part. The old one moves to `history`, or goes.
+    """Write beside `path`, then swap by two renames, between which a reader finds no table; `versions.publish` has no such gap. The old one moves to `history`,
+    or goes. A failed write leaves the old table.
 
     Works on any file system that Spark writes to; `df` may be read from `path`.
     """
