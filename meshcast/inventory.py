@@ -13,7 +13,7 @@ BY_ID = {
     "AGG-1": "agg_describe", "AGG-2": "agg_node_summary", "AGG-3": "agg_flags", "AGG-4": "agg_day_classes agg_day_classes_by_node", "AGG-5": "agg_day_counts", "AGG-6": "agg_years_by_month agg06_clearness_by_year",
     "AGG-7": "agg_years_by_node agg07_years_by_node_with_places", "AGG-8": "agg_years_total", "AGG-9": "dq_completeness agg09_node_completeness", "AGG-10": "dq_duplicate_count", "AGG-11": "dq_incomplete_nodes", "AGG-12": "dq_null_counts",
     "AGG-13": "dq_anomaly_counts", "AGG-14": "dq_filled", "AGG-15": "dq_anomaly_counts", "AGG-16": "agg_histogram agg16_centre", "AGG-17": "agg_time_series", "AGG-18": "agg_daily_profile", "AGG-19": "agg_correlations",
-    "AGG-20": "agg_spearman", "AGG-21": "agg_resample_day agg_resample_month_by_node agg21_resample_hour", "AGG-22": "agg_outliers_zscore", "AGG-23": "agg_outliers_iqr agg23_outliers_default", "AGG-24": "agg_wind_rose",
+    "AGG-20": "agg_spearman agg20_spearman_matrix", "AGG-21": "agg_resample_day agg_resample_month_by_node agg21_resample_hour", "AGG-22": "agg_outliers_zscore", "AGG-23": "agg_outliers_iqr agg23_outliers_default", "AGG-24": "agg_wind_rose",
     "AGG-25": "agg_wind_rose_by_month", "AGG-26": "agg_boxplot agg26_boxplot_by_hour", "AGG-27": "agg_month_hour", "AGG-28": "agg_resource_map", "AGG-29": "agg29_delta_map agg29_delta_map_relative", "AGG-30": "agg_node_summary",
     "AGG-31": "agg_resource_map", "AGG-32": "agg_twelve_months agg32_panel", "AGG-33": "agg33_map_summary", "AGG-34": "agg_daily_spatial agg34_monthly_mean agg34_yearly_mean", "AGG-35": "agg_hourly_rules", "AGG-36": "agg_hourly_rules",
     "AGG-37": "agg_hourly_rules", "AGG-38": "agg_hourly_rules", "AGG-39": "agg39_hourly_means", "AGG-40": "agg_summary", "AGG-41": "agg41_node_list agg41_row_counts", "AGG-42": "agg_extent agg42_extent_of_focus",

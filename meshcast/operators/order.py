@@ -58,3 +58,14 @@ def preceded(df: DataFrame, column: str, name: str = "previous", bands: int = BA
     lagged = dealt.withColumn(own, F.lag(column).over(Window.partitionBy(band).orderBy(column)))
     out = lagged.join(F.broadcast(borders), F.col(band) == F.col(at))
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.coalesce(own, border).alias(name))
+
+
+def running_sum(df: DataFrame, n: str, *order, name: str = "before", bands: int = BANDS) -> DataFrame:
+    """df with the sum of the whole number `n` over all rows ahead of each one in an order without equal keys; 0 for the first."""
+    band, at, ahead, own = (_spare(df, c) for c in ("band", "at", "ahead", "own"))
+    dealt = banded_by(df, order, bands, band)
+    # One row per band.
+    sums = dealt.groupBy(band).agg(F.sum(n).alias("sum")).select(F.col(band).alias(at), F.coalesce(F.sum("sum").over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
+    upto = F.sum(n).over(Window.partitionBy(band).orderBy(*_keys(order)).rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.withColumn(own, F.coalesce(upto, F.lit(0))).join(F.broadcast(sums), F.col(band) == F.col(at))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col(own) + F.col(ahead)).alias(name))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CLOUD_TYPE, aggregate, banded, clearness, label_of, labelled_bands, sector
+from .order import running_sum
 from .quantiles import exact_quantiles
 
 FLAGS = ("cloud_type", "cloud_fill_flag", "fill_flag")
@@ -126,41 +124,45 @@ def correlations(df: DataFrame, variables) -> DataFrame:
     return df.agg(F.array(*pairs).alias("rows")).select(F.inline("rows"))
 
 
-def _ranks(df: DataFrame, column: str) -> DataFrame:
-    """Average rank of each distinct value, from value counts; runs of values are range-partitioned, so no window holds all rows."""
-    counts = df.groupBy(F.col(column).alias("v")).agg(F.sum("n").alias("n"))
-    return running_total(counts, "v", "n").select("v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+def running_total(df: DataFrame, key: str, n: str, descending: bool = False) -> DataFrame:
+    """`before`: the sum of n over the rows ahead of each in the order of the number `key` (unique, not null), and `all`: that of all rows, without a global window."""
+    order = -F.col(key) if descending else F.col(key)
+    return running_sum(df, n, order).withColumn("all", df.agg(F.sum(n)).scalar())
 
 
-def running_total(df: DataFrame, key: str, n: str, descending: bool = False) -> DataFrame:
-    """`before`: the sum of n over the rows ahead of each in the order of `key` (unique, not null), and `all`: that of all rows, without a global window.
+def spearman_matrix(df: DataFrame, variables) -> DataFrame:
+    """(a, b, r): rank correlations of all pairs, each over the rows that have both values, with average ranks for ties; null where a variable does not vary.
+    NaN counts as missing.
 
-    Ranges of `key` are cut at approximate quantiles; the totals of the (at most 64) ranges are prefix sums on the driver. The rows are
-    computed once and kept on disk until Spark drops them.
+    One unpivoted count of the values of each pair is scanned; ranks of all sides come from its sums by one pass in ranges of (side, value), and all pairs are one
+    aggregate. Values are whole rows of no window; choosing the ranges runs a job.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / 64 for i in range(1, 64)])).first()[0] or []))
-    band = reduce(lambda acc, c: acc + (F.col(key) > c).cast("int"), cuts, F.lit(0))
-    df = df.withColumn("band", band)
-    sums = {r[0]: r[1] for r in df.groupBy("band").agg(F.sum(n)).collect()}
-    order = sorted(sums, reverse=descending)
-    ahead, total = {}, 0
-    for b in order:
-        ahead[b], total = total, total + sums[b]
-    offset = F.create_map(*(F.lit(x) for kv in ahead.items() for x in kv))[F.col("band")] if ahead else F.lit(0)
-    w = Window.partitionBy("band").orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("before", F.sum(n).over(w) - F.col(n) + offset).withColumn("all", F.lit(total)).drop("band")
+    variables = list(variables)
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    both = [F.when(known(a) & known(b), F.struct(F.lit(k).alias("pair"), (F.col(a).cast("double") + 0.0).alias("x"), (F.col(b).cast("double") + 0.0).alias("y"))) for k, (a, b) in enumerate(pairs)]
+    counts = df.select(F.explode(F.array_compact(F.array(*both))).alias("v")).select("v.*").groupBy("pair", "x", "y").agg(F.count("*").alias("n"))
+    sides = counts.select(F.explode(F.array(F.struct((F.col("pair") * 2).alias("side"), F.col("x").alias("v")), F.struct((F.col("pair") * 2 + 1).alias("side"), F.col("y").alias("v")))).alias("s"), "n")
+    sides = sides.groupBy("s.side", "s.v").agg(F.sum("n").alias("n"))
+    # One row per side: what stands ahead of it.
+    starts = sides.groupBy("side").agg(F.sum("n").alias("n")).select(F.col("side").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("side").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    ranks = running_sum(sides, "n", "side", "v").join(F.broadcast(starts), F.col("side") == F.col("of")).select("side", "v", (F.col("before") - F.col("start") + (F.col("n") + 1) / 2.0).alias("rank"))
+    ranked = counts
+    for side, value in ((0, "x"), (1, "y")):
+        own = ranks.where(F.col("side") % 2 == side).select(F.floor(F.col("side") / 2).cast("int").alias("pair"), F.col("v").alias(value), F.col("rank").alias(f"r{value}"))
+        ranked = ranked.join(own, ["pair", value])
+    n, x, y = F.col("n"), F.col("rx"), F.col("ry")
+    s = ranked.groupBy("pair").agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    r = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y"))))
+    names = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return names.join(s.select("pair", r.alias("r")), "pair", "left").select("a", "b", "r")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of the complete pairs, average ranks for ties; one row (a, b, r)."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = both.join(_ranks(both, "x").select(F.col("v").alias("x"), F.col("rank").alias("rx")), "x")
-    ranked = ranked.join(_ranks(both, "y").select(F.col("v").alias("y"), F.col("rank").alias("ry")), "y")
-    n, x, y = F.col("n"), F.col("rx"), F.col("ry")
-    s = ranked.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
-    r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
-    return s.select(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+    return spearman_matrix(df, [a, b])
 
 
 def resample(df: DataFrame, variable: str, unit: str = "day", agg: str = "sum", factor: float = 1.0, by_node: bool = False) -> DataFrame:

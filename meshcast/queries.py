@@ -128,6 +128,10 @@ query("agg_daily_profile", "SELECT hour, " + ", ".join([r("avg(temperature)", "m
 _CORR = ("ghi", "temperature", "pressure", "wind_speed")
 query("agg_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, " + r(f"corr({a}, {b})", "r", 6) + " FROM obs" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]), "obs")(lambda o: rounded(stats.correlations(o, _CORR), "r", digits=6))
 _RANK = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+_SEVEN = ("ghi", "dni", "clearsky_ghi", "temperature", "relative_humidity", "pressure", "wind_speed")
+_PAIRS = [(a, b) for i, a in enumerate(_SEVEN) for b in _SEVEN[i + 1 :]]
+_RANKED = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+query("agg20_spearman_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, " + r("corr(x, y)", "r", 6) + f" FROM (SELECT {_RANKED(a)} AS x, {_RANKED(b)} AS y FROM obs WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in _PAIRS), "obs")(lambda o: rounded(stats.spearman_matrix(o, _SEVEN), "r", digits=6))
 query("agg_spearman", "SELECT 'ghi' AS a, 'temperature' AS b, " + r("corr(x, y)", "r", 6) + f" FROM (SELECT {_RANK('ghi')} AS x, {_RANK('temperature')} AS y FROM obs WHERE ghi IS NOT NULL AND temperature IS NOT NULL)", "obs")(lambda o: rounded(stats.spearman(o, "ghi", "temperature"), "r", digits=6))
 
 

@@ -47,3 +47,17 @@ def test_statistics_take_either_way(spark, monkeypatch):
     monkeypatch.setattr(stats, "BUFFERED", 0)
     many = [stats.describe(obs, ["ghi", "temperature"]).orderBy("variable").collect(), stats.boxplot(obs, "temperature").orderBy("month").collect(), stats.centre(obs, "ghi").collect()]
     assert few == many
+
+
+def test_spearman_matrix_of_odd_values(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, float("nan"), *map(float, range(5))]), rng.choice([None, -0.0, 0.0, 1.5]), rng.lognormvariate(0, 9), 4.0) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, pair double, same double")
+    frame = df.toPandas().corr(method="spearman")
+    found = stats.spearman_matrix(df, ["a", "b", "pair", "same"])
+    for r in found.collect():
+        want = frame.loc[r.a, r.b]
+        assert r.r is None if want != want else r.r == pytest.approx(want, abs=1e-9)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert stats.spearman_matrix(df, ["a"]).count() == 0 and len(found.collect()) == 6 and "Window" in text
+    assert all(r.r is None for r in stats.spearman_matrix(df.limit(0), ["a", "b"]).collect())
