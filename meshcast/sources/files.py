@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import CLOUD_TYPE, FILL_FLAG, label_of
 from ..operators.filters import filtered
+from .footers import schema_audit  # noqa: F401
 
 FORMATS = ("parquet", "csv", "orc", "json")
 
@@ -62,16 +63,6 @@ def dataset_info(df: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.sum("rows").alias("rows")).withColumn("columns", types)
 
 
-def schema_audit(spark: SparkSession, paths, expected) -> DataFrame:
-    """(file, column, side) for Parquet files against a list of column names: side is missing or extra. Only footers are read, one per file."""
-    have = [(p, c) for p in paths for c in spark.read.parquet(p).columns]
-    have = spark.createDataFrame(have, "file string, column string")
-    files = spark.createDataFrame([(p,) for p in paths], "file string")
-    wanted = files.select("file", F.explode(F.array(*map(F.lit, expected))).alias("column"))
-    missing = wanted.join(have, ["file", "column"], "left_anti").withColumn("side", F.lit("missing"))
-    return missing.union(have.join(wanted, ["file", "column"], "left_anti").withColumn("side", F.lit("extra")))
-
-
 def schema_difference(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
     """(column, side) of columns that only one table has."""
     rows = [(c, "a") for c in a.columns if c not in b.columns] + [(c, "b") for c in b.columns if c not in a.columns]
