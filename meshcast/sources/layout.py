@@ -39,22 +39,24 @@ def open_bucketed(spark: SparkSession, name: str, path: str, schema: StructType,
     return spark.table(name)
 
 
-def replace_partitions(df: DataFrame, name: str, buckets: int = 64) -> None:
-    """Replace those partitions of a bucketed table that df has rows of; others stay. Columns are matched by name."""
-    columns = df.sparkSession.table(name).columns
-    df.select(*columns).repartition(buckets, "nodo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+def replace_partitions(df: DataFrame, name: str, buckets: int = 64) -> None:
+    """Replace those partitions of a bucketed table that df has rows of; others stay. Columns are matched by name."""
+    spark = df.sparkSession
+    rows = df.select(*spark.table(name).columns).repartition(buckets, "nodo_id")
+    with _set(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+        rows.write.mode("overwrite").insertInto(name)
 
 
-@contextmanager
 def colocated(spark: SparkSession):
     """Within it, plans are made that join tables of equal buckets on nodo_id and further keys bucket by bucket. Run the query, or look at its plan, inside."""
-    before = spark.conf.get(_ALL_KEYS)
-    spark.conf.set(_ALL_KEYS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(_ALL_KEYS, before)
-
+    return _set(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
