@@ -10,12 +10,13 @@ Each task counts its own tiles; Spark adds the counts up. Per chunk, each word a
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +64,12 @@ def _split(text: str):
         start = end
 
 
-CHUNKS = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
+CHUNKS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
 
 
 def _chunks(batches):
     """Rows (chunk, lang, n, words, counts, stream): the distinct words of some documents of a language, and their texts as numbers of these, -1 at breaks."""
+    serial = count()
     open_: dict[str, tuple[_Numbers, list[np.ndarray], list[int]]] = {}
 
     def emit(lang: str):
@@ -76,7 +78,7 @@ def _chunks(batches):
         to = np.array([lowered[w.lower() if w.isascii() else w.translate(LOWER)] if i > BREAK else -1 for i, w in enumerate(numbers)], np.int32)
         stream = to[np.concatenate(streams)]
         counts = np.bincount(stream[stream >= 0], minlength=len(lowered))
-        row = {"chunk": uuid.uuid4().hex, "lang": lang, "n": int(counts.sum()), "words": list(lowered), "counts": counts.tolist(), "stream": _packed(stream)}
+        row = {"chunk": TaskContext.get().partitionId() << 32 | next(serial), "lang": lang, "n": int(counts.sum()), "words": list(lowered), "counts": counts.tolist(), "stream": _packed(stream)}
         return pa.RecordBatch.from_pylist([row], CHUNKS)
 
     for batch in batches:
@@ -100,18 +102,17 @@ def _chunks(batches):
         yield emit(lang)
 
 
-CODED = "chunk string, words binary, grams binary"
+CODED = "chunk long, words binary, grams binary"
 
 
 def _recoded(batches):
-    """Streams of word numbers as streams of ranks, -1 for breaks and words without one."""
+    """Streams of word numbers as streams of ranks, -1 for breaks and words without one. Phrases of one word are the words themselves: grams is null."""
     for batch in batches:
         for chunk, stream, at, rank in zip(*(batch[c] for c in ("chunk", "stream", "at", "rank"))):
             stream = _unpacked(stream.as_py(), np.int32)
             to = np.full(int(stream.max(initial=-1)) + 2, -1, np.int64)
             to[at.values.to_numpy()] = rank.values.to_numpy()
-            words = _packed(to[stream])
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk.as_py()], "words": [words], "grams": [words]})
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([_packed(to[stream])]), pa.array([None], pa.binary())], ["chunk", "words", "grams"])
 
 
 def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +156,18 @@ def _neighbours(words: np.ndarray, grams: np.ndarray, size: int) -> tuple[np.nda
     return places, grams[places], words[places + size]
 
 
+def _streams(words, grams) -> tuple[np.ndarray, np.ndarray]:
+    w = _unpacked(words.as_py(), np.int64)
+    return w, _unpacked(grams.as_py(), np.int64) if grams.is_valid else w
+
+
 def _counted(size: int):
     def run(batches):
         a, b, waiting = [], [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in tile_counts(np.concatenate(a), np.concatenate(b))], ["a", "b", "n"])
         for batch in batches:
             for words, grams in zip(batch["words"], batch["grams"]):
-                _, x, y = _neighbours(_unpacked(words.as_py(), np.int64), _unpacked(grams.as_py(), np.int64), size)
+                _, x, y = _neighbours(*_streams(words, grams), size)
                 a.append(x)
                 b.append(y)
                 waiting += len(x)
@@ -201,13 +207,13 @@ def _looked_up(size: int, shared):
         bits = shared.value
         for batch in batches:
             for chunk, words, grams in zip(*(batch[c] for c in ("chunk", "words", "grams"))):
-                _, a, b = _neighbours(_unpacked(words.as_py(), np.int64), _unpacked(grams.as_py(), np.int64), size)
+                _, a, b = _neighbours(*_streams(words, grams), size)
                 h = _bits(a, b)
                 hit = (bits[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                 a, b, _ = tile_counts(a[hit], b[hit])
                 for lo in range(0, len(a), 50_000):
                     part = slice(lo, lo + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(a[part])), pa.array(a[part]), pa.array(b[part])], ["chunk", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), chunk.as_py(), np.int64)), pa.array(a[part]), pa.array(b[part])], ["chunk", "a", "b"])
 
     return run
 
@@ -218,7 +224,7 @@ def _advanced(size: int):
     def run(batches):
         for batch in batches:
             for chunk, words, grams, a, b, rank in zip(*(batch[c] for c in ("chunk", "words", "grams", "a", "b", "rank"))):
-                w, g = _unpacked(words.as_py(), np.int64), _unpacked(grams.as_py(), np.int64)
+                w, g = _streams(words, grams)
                 places, x, y = _neighbours(w, g, size)
                 ta, tb, tr = (c.values.to_numpy() for c in (a, b, rank))
                 codes, width = np.concatenate([ta, x]), int(max(tb.max(initial=0), y.max(initial=0))) + 1
@@ -244,7 +250,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     texts count each time; no documents, no rows. Columns other than text and lang are not read.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    chunks = staged(texts.mapInArrow(_chunks, "chunk string, lang string, n long, words array<string>, counts array<long>, stream binary"), "chunks")
+    chunks = staged(texts.mapInArrow(_chunks, "chunk long, lang string, n long, words array<string>, counts array<long>, stream binary"), "chunks")
     own = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("chunk", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     vocabulary = staged(own.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "vocabulary")
     vocabulary = staged(numbered(vocabulary, "lang", -F.col("f"), "word", name="rank"), "ranks")
@@ -260,7 +266,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
         if size + 1 < longest:
             frequent = staged(numbered(frequent, -F.col("f"), "a", "b", name="rank"), "ranks")
             bits = coded.sparkSession.sparkContext.broadcast(_filter(frequent))
-            asked = coded.mapInArrow(_looked_up(size, bits), "chunk string, a long, b long")
+            asked = coded.mapInArrow(_looked_up(size, bits), "chunk long, a long, b long")
             tables = asked.join(frequent.select("a", "b", "rank"), ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "rank")).alias("t"))
             streams = coded.join(tables, "chunk").select("chunk", "words", "grams", *(F.col(f"t.{c}").alias(c) for c in ("a", "b", "rank")))
             coded = staged(streams.mapInArrow(_advanced(size), CODED), "coded")

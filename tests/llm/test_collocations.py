@@ -53,10 +53,13 @@ def test_counts(spark, longest, least, top, percent):
 def test_chunks_hold_every_word(monkeypatch):
     monkeypatch.setattr(C, "CHUNK_WORDS", 100)
     monkeypatch.setattr(C, "AT_ONCE", 64)
+    monkeypatch.setattr(C.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
     texts = [("A b c a b. " * 300 + "a b", "en"), ("b c " * 40, "de"), (None, "de"), ("b\tc\x0bd", "en")] * 2
     batch = pa.RecordBatch.from_pylist([{"text": t, "lang": lang} for t, lang in texts])
     found: dict = {}
-    for r in (r for b in C._chunks([batch]) for r in b.to_pylist()):
+    rows = [r for b in C._chunks([batch]) for r in b.to_pylist()]
+    assert [r["chunk"] for r in rows] == [(3 << 32) + i for i in range(len(rows))]
+    for r in rows:
         stream = C._unpacked(r["stream"], np.int32)
         assert r["counts"] == np.bincount(stream[stream >= 0]).tolist() and r["n"] == sum(r["counts"])
         found.setdefault(r["lang"], []).append(" ".join("." if i < 0 else r["words"][i] for i in stream))
