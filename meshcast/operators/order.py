@@ -6,8 +6,6 @@ last row) meets in one task. Choosing the cuts runs one job over the keys when t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +15,21 @@ SAMPLE = 20  # keys per band
 
 def banded_by(df: DataFrame, order, bands: int = BANDS, name: str = "band") -> DataFrame:
     """df with the number of each row's band in the order of columns or expressions, nulls first; rows of equal keys share a band."""
-    key = F.struct(*(c.alias(f"k{i}") if isinstance(c, Column) else F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
-    keys = df.select(key.alias("key"))
+    named = lambda: F.struct(*(c.alias(f"k{i}") if isinstance(c, Column) else F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    keys = df.select(named().alias("key"))
+    types = keys.schema["key"].dataType
     # The keys of smallest hash: the same ones for the same rows, however they are dealt.
     drawn = keys.distinct().orderBy(F.xxhash64("key")).limit(bands * SAMPLE).agg(F.sort_array(F.collect_list("key")).alias("keys")).first()["keys"]
-    types = keys.schema["key"].dataType
     cuts = [drawn[i * len(drawn) // bands] for i in range(1, bands)] if len(drawn) >= bands else drawn[1:]
-    cut = lambda row: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, types)))
-    return df.withColumn(name, reduce(lambda n, c: n + (key >= cut(c)).cast("int"), cuts, F.lit(0)))
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    table = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, types))) for cut in cuts))
+    key = _spare(df, "key_of_" + name)
+    out = df.withColumns({key: named(), name: F.lit(0)})
+    # By halving in a table of the cuts, a column at a time: the compiled code stays small, whatever the number of bands.
+    for half in (2**i for i in reversed(range(len(cuts).bit_length()))):
+        out = out.withColumn(name, F.col(name) + F.when(F.col(key) >= F.get(table, F.col(name) + (half - 1)), half).otherwise(0))
+    return out.drop(key)
 
 
 def _keys(order):

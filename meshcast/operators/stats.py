@@ -63,10 +63,11 @@ def flag_distribution(df: DataFrame) -> DataFrame:
 
 
 def classify_days(df: DataFrame, by_node: bool = False, clear: float = 0.65, overcast: float = 0.35) -> DataFrame:
-    """Mean daylight kt per day (or node and day) and its class, in the order of days."""
+    """Mean daylight kt per day (or node and day) and its class; days alone come in their order."""
     keys = ["month", "day"] + (["nodo_id"] if by_node else [])
     out = df.where("solar_zenith_angle < 90").groupBy(*keys).agg(F.avg(clearness()).alias("kt"))
-    return out.where("kt is not null").withColumn("category", labelled_bands(F.col("kt"), ((clear, "clear"), (overcast, "partial")), "overcast")).orderBy(*keys)
+    out = out.where("kt is not null").withColumn("category", labelled_bands(F.col("kt"), ((clear, "clear"), (overcast, "partial")), "overcast"))
+    return out if by_node else out.orderBy(*keys)
 
 
 def day_counts(days: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def spearman_matrix(df: DataFrame, variables) -> DataFrame:
     NaN counts as missing.
 
     One unpivoted count of the values of each pair is scanned; ranks of all sides come from its sums by one pass in ranges of (side, value), and all pairs are one
-    aggregate. Values are whole rows of no window; choosing the ranges runs a job.
+    aggregate. Choosing the ranges runs a job.
     """
     variables = list(variables)
     pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1 :]]
