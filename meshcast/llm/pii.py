@@ -240,14 +240,15 @@ class Tagger:
         return self
 
     def run_emissions(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Emissions of whole runs of character classes: the mean over the windows that hold a character."""
+        """Emissions of whole runs of character classes: the mean over the windows that hold a character, each weighted by its distance from the window's edges."""
         todo = [(i, a, b) for i, p in enumerate(parts) for a, b in cuts(0, len(p))]
         sums, seen = [np.zeros((len(p), TAGS), np.float32) for p in parts], [np.zeros((len(p), 1), np.float32) for p in parts]
         for at in range(0, len(todo), 512):
             some = todo[at : at + 512]
             for (i, a, b), em in zip(some, self.emissions(padded([parts[i][a:b] for i, a, b in some]))):
-                sums[i][a:b] += em[: b - a]
-                seen[i][a:b] += 1
+                weight = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1))[:, None]
+                sums[i][a:b] += em[: b - a] * weight
+                seen[i][a:b] += weight
         return [x / n for x, n in zip(sums, seen)]
 
     def odds(self, em, tags, a: int, b: int) -> float:
@@ -353,7 +354,8 @@ def augmented(carriers: list[np.ndarray], each: int, seed: int = 7) -> tuple[np.
     """Windows without a span with made-up ones set in between words: `each` of every kind, and twice as many with a number that is none."""
     rng = np.random.default_rng(seed)
     ids, tags = [], []
-    for kind in [k for k in KINDS for _ in range(each)] + [None] * (2 * each):
+    for turn in range(6 * each):
+        kind = (*KINDS, None, None)[turn % 6]
         codes = carriers[rng.integers(len(carriers))]
         spaces = np.flatnonzero(codes == 0)
         at = int(spaces[rng.integers(len(spaces))]) + 1 if len(spaces) else 0
@@ -364,8 +366,14 @@ def augmented(carriers: list[np.ndarray], each: int, seed: int = 7) -> tuple[np.
             mark[:] = 2 + 2 * KINDS.index(kind)
             mark[0] -= 1
         ends = encode(_pick(rng, " ", ". ", ", ", "; ", ") ")) if rng.random() < 0.9 else codes[:0]
-        ids.append(np.concatenate([codes[:at], form, ends, codes[at:]])[:WINDOW])
-        tags.append(np.concatenate([np.zeros(at, np.int64), mark, np.zeros(WINDOW, np.int64)])[:WINDOW])
+        # Windows of longer runs may begin within a span or hold another one.
+        skip = int(rng.integers(0, at + len(form))) if rng.random() < 0.4 else 0
+        more = at + len(form) + len(ends)
+        codes, mark = np.concatenate([codes[:at], form, ends, codes[at:]]), np.concatenate([np.zeros(at, np.int64), mark, np.zeros(WINDOW, np.int64)])
+        if ids and rng.random() < 0.4:
+            codes, mark = np.concatenate([codes[:more], ids[-1]]), np.concatenate([mark[:more], tags[-1]])
+        ids.append(codes[skip : skip + WINDOW])
+        tags.append(np.pad(mark[skip : skip + WINDOW], (0, max(0, WINDOW - len(mark[skip : skip + WINDOW])))))
     return padded(ids), np.stack(tags)
 
 
