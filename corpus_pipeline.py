@@ -14,6 +14,11 @@ from meshcast.llm.queries import table, tokenizer_path
 from meshcast.llm.toxicity import toxicity_scores
 
 
+def _own(docs: DataFrame) -> list:
+    """The columns of `docs`, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     scored = toxicity_scores(docs.select(F.struct("*").alias("own"), "doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.7)
@@ -30,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
     kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias(row))
-    return rows.join(kept.select(row), row, "left_semi").select(*docs.columns)
+    return rows.join(kept.select(row), row, "left_semi").select(*_own(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with every found span of their text replaced by its kind; n_chars is that of the new text."""
-    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*_own(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ words, the windows of n words of a document are fingerprinted (64-bit SimHash of
 weight). Fingerprints are cut into 4 blocks of 16 bits: if two differ in at most RADIUS = 19 bits, one of the blocks differs in
 at most 4 bits, so the tables of all block values within 4 bits of an item's block hold every fingerprint within the radius. The
 candidates inside the radius are verified by the exact weighted similarity: sum of minima over sum of maxima of shingle counts.
+Near the threshold a fingerprint may lie beyond the radius, so items without a candidate are verified too where a stretch of windows
+holds as many of their shingles as the threshold asks for: no passing window is lost.
 
 A window that shares no shingle with an item has similarity 0; only windows that hold a shingle of the benchmark are
 fingerprinted, and a document without any is done after one look-up per shingle.
@@ -22,6 +24,7 @@ from .common import shingle_hashes, sliced, word_hashes
 BLOCKS, BLOCK_BITS, NEAR = 4, 16, 4
 RADIUS = BLOCKS * (NEAR + 1) - 1
 ITEMS_AT_ONCE = 1024  # the query set is sent out in blocks of this many items
+CHUNK = 4096  # windows that are looked at together
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 _BITS = np.arange(64, dtype=np.uint64)
@@ -31,10 +34,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).lower().split()
 
 
-def simhash_prefix(shingles: np.ndarray) -> np.ndarray:
-    """Running sums of the signs of each bit, so that a window's SimHash is one difference."""
-    signs = (((shingles[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1).cumsum(axis=0, dtype=np.int32)
-    return np.vstack([np.zeros((1, 64), np.int32), signs])
+def _signs(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
+
+
+def window_sums(shingles: np.ndarray, m: int) -> np.ndarray:
+    """Sums of the signs of each bit over all windows of m shingles: the first one's, then what enters less what leaves."""
+    first = sum((_signs(shingles[i : min(i + CHUNK, m)]).sum(axis=0, dtype=np.int32) for i in range(0, m, CHUNK)), np.zeros(64, np.int32))
+    n = len(shingles) - m
+    return np.cumsum(np.vstack([first[None, :], _signs(shingles[m:]) - _signs(shingles[:n])]), axis=0, dtype=np.int32)
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
@@ -49,6 +57,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(both / (len(a) + len(b) - both)) if len(a) + len(b) else 0.0
 
 
+def similarities(shingles: np.ndarray, m: int, own: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of all windows of m shingles with an item that holds its sorted distinct shingles `own` so many `times`.
+
+    A shingle at place p counts for a window that begins at x <= p, unless the window holds as many of the same before p as the item has
+    in all. So it counts for a range of windows, and one running sum over the ends of these ranges gives all intersections.
+    """
+    at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+    p = np.flatnonzero(own[at] == shingles)
+    p = p[np.argsort(at[p], kind="stable")]
+    which = at[p]
+    before = np.arange(len(p)) - times[which]
+    there = np.maximum(before, 0)
+    low = np.maximum(np.where((before >= 0) & (which[there] == which), p[there] + 1, 0), p - m + 1)
+    n = len(shingles) - m + 1
+    low, high = np.clip(low, 0, n), np.clip(p + 1, 0, n)
+    both = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n]
+    return both / (m + times.sum() - both)
+
+
 class Index:
     """The items of one block of the query set, by their lengths."""
 
@@ -58,9 +85,10 @@ class Index:
             w = word_hashes(words_of(text))
             if len(w):
                 self.items.append((item, len(w), shingle_hashes(w, k)))
-        self.prints = np.array([pack(simhash_prefix(s)[-1]) for _, _, s in self.items], np.uint64)
+        self.prints = np.array([pack(window_sums(s, len(s))[0]) for _, _, s in self.items], np.uint64)
+        self.counts = [np.unique(s, return_counts=True) for _, _, s in self.items]
         self.sizes = np.array([n for _, n, _ in self.items], np.int64)
-        own = [np.unique(s) for _, _, s in self.items]
+        own = [x for x, _ in self.counts]
         self.shingles = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
         flat = np.concatenate(own) if own else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -95,47 +123,62 @@ class Index:
         found = np.unique(np.concatenate(pairs))
         return np.stack([found // len(self.items), found % len(self.items)], axis=1)
 
-    def matches(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
-        """(item, start, length, similarity) of the windows of one document that pass."""
-        out = []
+    def matches(self, words: np.ndarray, threshold: float):
+        """(item, start, length, similarity) of the windows of one document that pass, one after the other."""
         if not len(words) or not len(self.items):
-            return out
+            return
         shorter = self.sizes < self.k
         for size in np.unique(self.sizes[shorter]):  # whole items of fewer than k words are single shingles
             s = shingle_hashes(words, int(size)) if len(words) >= size else words[:0]
             for i in np.flatnonzero(self.sizes == size):
-                out += [(self.items[i][0], int(p), int(size), 1.0) for p in np.flatnonzero(s == self.items[i][2][0])]
+                yield from ((self.items[i][0], int(p), int(size), 1.0) for p in np.flatnonzero(s == self.items[i][2][0]))
         if len(words) < self.k:
-            return out
+            return
         s = shingle_hashes(words, self.k)
         hit = np.flatnonzero(self.gate[(s >> np.uint64(44)).astype(np.int64)])
         if not len(hit):
-            return out
+            return
         lo, hi = np.searchsorted(self.flat, s[hit], "left"), np.searchsorted(self.flat, s[hit], "right")
-        items = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi)]))
-        items = items[self.sizes[items] <= len(words) + (self.sizes[items] // 4)]
-        hit = hit[hi > lo]
-        if not len(hit) or not len(items):
-            return out
+        hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
+        if not len(hit):
+            return
+        shared = np.zeros(len(self.items), bool)
+        for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0):
+            shared[self.owner[a:b]] = True
+        items = np.flatnonzero(shared & (self.sizes <= len(words) + (self.sizes // 4)))
         for size in np.unique(self.sizes[items]):
             n = int(min(size, len(words)))  # a document a little shorter than the item is one window
             m = n - self.k + 1
             if m < 1:
                 continue
-            reach = (hit[:, None] - np.arange(m)[None, :]).ravel()
-            starts = np.unique(reach[(reach >= 0) & (reach <= len(words) - n)])
             which = items[self.sizes[items] == size]
-            # Work along runs of windows, so that only the stretches around hits are summed.
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                for cut in range(0, len(run), 4096):
-                    part = run[cut : cut + 4096]
-                    sums = simhash_prefix(s[part[0] : part[-1] + m])
-                    prints = pack(sums[part - part[0] + m] - sums[part - part[0]])
-                    for x, item in self.within(prints, which):
-                        score = similarity(s[part[x] : part[x] + m], self.items[item][2])
-                        if score >= threshold:
-                            out.append((self.items[item][0], int(part[x]), n, score))
-        return out
+            # Windows that hold a hit, as stretches [a, b) of their first words.
+            first, last = np.maximum(hit - m + 1, 0), np.minimum(hit, len(words) - n)
+            new = np.append(True, first[1:] > last[:-1] + 1)
+            for a, b in zip(first[new], np.append(last[:-1][new[1:]], last[-1:]) + 1):
+                for x in range(a, b, CHUNK):
+                    part = s[x : min(x + CHUNK, b) + m - 1]
+                    u, v = np.searchsorted(hit, [x, x + len(part)])
+                    for item, i, score in self._passing(part, m, which, lo[u:v], hi[u:v], threshold):
+                        yield self.items[item][0], int(x + i), n, score
+
+    def _passing(self, part: np.ndarray, m: int, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float):
+        """(item, window, similarity) of the windows of m shingles of a stretch that pass; lo and hi bound its hits in the index.
+
+        Items with a window within the radius are verified. Fingerprints may miss an item, so one that is not among them is verified too,
+        if the stretch holds as many of its shingles as a passing window needs.
+        """
+        near = np.zeros(len(self.items), bool)
+        near[self.within(pack(window_sums(part, m)), which)[:, 1]] = True
+        times = np.zeros(len(self.items), np.int64)
+        for (a, b), n in zip(*np.unique(np.stack([lo, hi], axis=1), axis=0, return_counts=True)):
+            times[self.owner[a:b]] += n  # no item holds a shingle twice in the index
+        both = m + np.array([len(self.items[i][2]) for i in which])
+        missed = ~near[which] & (times[which] * (1 + threshold) >= threshold * both - 1e-6)
+        for item in np.concatenate([which[near[which]], which[missed]]):
+            scores = similarities(part, m, *self.counts[item])
+            for i in np.flatnonzero(scores >= threshold):
+                yield int(item), int(i), float(scores[i])
 
 
 def _scan(index, k: int, threshold: float):
@@ -148,7 +191,7 @@ def _scan(index, k: int, threshold: float):
                 for item, start, n, score in own.matches(word_hashes(words_of(text)), threshold):
                     b = best.setdefault(item, [start, n, score, 0])
                     b[3] += 1
-                    if score > b[2]:
+                    if (-score, start) < (-b[2], b[0]):
                         b[:3] = start, n, score
                 rows += [(doc, item, b[3], b[0], b[1], b[2]) for item, b in sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_windows", "start_word", "n_words", "similarity"])
@@ -200,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold:
     def clean(texts: pd.Series) -> pd.Series:
         def one(text):
             words = word_hashes(words_of(text))
-            return not any(i.value.matches(words, threshold) for i in indexes)
+            return not any(True for i in indexes for _ in i.value.matches(words, threshold))
 
         return texts.map(one)
 

@@ -65,3 +65,15 @@ def test_whole_run(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "decontamination", "personal_data"])
+def test_columns_of_any_name_stay(spark, stage):
+    odd = ["a.b", "with space", "tick`s", "row", "x.y.z"]
+    rows = [(1, "one text of some words and more of them", 39, 1, "p", None, 2, 3.0), (1, "one text of some words and more of them", 39, 1, "p", None, 2, 3.0), (None, None, None, None, None, "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `a.b` int, `with space` string, `tick``s` string, row int, `x.y.z` double")
+    got = dict(P.STAGES)[stage](spark, docs, SF)
+    assert got.columns == docs.columns == ["doc_id", "text", "n_chars", *odd]
+    assert got.count() == (2 if stage == "near_duplicates" else 3)
+    empty = dict(P.STAGES)[stage](spark, docs.limit(0), SF)
+    assert empty.columns == docs.columns and empty.count() == 0
