@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import pickle
 import re
 
 import numpy as np
@@ -400,14 +401,24 @@ def trained(windows_of: list[tuple], steps: int = 280, each: int = 600) -> Tagge
     return tagger.fit(ids, tags, steps=steps)
 
 
+def _fitted(batches):
+    """One row: the weights of a tagger fitted to all windows of the only partition."""
+    tagger = trained([w for pdf in batches for w in zip(pdf.codes, pdf.tags)])
+    if tagger.fitted:
+        yield pd.DataFrame({"weights": [pickle.dumps(tagger.w)]})
+
+
 def fit(docs: DataFrame, rows: int = 6000, most_windows: int = 4000) -> Tagger:
     """Train on the first `rows` rows by a hash of doc_id (texts up to 50,000 characters) and on `most_windows` different
     windows of them, the first by a hash of their characters, so the layout of the files makes no difference; with nothing to learn from, the tagger
-    adds no spans."""
+    adds no spans. One task holds these windows and trains; small matrices gain nothing from the threads that it would take on the driver."""
     picked = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").where(F.length("text") <= 50_000)
-    got = texts.join(F.broadcast(picked), "doc_id").mapInPandas(_training, "key long, codes array<int>, tags array<int>").dropDuplicates(["key"]).orderBy("key").limit(most_windows).toPandas()
-    return trained(list(zip(got.codes, got.tags)))
+    got = texts.join(F.broadcast(picked), "doc_id").mapInPandas(_training, "key long, codes array<int>, tags array<int>").dropDuplicates(["key"]).orderBy("key").limit(most_windows)
+    tagger = Tagger()
+    for row in got.coalesce(1).mapInPandas(_fitted, "weights binary").collect():
+        tagger.w, tagger.fitted = pickle.loads(row.weights), True
+    return tagger
 
 
 def reconciled(base, added, length) -> list[tuple[str, int, int]]:
