@@ -37,8 +37,12 @@ def _record(kind, ident, uri, concurrent, extra, content_type, block):
     return F.concat(*head, *extra, F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", pages_per_file: int = 1000) -> None:
-    """Archive every row of `pages` (page_id, url, html) under `path`, as gzipped WARC files of at most `pages_per_file` pages.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", pages_per_file: int = 1000, bytes_per_file: int = 1 << 28) -> None:
+    """Archive every row of `pages` (page_id, url, html) under `path`, as gzipped WARC files of at most `pages_per_file` pages and
+    `bytes_per_file` bytes before compression; a page beyond that has a file of its own.
+
+    Pages of up to bytes_per_file / pages_per_file bytes fill files by number. Larger ones go by size class: class c holds sizes up to
+    2^c times that and so many times fewer pages a file, dealt by their number in the source's partition, so no sizes are summed up.
 
     Of pages with equal payloads of at least `least_bytes` bytes the one with the largest page_id is a response, the others are
     revisits of it; of rows that share that page_id, one. Null html is an empty payload; null urls are empty; white space and control characters of urls are percent-encoded.
@@ -48,6 +52,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: s
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("uri"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("row", F.monotonically_increasing_id())
+    # An upper bound of a transaction's bytes: headers beside the url take less than 2048.
+    size, small = F.octet_length("html").cast("long") + 4 * F.octet_length("uri") + 2048, max(2048, bytes_per_file // pages_per_file)
+    large = not page.where(size > small).isEmpty()
     page = page.withColumn("digest", base32_sha1(F.col("html"))).withColumn("ident", F.format_string("<urn:capture:%s:%d>", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "row"))
     kept = page.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "ident")).alias("last"), F.count("*").alias("k")).where("k > 1").select("digest", "last")
     page = page.join(kept, "digest", "left")
@@ -61,7 +68,18 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: s
     of = lambda what: F.concat(F.expr("substring(ident, 1, length(ident) - 1)"), F.lit(f":{what}>"))
     request = _record(F.lit("request"), of("request"), F.col("uri"), F.col("ident"), [], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record(F.lit("metadata"), of("metadata"), F.col("uri"), F.col("ident"), [], "application/warc-fields", F.concat(F.lit("payloadBytes: "), F.octet_length("html").cast("string"), F.lit("\r\n")))
-    page.select(F.concat_ws("\r\n\r\n", own, request, metadata).alias("value")).write.option("maxRecordsPerFile", pages_per_file).option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    level = F.ceil(F.log2(size / small)).cast("int")
+    pages_each = F.greatest(F.lit(1), F.floor(F.lit(bytes_per_file) / (small * F.pow(F.lit(2.0), level)))).cast("long")
+    number = F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / pages_each)
+    archive = F.concat_ws("-", level, F.shiftright("row", 33), number)
+    value, limit = F.concat_ws("\r\n\r\n", own, request, metadata).alias("value"), max(1, min(pages_per_file, bytes_per_file // small))
+
+    def write(rows: DataFrame, *by: str) -> None:
+        rows.write.mode("append").partitionBy(*by).option("maxRecordsPerFile", limit).option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+    write(page.where(size <= small).select(value))
+    if large:
+        write(page.where(size > small).select(value, archive.alias("archive")), "archive")
 
 
 def parse_archive(content: bytes):
@@ -112,9 +130,9 @@ def _records(payloads: bool):
 
 def read_captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One nested row per capture of the archives under `path`: id, kind, uri, date, refers_to, response, request, metadata and the
-    response that a revisit refers to. Files are read whole, so keep archives well below 2 GB. A capture without request or metadata
+    response that a revisit refers to. Files are read whole, those of `write_warc` have at most `bytes_per_file` bytes. A capture without request or metadata
     record has null there; request and metadata records without a capture are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     records = files.mapInPandas(_records(payloads), RECORDS)
     records = staged(records, "records") if not payloads else records
     captures = records.where("kind in ('response', 'revisit')").select("id", "kind", "uri", "date", "refers_to", F.struct("http", "declared", "payload", "payload_bytes", "payload_digest").alias("response"))
