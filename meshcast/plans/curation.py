@@ -22,10 +22,13 @@ KEYS = ["nodo_id", "year", "month", "day", "hour"]
 # Fixed names.
 RENAMES = {"global_horizontal_uv_irradiance_(280-400nm)": "ghi_uv_280_400", "global_horizontal_uv_irradiance_(295-385nm)": "ghi_uv_295_385"}
 COMPACT = {"nodo_id": "smallint", "year": "smallint", "month": "tinyint", "day": "tinyint", "hour": "tinyint", "cloud_type": "tinyint", "cloud_fill_flag": "tinyint", "fill_flag": "tinyint"}
+#: For grids with ids beyond 32,767. Parquet stores both types as 32 bits, so this takes no more room on disk.
+WIDE = COMPACT | {"nodo_id": "int"}
 
 
 def consolidated(raw: DataFrame, types: dict = COMPACT, lenient: bool = False) -> DataFrame:
-    """Tidy names, timestamp in second place, no minute, compact types. A value that does not fit its type is an error, or null if lenient."""
+    """Tidy names, timestamp in second place, no minute, compact types. A value that does not fit its type is an error, or null if lenient;
+    WIDE has room for ids that COMPACT has not."""
     df = raw.toDF(*(tidy_name(c) for c in raw.columns)).withColumnsRenamed(RENAMES)
     df = df.withColumn("datetime", timestamp_of()).drop("minute")
     df = df.withColumns({c: F.col(c).try_cast(t) if lenient else F.col(c).cast(t) for c, t in types.items() if c in df.columns})
@@ -76,13 +79,13 @@ def count_gate(df: DataFrame, hours: int = 8760, nodes: int | None = None) -> Da
     return out.withColumn("expected", F.col("nodes") * hours).withColumn("complete", F.col("rows") == F.col("expected"))
 
 
-def consolidate_year(spark, folder: str, out: str, hours: int = 8760, partitions: int | None = None) -> DataFrame:
+def consolidate_year(spark, folder: str, out: str, hours: int = 8760, partitions: int | None = None, types: dict = COMPACT) -> DataFrame:
     """Node files of a year to one ordered table at `out`; returns the count gate of what was written."""
-    write_ordered(consolidated(node_files(spark, folder)), out, partitions)
+    write_ordered(consolidated(node_files(spark, folder), types), out, partitions)
     return count_gate(spark.read.parquet(out), hours)
 
 
-def consolidate_complete(nodes: DataFrame, raw: DataFrame, out: str, keys=("region", "year")) -> list[dict]:
+def consolidate_complete(nodes: DataFrame, raw: DataFrame, out: str, keys=("region", "year"), types: dict = COMPACT) -> list[dict]:
     """Consolidate each (region, year) of `raw` whose nodes are all there and that the table at `out` does not hold yet; the keys done now.
 
     `nodes` and `raw` have the keys and nodo_id. Each part is claimed before it is written, and looked for again under the claim, so of two runs at once one writes
@@ -100,7 +103,7 @@ def consolidate_complete(nodes: DataFrame, raw: DataFrame, out: str, keys=("regi
             with versions.claim(spark, out, "-".join(f"{k}={v}" for k, v in text.items())):
                 if not here():
                     some = raw.where(" and ".join(f"`{k}` <=> '{v}'" for k, v in text.items())).join(nodes.select(*keys, "nodo_id").distinct(), [*keys, "nodo_id"], "left_semi")
-                    versions.publish(consolidated(some).repartitionByRange("nodo_id", "datetime").sortWithinPartitions("nodo_id", "datetime"), out, keys)
+                    versions.publish(consolidated(some, types).repartitionByRange("nodo_id", "datetime").sortWithinPartitions("nodo_id", "datetime"), out, keys)
                     done.append(own)
         except versions.Taken:
             continue
@@ -113,9 +116,9 @@ def complement_set(raw: DataFrame, hours: int = 8760) -> tuple[DataFrame, DataFr
     return df, count_gate(df, hours), quality.null_counts(df)
 
 
-def master(raw: DataFrame, nodes: int, hours: int = 8760) -> DataFrame:
+def master(raw: DataFrame, nodes: int, hours: int = 8760, types: dict = COMPACT) -> DataFrame:
     """The consolidated rows of a whole directory; an error if they are not nodes x hours. Runs a job to count them."""
-    df = consolidated(raw)
+    df = consolidated(raw, types)
     gate = count_gate(df, hours, nodes).first()
     if not gate.complete:
         raise ValueError(f"{gate.rows} rows, {gate.expected} expected")

@@ -284,7 +284,7 @@ _PER_KEY = f"(SELECT nodo_id, datetime, any_value(month) AS month, any_value(day
 query("dq01_integrity", "SELECT *, nodes * days * hours AS expected, nodes * days * hours - rows AS missing, " + r("(nodes * days * hours - rows) * 100.0 / (nodes * days * hours)", "missing_pct", 3) + " FROM (SELECT " + ", ".join(_WIDE) + f" FROM {_PER_KEY})", "obs", "nodos")(quality.integrity_row)
 _RAW = lambda o: o.drop("datetime").withColumn("minute", F.lit(30)).withColumnsRenamed({"nodo_id": " Nodo ID", "solar_zenith_angle": "Solar Zenith Angle", "year": "Year "})
 _STORED = "CAST(nodo_id AS SMALLINT) AS nodo_id, make_timestamp(year, month, day, hour, 0, 0) AS datetime, CAST(year AS SMALLINT) AS year, CAST(month AS TINYINT) AS month, CAST(day AS TINYINT) AS day, CAST(hour AS TINYINT) AS hour"
-query("dq03_consolidated", f"SELECT {_STORED}, ghi, solar_zenith_angle, CAST(cloud_type AS TINYINT) AS cloud_type FROM obs", "obs")(lambda o: curation.consolidated(_RAW(o)).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi", "solar_zenith_angle", "cloud_type"))
+query("dq03_consolidated", f"SELECT {_STORED}, ghi, solar_zenith_angle, CAST(cloud_type AS TINYINT) AS cloud_type FROM obs", "obs")(lambda o: curation.consolidated(_RAW(o), curation.WIDE).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi", "solar_zenith_angle", "cloud_type"))
 _GATE = "SELECT rows, nodes, nodes * 600 AS expected, rows = nodes * 600 AS complete FROM (SELECT count(*) AS rows, count(DISTINCT nodo_id) AS nodes FROM {})"
 query("dq04_complement_gate", _GATE.format("complemento"), "obs")(lambda o: curation.complement_set(fixtures.complement(o).withColumn("Minute", F.lit(30)), hours=600)[1])
 _PROFILE = "SELECT hour, max(ghi) AS ghi FROM obs GROUP BY hour"
