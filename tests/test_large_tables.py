@@ -27,3 +27,9 @@ def test_consolidated_ids_beyond_smallint(spark, far):
     found = queries.QUERIES["dq03_consolidated"](spark, far)
     stored = fixtures.view(spark, far, "obs").withColumn("datetime", F.make_timestamp_ntz("year", "month", "day", "hour", F.lit(0), F.lit(0))).select(*found.columns)
     assert found.agg(F.min("nodo_id")).first()[0] == 40000 and rows(found) == rows(stored)
+
+
+def test_master_ids_beyond_smallint(spark, far):
+    found = queries.QUERIES["dq05_master"](spark, far)
+    nodes = fixtures.view(spark, far, "nodos")
+    assert found.count() == 24 * nodes.count() and rows(found.select("nodo_id").distinct()) == rows(nodes.select("nodo_id"))
