@@ -299,7 +299,7 @@ def _typical_day(n: DataFrame, o: DataFrame) -> DataFrame:
 query("dq05_master", f"SELECT n.nodo_id, TIMESTAMP '2023-06-21' + to_hours(CAST(h.range AS INT)) AS datetime, 2023 AS year, 6 AS month, 21 AS day, CAST(h.range AS INT) AS hour, p.ghi FROM nodos n JOIN range(24) h ON true LEFT JOIN ({_PROFILE}) p ON p.hour = h.range", "nodos", "obs")(
     lambda n, o: curation.master(_typical_day(n, o), nodes=n.count(), hours=24, types=curation.WIDE).select("nodo_id", "datetime", "year", "month", "day", "hour", "ghi")
 )
-query("dq05_master_gate", _GATE.format("obs"), "obs")(lambda o: curation.count_gate(curation.consolidated(_RAW(o)), hours=600))
+query("dq05_master_gate", _GATE.format("obs"), "obs")(lambda o: curation.count_gate(curation.consolidated(_RAW(o), curation.WIDE), hours=600))
 query("dq06_feature_year", "SELECT h.nodo_id, h.hour_ts AS datetime, " + r("mean", "mean") + ", max, minute_30 AS solar_zenith_angle, mode AS cloud_type, CAST(year(h.hour_ts) AS INT) AS year, CAST(month(h.hour_ts) AS INT) AS month, CAST(day(h.hour_ts) AS INT) AS day, CAST(hour(h.hour_ts) AS INT) AS hour" + f" FROM {_HOURLY} h JOIN {_MODE} m ON h.nodo_id = m.nodo_id AND h.hour_ts = m.hour_ts WHERE minute_30 < 85", "subhora")(
     lambda s: rounded(curation.feature_year(s, {"mean": ("value", "mean"), "max": ("value", "max"), "solar_zenith_angle": ("value", "minute_30"), "cloud_type": ("code", "mode")}), "mean")
 )

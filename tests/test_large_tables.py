@@ -33,3 +33,8 @@ def test_master_ids_beyond_smallint(spark, far):
     found = queries.QUERIES["dq05_master"](spark, far)
     nodes = fixtures.view(spark, far, "nodos")
     assert found.count() == 24 * nodes.count() and rows(found.select("nodo_id").distinct()) == rows(nodes.select("nodo_id"))
+
+
+def test_gate_counts_ids_beyond_smallint(spark, far):
+    gate, obs = queries.QUERIES["dq05_master_gate"](spark, far).first(), fixtures.view(spark, far, "obs")
+    assert (gate.rows, gate.nodes) == (obs.count(), obs.select("nodo_id").distinct().count()) and gate.expected == 600 * gate.nodes
