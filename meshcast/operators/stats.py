@@ -62,10 +62,11 @@ def flag_distribution(df: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, 3)).withColumn("label", F.when(F.col("flag") == "cloud_type", label_of("code", CLOUD_TYPE))).orderBy("flag", "code")
 
 
-def classify_days(df: DataFrame, by_node: bool = False, clear: float = 0.65, overcast: float = 0.35) -> DataFrame:
-    """Mean daylight kt per day (or node and day) and its class; days alone come in their order."""
+def classify_days(df: DataFrame, by_node: bool = False, clear: float = 0.65, overcast: float = 0.35, digits: int = 8) -> DataFrame:
+    """Mean daylight kt per day (or node and day) and its class; days alone come in their order. The mean is rounded to `digits` decimals and classed as such:
+    at a limit, the order in which doubles were added decides nothing."""
     keys = ["month", "day"] + (["nodo_id"] if by_node else [])
-    out = df.where("solar_zenith_angle < 90").groupBy(*keys).agg(F.avg(clearness()).alias("kt"))
+    out = df.where("solar_zenith_angle < 90").groupBy(*keys).agg(F.round(F.avg(clearness()), digits).alias("kt"))
     out = out.where("kt is not null").withColumn("category", labelled_bands(F.col("kt"), ((clear, "clear"), (overcast, "partial")), "overcast"))
     return out if by_node else out.orderBy(*keys)
 

@@ -99,8 +99,8 @@ def _days_sql(keys: str) -> str:
     return f"SELECT *, CASE WHEN kt >= 0.65 THEN 'clear' WHEN kt >= 0.35 THEN 'partial' ELSE 'overcast' END AS category FROM (SELECT {keys}, " + r("avg(CASE WHEN clearsky_ghi > 0 THEN ghi / clearsky_ghi END)", "kt") + f" FROM obs WHERE solar_zenith_angle < 90 GROUP BY {keys}) WHERE kt IS NOT NULL"
 
 
-query("agg_day_classes", _days_sql("month, day"), "obs")(lambda o: rounded(stats.classify_days(o), "kt"))
-query("agg_day_classes_by_node", _days_sql("month, day, nodo_id"), "obs")(lambda o: rounded(stats.classify_days(o, by_node=True), "kt"))
+query("agg_day_classes", _days_sql("month, day"), "obs")(stats.classify_days)
+query("agg_day_classes_by_node", _days_sql("month, day, nodo_id"), "obs")(lambda o: stats.classify_days(o, by_node=True))
 query("agg_day_counts", f"SELECT category, count(*) AS days FROM ({_days_sql('month, day')}) GROUP BY category", "obs")(lambda o: stats.day_counts(stats.classify_days(o)))
 
 
@@ -267,7 +267,7 @@ query("jn10_time_axis", "SELECT n.nodo_id, s.ts FROM nodos n JOIN (SELECT DISTIN
 query("win01_by_place", "SELECT nodo_id, row_number() OVER (ORDER BY latitude, longitude, nodo_id) - 1 AS new_id FROM nodos", "nodos")(lambda n: grid.numbered(n, "latitude", "longitude", "nodo_id").select("nodo_id", "new_id"))
 query("win03_cell_numbers", f"SELECT nodo_id, dense_rank() OVER (ORDER BY lat_real, lon_real) - 1 AS celda_id FROM {_SNAPPED}", "solicitados")(lambda s: grid.cell_numbers(grid.snap_nodes(s)).select("nodo_id", "celda_id"))
 query("win06_duration_rows", "SELECT temperature AS value, row_number() OVER (ORDER BY temperature DESC) AS position, " + r("row_number() OVER (ORDER BY temperature DESC) * 100.0 / count(*) OVER ()", "exceedance_pct") + " FROM obs WHERE temperature IS NOT NULL", "obs")(lambda o: rounded(stats.duration_rows(o, "temperature"), "exceedance_pct"))
-query("srt02_days", ORACLE_SQL["agg_day_classes"].removeprefix(WITH) + " ORDER BY month, day", "obs")(lambda o: rounded(stats.classify_days(o), "kt"))
+query("srt02_days", ORACLE_SQL["agg_day_classes"].removeprefix(WITH) + " ORDER BY month, day", "obs")(stats.classify_days)
 query("srt04_first_pending", "SELECT nodo_id FROM solicitados WHERE nodo_id NOT IN (SELECT nodo_id FROM obs) ORDER BY nodo_id LIMIT 25", "solicitados", "obs")(lambda s, o: grid.first_pending(s.select("nodo_id"), o, 25))
 query("srt05_preview", "SELECT nodo_id, datetime FROM obs WHERE nodo_id = 7 ORDER BY datetime LIMIT 12", "obs")(lambda o: filters.preview(o, 7, 12).select("nodo_id", "datetime"))
 query("srt06_flags_in_order", ORACLE_SQL["agg_flags"].removeprefix(WITH), "obs")(stats.flag_distribution)

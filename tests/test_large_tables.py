@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshcast import queries
+from meshcast.operators import stats
 from meshcast.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,15 @@ def test_master_ids_beyond_smallint(spark, far):
 def test_gate_counts_ids_beyond_smallint(spark, far):
     gate, obs = queries.QUERIES["dq05_master_gate"](spark, far).first(), fixtures.view(spark, far, "obs")
     assert (gate.rows, gate.nodes) == (obs.count(), obs.select("nodo_id").distinct().count()) and gate.expected == 600 * gate.nodes
+
+
+def test_class_is_that_of_the_rounded_mean(spark):
+    values = [(1, 6.49999997e8, 1e9), (2, 6.4999999e8, 1e9), (3, 3.49999997e8, 1e9), (4, 3.5e8, 1e9), (5, 6.5e8, 1e9)]
+    given = [(n, 1, 1, ghi, clear, 30.0) for n, ghi, clear in values]
+    obs = spark.createDataFrame(given, "nodo_id int, month int, day int, ghi double, clearsky_ghi double, solar_zenith_angle double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE obs (nodo_id INT, month INT, day INT, ghi DOUBLE, clearsky_ghi DOUBLE, solar_zenith_angle DOUBLE)")
+    con.executemany("INSERT INTO obs VALUES (?, ?, ?, ?, ?, ?)", given)
+    wanted = con.execute(queries._days_sql("month, day, nodo_id")).fetchall()
+    assert rows(stats.classify_days(obs, by_node=True)) == sorted(wanted, key=str)
+    assert {r[2]: r[4] for r in wanted} == {1: "clear", 2: "partial", 3: "partial", 4: "partial", 5: "clear"}
