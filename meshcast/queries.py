@@ -272,8 +272,16 @@ query("srt04_first_pending", "SELECT nodo_id FROM solicitados WHERE nodo_id NOT
 query("srt05_preview", "SELECT nodo_id, datetime FROM obs WHERE nodo_id = 7 ORDER BY datetime LIMIT 12", "obs")(lambda o: filters.preview(o, 7, 12).select("nodo_id", "datetime"))
 query("srt06_flags_in_order", ORACLE_SQL["agg_flags"].removeprefix(WITH), "obs")(stats.flag_distribution)
 query("set02_without_metadata", "SELECT DISTINCT nodo_id FROM obs WHERE nodo_id NOT IN (SELECT nodo_id FROM nodos WHERE nodo_id % 3 = 0)", "obs", "nodos")(lambda o, n: grid.without_metadata(o, n.where("nodo_id % 3 = 0")))
+def _third_upserted(n: DataFrame) -> DataFrame:
+    """Every third node twice anew (the last stays) and one that is added. The added row is new whatever nodes there are, as in the SQL, so it has a key of its own, not its id."""
+    old = n.withColumn("key", F.col("nodo_id"))
+    added = n.sparkSession.range(1).select(*(F.lit(v).cast(n.schema[c].dataType).alias(c) for c, v in (("nodo_id", 9999), ("latitude", 1.0), ("longitude", 2.0), ("msnm", 2.5))), F.lit(-1).alias("key"))
+    new = old.where("nodo_id % 3 = 0").withColumn("msnm", F.lit(2.5)).unionByName(added).withColumn("source", F.lit("b"))
+    return grid.upserted(old, new.union(new.withColumn("source", F.lit("a"))), key="key").select(*n.columns, "source")
+
+
 query("set05_upsert", "SELECT nodo_id, latitude, longitude, CASE WHEN nodo_id % 3 = 0 THEN 2.5 ELSE msnm END AS msnm, CASE WHEN nodo_id % 3 = 0 THEN 'b' END AS source FROM nodos UNION ALL SELECT 9999, 1.0, 2.0, 2.5, 'b'", "nodos")(
-    lambda n: grid.upserted(n, (t := n.where("nodo_id % 3 = 0").unionByName(n.limit(1).select(F.lit(9999).alias("nodo_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(0.0).alias("msnm"))).withColumn("msnm", F.lit(2.5)).withColumn("source", F.lit("b"))).union(t.withColumn("source", F.lit("a"))))
+    _third_upserted
 )
 query("set06_wide", "SELECT datetime, nodo_id, max(ghi) AS ghi, max(temperature) AS temperature FROM obs GROUP BY 1, 2", "obs")(lambda o: stats.wide(o.select("datetime", "nodo_id", F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in ("ghi", "temperature"))))), ("ghi", "temperature")))
 

@@ -20,6 +20,23 @@ def far(spark, tmp_path_factory):
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def beside(spark, tmp_path_factory):
+    """Suppliers from 9,990, so that the added node's id is taken."""
+    folder = tmp_path_factory.mktemp("beside")
+    spark.read.parquet(f"{SF}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 9990).union(spark.read.parquet(f"{SF}/supplier.parquet")).write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def asked(name, folder, *tables):
+    """The query's SQL in DuckDB."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in {"lineitem", "supplier", "customer", "events"}:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder if t in tables else SF}/{t}.parquet{'/*.parquet' if t in tables else ''}'")
+    return con.execute(queries.ORACLE_SQL[name])
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
@@ -51,3 +68,11 @@ def test_class_is_that_of_the_rounded_mean(spark):
     wanted = con.execute(queries._days_sql("month, day, nodo_id")).fetchall()
     assert rows(stats.classify_days(obs, by_node=True)) == sorted(wanted, key=str)
     assert {r[2]: r[4] for r in wanted} == {1: "clear", 2: "partial", 3: "partial", 4: "partial", 5: "clear"}
+
+
+def test_upsert_adds_a_row_whose_id_is_taken(spark, beside):
+    found = queries.QUERIES["set05_upsert"](spark, beside)
+    wanted = asked("set05_upsert", beside, "supplier")
+    assert found.columns == [c[0] for c in wanted.description]
+    wanted = wanted.fetchall()
+    assert [r[0] for r in wanted].count(9999) == 2 and rows(found) == sorted(wanted, key=str)
