@@ -97,30 +97,38 @@ def fingerprints(facts: DataFrame, variables, *keys) -> list:
     return [F.count("*").alias("n"), F.sum(_row_hash(variables, "a", *keys)).alias("sum_a"), F.sum(_row_hash(variables, "b", *keys)).alias("sum_b")]
 
 
-def differing_twins(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
+def _unequal(facts: DataFrame, nodes: DataFrame, variables, series: str) -> DataFrame:
+    """(lat_real, lon_real, nodo_id, twin, first_series, twin_series) of the nodes whose series is not that of the first node of their cell."""
+    found = facts.groupBy(F.col(series).alias("series")).agg(*fingerprints(facts, variables, "datetime"))
+    prints = nodes.select("nodo_id", *CELL, F.col(series).alias("series")).join(found, "series", "left").withColumn("print", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sum_a", "sum_b"))
+    first = prints.groupBy(*CELL).agg(F.min_by(F.struct("nodo_id", "series", "print"), "nodo_id").alias("first"))
+    both = prints.join(first, list(CELL))
+    same = (F.col("print.n") == F.col("first.print.n")) & F.col("print.sum_a").eqNullSafe(F.col("first.print.sum_a")) & F.col("print.sum_b").eqNullSafe(F.col("first.print.sum_b"))
+    return both.where(~same).select(*CELL, F.col("first.nodo_id").alias("nodo_id"), F.col("nodo_id").alias("twin"), F.col("first.series").alias("first_series"), F.col("series").alias("twin_series"))
+
+
+def differing_twins(facts: DataFrame, nodes: DataFrame, variables, series: str = "nodo_id") -> DataFrame:
     """(lat_real, lon_real, nodo_id, twin): nodes whose series is not that of the first node of their cell, in any variable, hour or number of rows.
 
-    One row per node is shuffled, not the facts; nodes without facts have an empty series.
+    `series` is the column of both tables that says which facts are a node's; nodes can share one, which is then stored and read once. One row per series and
+    node is shuffled, not the facts; nodes without facts have an empty series.
     """
-    series = facts.groupBy("nodo_id").agg(*fingerprints(facts, variables, "datetime"))
-    prints = nodes.select("nodo_id", *CELL).join(series, "nodo_id", "left").withColumn("print", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sum_a", "sum_b"))
-    first = prints.groupBy(*CELL).agg(F.min_by(F.struct("nodo_id", "print"), "nodo_id").alias("first"))
-    both = prints.join(first, list(CELL))
-    same = (F.col("print.n") == F.col("first.print.n")) & F.col("print.sum_a").eqNullSafe(F.col("first.print.sum_a")) & F.col("print.sum_b").eqNullSafe(F.col("first.print.sum_b"))
-    return both.where(~same).select(*CELL, F.col("first.nodo_id").alias("nodo_id"), F.col("nodo_id").alias("twin"))
+    return _unequal(facts, nodes, variables, series).drop("first_series", "twin_series")
 
 
-def differing_cells(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
+def differing_cells(facts: DataFrame, nodes: DataFrame, variables, series: str = "nodo_id") -> DataFrame:
     """(lat_real, lon_real, nodo_id, twin, datetime, kind) where a node's series differs from that of the first node of its cell: its hour is `lacking`, `surplus`
-    (also by the number of repeated rows) or `different`. Only series that differ as a whole are compared hour by hour."""
-    bad = differing_twins(facts, nodes, variables)
-    sides = bad.select(*CELL, "nodo_id", "twin", F.explode(F.array(F.struct(F.col("nodo_id").alias("node"), F.lit(True).alias("first")), F.struct(F.col("twin").alias("node"), F.lit(False).alias("first")))).alias("x"))
-    sides = sides.select(*CELL, "nodo_id", "twin", F.col("x.node").alias("node"), F.col("x.first").alias("is_first"))
-    rows = facts.select(F.col("nodo_id").alias("node"), "datetime", *(_row_hash(variables, seed).alias(f"h_{seed}") for seed in "ab")).join(sides, "node")
+    (also by the number of repeated rows) or `different`. Only series that differ as a whole are compared hour by hour, each pair of series once; `series` as in
+    `differing_twins`."""
+    bad = _unequal(facts, nodes, variables, series)
+    pair = ("first_series", "twin_series")
+    sides = bad.select(*pair).distinct().select(*pair, F.explode(F.array(*(F.struct(F.col(c).alias("series"), F.lit(c == pair[0]).alias("is_first")) for c in pair))).alias("x")).select(*pair, "x.*")
+    rows = facts.select(F.col(series).alias("series"), "datetime", *(_row_hash(variables, seed).alias(f"h_{seed}") for seed in "ab")).join(sides, "series")
     side = lambda c, first: F.sum(F.when(F.col("is_first") == first, c).otherwise(0))
-    hours = rows.groupBy(*CELL, "nodo_id", "twin", "datetime").agg(*(side(F.col(c) if c != "n" else F.lit(1), f).alias(f"{c}_{int(f)}") for c in ("n", "h_a", "h_b") for f in (True, False)))
+    hours = rows.groupBy(*pair, "datetime").agg(*(side(F.col(c) if c != "n" else F.lit(1), f).alias(f"{c}_{int(f)}") for c in ("n", "h_a", "h_b") for f in (True, False)))
     kind = F.when(F.col("n_0") < F.col("n_1"), "lacking").when(F.col("n_0") > F.col("n_1"), "surplus").when((F.col("h_a_0") != F.col("h_a_1")) | (F.col("h_b_0") != F.col("h_b_1")), "different")
-    return hours.withColumn("kind", kind).where("kind is not null").select(*CELL, "nodo_id", "twin", "datetime", "kind")
+    hours = hours.withColumn("kind", kind).where("kind is not null").select(*pair, "datetime", "kind")
+    return bad.join(hours, list(pair)).select(*CELL, "nodo_id", "twin", "datetime", "kind")
 
 
 def cell_numbers(nodes: DataFrame, name: str = "celda_id") -> DataFrame:

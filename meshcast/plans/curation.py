@@ -57,14 +57,17 @@ def hour_audit(sub: DataFrame, stored: DataFrame, tolerance: float = 1e-6) -> Da
     return both.where(F.col("mean").isNull() | F.col("stored").isNull() | (F.abs(F.col("mean") - F.col("stored")) > tolerance))
 
 
-def regridded(facts: DataFrame, nodes: DataFrame, variables) -> DataFrame:
-    """Keep one node per cell, under its new number; an error names a cell, two of its nodes and an hour where they differ. Runs a job to see that."""
-    bad = differing_twins(facts, nodes, variables).orderBy(*CELL, "twin").first()
+def regridded(facts: DataFrame, nodes: DataFrame, variables, series: str = "nodo_id") -> DataFrame:
+    """Keep one node per cell, under its new number; an error names a cell, two of its nodes and an hour where they differ. Runs a job to see that.
+    `series` is the column of both tables that says which facts are a node's; nodes can share one."""
+    bad = differing_twins(facts, nodes, variables, series).orderBy(*CELL, "twin").first()
     if bad is not None:
-        hour = differing_cells(facts, nodes.where(F.col("nodo_id").isin(bad.nodo_id, bad.twin)), variables).orderBy("datetime").first()
+        hour = differing_cells(facts, nodes.where(F.col("nodo_id").isin(bad.nodo_id, bad.twin)), variables, series).orderBy("datetime").first()
         raise ValueError(f"nodes {bad.nodo_id} and {bad.twin} of cell {tuple(bad[c] for c in CELL)} differ" + (f" at {hour.datetime}: {hour.kind}" if hour else ""))
     ids = id_map(nodes).where("nodo_id = representative").select("nodo_id", "new_id")
-    return facts.join(ids, "nodo_id").drop("nodo_id").withColumnRenamed("new_id", "nodo_id")
+    if series != "nodo_id":
+        ids = ids.join(nodes.select("nodo_id", series), "nodo_id").drop("nodo_id")
+    return facts.join(ids, series).drop(series).withColumnRenamed("new_id", "nodo_id")
 
 
 # Fixed names: the columns of the daylight dataset.

@@ -336,19 +336,31 @@ _KEYS_OF = ("lat_real", "lon_real", "nodo_id", "twin", "datetime")
 _DIFFER = "SELECT " + ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in _KEYS_OF) + ", CASE WHEN coalesce(b.n, 0) < coalesce(a.n, 0) THEN 'lacking' WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN 'surplus' ELSE 'different' END AS kind FROM " + f"{_HOURS_OF.format('nodo_id')} a FULL JOIN {_HOURS_OF.format('twin')} b ON " + " AND ".join(f"a.{c} = b.{c}" for c in _KEYS_OF) + " WHERE a.l IS DISTINCT FROM b.l"
 
 
-def _series(asked: DataFrame, o: DataFrame, planted: bool) -> DataFrame:
-    heads = grid.id_map(grid.snap_nodes(asked)).select("nodo_id", (F.col("representative") % 100 + 1).alias("station"))
-    out = heads.join(o.select(F.col("nodo_id").alias("station"), "datetime", "hour", "ghi", "temperature"), "station").drop("station")
+#: Nodes by what is planted in their series: 7 lacks the evening, 9 has another noon; the others (0) have their station's own.
+_PLANT = (0, 7, 9)
+
+
+def _series(o: DataFrame, planted: bool) -> DataFrame:
+    """The series of all stations, each once for every kind of node that has it: (series, datetime, ghi, temperature). Nodes name theirs, so its rows do not grow with them."""
+    rows = o.where("nodo_id BETWEEN 1 AND 100").select(F.col("nodo_id").alias("station"), "datetime", "hour", "ghi", "temperature")
+    rows = rows.withColumn("plant", F.explode(F.array(*map(F.lit, _PLANT))) if planted else F.lit(0))
+    out = rows.where("NOT (plant = 7 AND hour >= 20)").withColumn("ghi", F.when((F.col("plant") == 9) & (F.col("hour") == 12), F.col("ghi") + 1).otherwise(F.col("ghi")))
+    return out.select((F.col("station") * 50 + F.col("plant")).alias("series"), "datetime", "ghi", "temperature")
+
+
+def _sharing(asked: DataFrame, planted: bool) -> DataFrame:
+    """Snapped nodes with the series of the station that their cell's first node has."""
+    nodes = grid.snap_nodes(asked)
+    first = nodes.groupBy(*grid.CELL).agg(F.min("nodo_id").alias("head"))
     kind = F.col("nodo_id") % 50
-    if planted:
-        out = out.where(~((kind == 7) & (F.col("hour") >= 20))).withColumn("ghi", F.when((kind == 9) & (F.col("hour") == 12), F.col("ghi") + 1).otherwise(F.col("ghi")))
-    return out.drop("hour")
+    plant = F.when(kind.isin(*_PLANT), kind).otherwise(0) if planted else F.lit(0)
+    return nodes.join(first, list(grid.CELL)).withColumn("series", (F.col("head") % 100 + 1) * 50 + plant).drop("head")
 
 
-query("dq13_twins", _DIFFER, "solicitados", "obs")(lambda s, o: grid.differing_cells(_series(s, o, True), grid.snap_nodes(s), ["ghi", "temperature"]))
-query("dq14_gate", f"SELECT DISTINCT lat_real, lon_real, nodo_id, twin FROM ({_DIFFER})", "solicitados", "obs")(lambda s, o: grid.differing_twins(_series(s, o, True), grid.snap_nodes(s), ["ghi", "temperature"]))
+query("dq13_twins", _DIFFER, "solicitados", "obs")(lambda s, o: grid.differing_cells(_series(o, True), _sharing(s, True), ["ghi", "temperature"], "series"))
+query("dq14_gate", f"SELECT DISTINCT lat_real, lon_real, nodo_id, twin FROM ({_DIFFER})", "solicitados", "obs")(lambda s, o: grid.differing_twins(_series(o, True), _sharing(s, True), ["ghi", "temperature"], "series"))
 query("dq14_regridded_series", f"SELECT r.new_id AS nodo_id, t.datetime, t.ghi, t.temperature FROM {_TWINS} t JOIN (SELECT nodo_id, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM {_FIRST} WHERE i = 1) r ON r.nodo_id = t.nodo_id", "solicitados", "obs")(
-    lambda s, o: curation.regridded(_series(s, o, False), grid.snap_nodes(s), ["ghi", "temperature"]).select("nodo_id", "datetime", "ghi", "temperature")
+    lambda s, o: curation.regridded(_series(o, False), _sharing(s, False), ["ghi", "temperature"], "series").select("nodo_id", "datetime", "ghi", "temperature")
 )
 _CANON = f"(SELECT nodo_id, lat_real, lon_real, row_number() OVER (ORDER BY nodo_id) - 1 AS new_id FROM {_FIRST} WHERE i = 1)"
 query("dq15_lineage", f"SELECT new_id AS nodo_id, nodo_id AS nodo_id_original, lat_real, lon_real FROM {_CANON}", "solicitados", "obs")(lambda s, o: curation.deduplicated(grid.duplicate_flags(grid.snap_nodes(s)), o)[0].select("nodo_id", "nodo_id_original", "lat_real", "lon_real"))

@@ -1,14 +1,18 @@
 """Queries on tables with more nodes than the given ones: ids beyond a smallint, values at a limit, shared series."""
 
+import random
+from datetime import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from meshcast import queries
-from meshcast.operators import stats
-from meshcast.plans import fixtures
+from meshcast.operators import grid, stats
+from meshcast.plans import curation, fixtures
 
 SF = "/root/testdata/sf0.001"
+HOURS = [datetime(2020, 1, 1, h) for h in range(6)]
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +80,29 @@ def test_upsert_adds_a_row_whose_id_is_taken(spark, beside):
     assert found.columns == [c[0] for c in wanted.description]
     wanted = wanted.fetchall()
     assert [r[0] for r in wanted].count(9999) == 2 and rows(found) == sorted(wanted, key=str)
+
+
+def test_shared_series_are_compared_once(spark):
+    rng = random.Random(3)
+    nodes = [(n, float(n % 7), 0.0, rng.randrange(4)) for n in range(60)]
+    shared = [(s, HOURS[h], float(h + (s == 1 and h == 3)), None if h == 2 else h) for s in range(3) for h in range(6 - (s == 2))] + [(2, HOURS[0], 0.0, 0)]
+    facts = spark.createDataFrame(shared, "series int, datetime timestamp_ntz, v double, w int")
+    at = spark.createDataFrame(nodes, "nodo_id int, lat_real double, lon_real double, series int")  # nobody has facts of series 3
+    own = facts.join(at.select("nodo_id", "series"), "series").drop("series")
+    for compare in (grid.differing_twins, grid.differing_cells):
+        found = rows(compare(facts, at, ["v", "w"], "series"))
+        assert found and found == rows(compare(own, at, ["v", "w"]))
+    same = at.withColumn("series", F.lit(0))
+    kept = curation.regridded(facts, same, ["v", "w"], "series")
+    assert rows(kept) == rows(curation.regridded(facts.where("series = 0").join(same.select("nodo_id", "series"), "series").drop("series"), same, ["v", "w"]).select(*kept.columns))
+
+
+@pytest.mark.parametrize("name", ["dq13_twins", "dq14_gate"])
+def test_series_do_not_grow_with_nodes(spark, tmp_path, name):
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    c.union(c.withColumn("c_custkey", F.col("c_custkey") + c.count())).write.parquet(f"{tmp_path}/customer.parquet")
+    wanted = asked(name, str(tmp_path), "customer").fetchall()
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(queries.QUERIES[name](spark, str(tmp_path))) == sorted(wanted, key=str)
+    o = fixtures.view(spark, str(tmp_path), "obs")
+    assert queries._series(o, True).count() <= 3 * o.where("nodo_id BETWEEN 1 AND 100").count()
