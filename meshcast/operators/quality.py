@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PRESSURE_TOLERANCE, RANGES, surface_pressure
 
 KEY = ("nodo_id", "datetime")
+#: Slices of the nodes in which their hours are counted.
+SLICES = 4
 
 
 # Days of a year as bits of six numbers, two months in each, and the hours of a day as those of a seventh.
@@ -20,23 +24,43 @@ def calendar_bits() -> list:
     return [F.expr(e).alias(f"day_bits{i}") for i, e in enumerate(_DAYS)] + [F.expr(_HOURS).alias("hour_bits")]
 
 
+def _calendar(days, hours) -> list:
+    ones = lambda bits: F.coalesce(F.bit_count(bits), F.lit(0)).cast("long")
+    return [sum(map(ones, days[1:]), ones(days[0])).alias("days"), ones(hours).alias("hours")]
+
+
 def united_bits() -> list:
     """Aggregates days and hours over rows of calendar_bits."""
-    ones = lambda c: F.coalesce(F.bit_count(F.bit_or(c)), F.lit(0)).cast("long")
-    return [sum((ones(f"day_bits{i}") for i in range(1, len(_DAYS))), ones("day_bits0")).alias("days"), ones("hour_bits").alias("hours")]
+    return _calendar([F.bit_or(f"day_bits{i}") for i in range(len(_DAYS))], F.bit_or("hour_bits"))
+
 
+def calendar_counts() -> list:
+    """Aggregates days and hours over rows."""
+    return _calendar([F.expr(e) for e in _DAYS], F.expr(_HOURS))
 
-def times_of_nodes(df: DataFrame, *more) -> DataFrame:
-    """(nodo_id, bucket, offset, rows, times, ...): rows and distinct times per node and bucket of 32,768 hours, with further aggregates.
 
-    The hours are bits of a bitmap of 4 KB, so what is shuffled grows with nodes and years, not with rows. offset is the time within the hour: times need not be
-    whole hours, and each offset has a bitmap of its own. Rows without a time are a group with one time, the null.
+def hours_of_nodes(df: DataFrame) -> DataFrame:
+    """(nodo_id, bucket, rows, times): rows and distinct times per node and bucket of 64 hours.
+
+    The hours are bits of one number, so a group is a few numbers of fixed size in a hash table, however many of its hours are there: full series shuffle a row for
+    64 hours, sparse ones no more rows than they have. Times need not be whole hours: each time within the hour has buckets of its own. Rows without a time are a
+    group with one time, the null.
     """
-    micros = F.unix_micros(F.col("datetime").cast("timestamp"))
-    hour = F.floor(micros / F.lit(3_600_000_000)).cast("long")
-    rows = df.withColumn("hour_number", hour).withColumn("bucket", F.bitmap_bucket_number("hour_number")).withColumn("offset", F.pmod(micros, F.lit(3_600_000_000)))
-    out = rows.groupBy("nodo_id", "bucket", "offset").agg(F.count("*").alias("rows"), F.bitmap_construct_agg(F.bitmap_bit_position("hour_number")).alias("times"), *more)
-    return out.withColumn("times", F.when(F.col("bucket").isNull(), 1).otherwise(F.bitmap_count("times")).cast("long"))
+    # Each slice of the nodes is a scan and tasks of its own, so that the hash table of a task holds a slice of its rows' groups.
+    part = F.pmod(F.xxhash64("nodo_id"), F.lit(SLICES))
+    df = reduce(DataFrame.union, (df.select(*KEY).where(part == i) for i in range(SLICES)))
+    micros, hour = F.unix_micros(F.col("datetime").cast("timestamp")), F.lit(3_600_000_000)
+    offset = F.pmod(micros, hour)
+    rows = df.select("nodo_id", offset.alias("offset"), F.call_function("div", micros - offset, hour).alias("hour_number"))
+    at = F.pmod("hour_number", F.lit(64))
+    rows = rows.select("nodo_id", (F.call_function("div", F.col("hour_number") - at, F.lit(64)) * hour + F.col("offset")).alias("bucket"), at.cast("int").alias("at"))
+    out = rows.groupBy("nodo_id", "bucket").agg(F.count("*").alias("rows"), F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
+    return out.select("nodo_id", "bucket", "rows", F.when(F.col("bucket").isNull(), 1).otherwise(F.bit_count("bits")).cast("long").alias("times"))
+
+
+def times_of_nodes(df: DataFrame) -> DataFrame:
+    """(nodo_id, rows, times): rows and distinct times per node."""
+    return hours_of_nodes(df).groupBy("nodo_id").agg(F.sum("rows").alias("rows"), F.sum("times").alias("times"))
 
 
 def _expected(out: DataFrame) -> DataFrame:
@@ -53,15 +77,13 @@ def completeness(df: DataFrame) -> DataFrame:
 def node_completeness(df: DataFrame) -> DataFrame:
     """(nodo_id, rows, times, surplus, expected, missing): per node its distinct times, the rows beyond them, and how many times it lacks of all days x hours of
     the table. Buckets of hours are shuffled, not rows."""
-    per = times_of_nodes(df, *calendar_bits())
-    all_ = per.agg(*united_bits()).select((F.col("days") * F.col("hours")).alias("expected"))
-    out = per.groupBy("nodo_id").agg(F.sum("rows").alias("rows"), F.sum("times").alias("times"))
-    return out.withColumn("surplus", F.col("rows") - F.col("times")).withColumn("expected", all_.scalar()).withColumn("missing", F.col("expected") - F.col("times"))
+    all_ = df.agg(*calendar_counts()).select((F.col("days") * F.col("hours")).alias("expected"))
+    return times_of_nodes(df).withColumn("surplus", F.col("rows") - F.col("times")).withColumn("expected", all_.scalar()).withColumn("missing", F.col("expected") - F.col("times"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each node and time."""
-    return times_of_nodes(df).agg(F.coalesce(F.sum(F.col("rows") - F.col("times")), F.lit(0)).alias("duplicates"))
+    return hours_of_nodes(df).agg(F.coalesce(F.sum(F.col("rows") - F.col("times")), F.lit(0)).alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -131,20 +153,16 @@ def anomalies(df: DataFrame, nodes: DataFrame | None = None, limit: int | None =
 
 
 def integrity_row(df: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """All integrity metrics as one wide row, from one scan: completeness, duplicates, filled rows, nulls_<column> and n_<kind> of anomalies.
+    """All integrity metrics as one wide row: completeness, duplicates, filled rows, nulls_<column> and n_<kind> of anomalies.
 
-    Rows are first reduced per node and bucket of hours, with bitmaps of hours and days, so no more than these are shuffled.
+    The counts come from one scan that shuffles a row per task; nodes and duplicates from another, of nodes and times alone.
     """
     rows = df if nodes is None else with_elevation(df, nodes)
     tests = {f"n_{k}": F.count_if(t) for k, t in _tests(rows).items()} | {f"nulls_{c}": F.count_if(F.col(c).isNull()) for c in df.columns}
     tests |= {"filled": F.count_if(F.col("fill_flag") != 0)} if "fill_flag" in df.columns else {}
-    per = times_of_nodes(rows, *calendar_bits(), *(e.alias(k) for k, e in tests.items()))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    counts = [total("rows").alias("rows"), total(F.col("rows") - F.col("times")).alias("duplicates"), *(total(c).alias(c) for c in tests)]
-    # Few buckets to a node, so nodes are counted over one row each.
-    by_node = per.groupBy("nodo_id").agg(*counts, *(F.bit_or(f"day_bits{i}").alias(f"day_bits{i}") for i in range(len(_DAYS))), F.bit_or("hour_bits").alias("hour_bits"))
-    out = by_node.agg(total("rows").alias("rows"), total("duplicates").alias("duplicates"), F.count("nodo_id").alias("nodes"), *united_bits(), *(total(c).alias(c) for c in tests))
-    return _expected(out)
+    counts = rows.agg(F.count("*").alias("rows"), *calendar_counts(), *(e.alias(k) for k, e in tests.items()))
+    keys = times_of_nodes(rows).agg(F.coalesce(F.sum(F.col("rows") - F.col("times")), F.lit(0)).alias("duplicates"), F.count("nodo_id").alias("nodes"))
+    return _expected(counts.crossJoin(keys).select("rows", "duplicates", "nodes", "days", "hours", *tests))
 
 
 def node_audit(df: DataFrame, node: int, expected: int = 8760) -> DataFrame:

@@ -1,14 +1,14 @@
 """Queries on tables with more nodes than the given ones: ids beyond a smallint, values at a limit, shared series."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from meshcast import queries
-from meshcast.operators import grid, stats
+from meshcast.operators import grid, quality, stats
 from meshcast.plans import curation, fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,20 @@ def test_series_do_not_grow_with_nodes(spark, tmp_path, name):
     assert rows(queries.QUERIES[name](spark, str(tmp_path))) == sorted(wanted, key=str)
     o = fixtures.view(spark, str(tmp_path), "obs")
     assert queries._series(o, True).count() <= 3 * o.where("nodo_id BETWEEN 1 AND 100").count()
+
+
+def test_hours_are_counted_in_hash_tables(spark):
+    base, rng = datetime(1901, 5, 6, 7), random.Random(5)
+    given = [(rng.choice([None, *range(9)]), rng.choice([None, *(base + timedelta(hours=rng.choice([h, h * 999]), microseconds=rng.choice([0, 0, 1, 3_599_999_999])) for h in range(300))])) for _ in range(2000)]
+    obs = spark.createDataFrame(given * 2, "nodo_id int, datetime timestamp_ntz").withColumns({"month": F.month("datetime"), "day": F.dayofmonth("datetime"), "hour": F.hour("datetime")})
+    assert quality.duplicate_count(obs).first().duplicates == 2 * len(given) - len(set(given))
+    times = {r.nodo_id: (r.rows, r.times) for r in quality.node_completeness(obs).collect()}
+    assert times == {n: (2 * len(own := [t for m, t in given if m == n]), len(set(own))) for n in {m for m, _ in given}}
+    whole = quality.integrity_row(obs).first()
+    assert (whole.rows, whole.duplicates, whole.nodes) == (2 * len(given), 2 * len(given) - len(set(given)), 9)
+    # Bitmaps of years were sorted, 4 KB for each node, task and 32,768 hours, however few of them were there.
+    for df in (quality.duplicate_count(obs), quality.node_completeness(obs), quality.integrity_row(obs)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in text and "SortAggregate" not in text and "bitmap" not in text
+    full = spark.range(64 * 50).select(F.lit(1).alias("nodo_id"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, id)").alias("datetime"))
+    assert quality.hours_of_nodes(full).count() <= 51
