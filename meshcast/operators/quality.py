@@ -12,6 +12,8 @@ from ..functions.scalars import PRESSURE_TOLERANCE, RANGES, surface_pressure
 KEY = ("nodo_id", "datetime")
 #: Slices of the nodes in which their hours are counted.
 SLICES = 4
+#: Numbers of 64 bits that hold the hours of a group.
+WORDS = 8
 
 
 # Days of a year as bits of six numbers, two months in each, and the hours of a day as those of a seventh.
@@ -40,11 +42,12 @@ def calendar_counts() -> list:
 
 
 def hours_of_nodes(df: DataFrame) -> DataFrame:
-    """(nodo_id, bucket, rows, times): rows and distinct times per node and bucket of 64 hours.
+    """(nodo_id, bucket, rows, times): rows and distinct times per node and bucket of 64 * WORDS hours.
 
-    The hours are bits of one number, so a group is a few numbers of fixed size in a hash table, however many of its hours are there: full series shuffle a row for
-    64 hours, sparse ones no more rows than they have. Times need not be whole hours: each time within the hour has buckets of its own. Rows without a time are a
-    group with one time, the null.
+    The hours are bits of WORDS numbers, so a group is a few numbers of fixed size in a hash table, however many of its hours are there: full series shuffle a row for
+    64 * WORDS hours, sparse ones no more rows than they have. Most of what a group of one number takes is its key and place in the table, so one of eight takes
+    about half as much again, and series with an hour in each 64 have an eighth of the groups. Times need not be whole hours: each time within the hour has buckets of
+    its own. Rows without a time are a group with one time, the null.
     """
     # Each slice of the nodes is a scan and tasks of its own, so that the hash table of a task holds a slice of its rows' groups.
     part = F.pmod(F.xxhash64("nodo_id"), F.lit(SLICES))
@@ -52,10 +55,13 @@ def hours_of_nodes(df: DataFrame) -> DataFrame:
     micros, hour = F.unix_micros(F.col("datetime").cast("timestamp")), F.lit(3_600_000_000)
     offset = F.pmod(micros, hour)
     rows = df.select("nodo_id", offset.alias("offset"), F.call_function("div", micros - offset, hour).alias("hour_number"))
-    at = F.pmod("hour_number", F.lit(64))
-    rows = rows.select("nodo_id", (F.call_function("div", F.col("hour_number") - at, F.lit(64)) * hour + F.col("offset")).alias("bucket"), at.cast("int").alias("at"))
-    out = rows.groupBy("nodo_id", "bucket").agg(F.count("*").alias("rows"), F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
-    return out.select("nodo_id", "bucket", "rows", F.when(F.col("bucket").isNull(), 1).otherwise(F.bit_count("bits")).cast("long").alias("times"))
+    span = F.lit(64 * WORDS)
+    at = F.pmod("hour_number", span)
+    bucket = F.call_function("div", F.col("hour_number") - at, span) * hour + F.col("offset")
+    rows = rows.select("nodo_id", bucket.alias("bucket"), F.call_function("div", at, F.lit(64)).alias("word"), F.expr("shiftleft(1L, CAST(pmod(hour_number, 64) AS INT))").alias("bit"))
+    out = rows.groupBy("nodo_id", "bucket").agg(F.count("*").alias("rows"), *(F.expr(f"bit_or(CASE WHEN word = {i} THEN bit ELSE 0L END)").alias(f"bits{i}") for i in range(WORDS)))
+    times = sum((F.bit_count(f"bits{i}") for i in range(1, WORDS)), F.bit_count("bits0"))
+    return out.select("nodo_id", "bucket", "rows", F.when(F.col("bucket").isNull(), 1).otherwise(times).cast("long").alias("times"))
 
 
 def times_of_nodes(df: DataFrame) -> DataFrame:

@@ -123,3 +123,16 @@ def test_hours_are_counted_in_hash_tables(spark):
         assert "HashAggregate" in text and "SortAggregate" not in text and "bitmap" not in text
     full = spark.range(64 * 50).select(F.lit(1).alias("nodo_id"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, id)").alias("datetime"))
     assert quality.hours_of_nodes(full).count() <= 51
+
+
+def test_sparse_series_share_groups(spark):
+    # Both sides of 1970, every bit of every number; node 1 has all hours, node 2 one in each 64, node 3 each hour at two times, node 4 the last bit of each number.
+    hours = spark.range(-1100, 1100).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("nodo_id"), "id").where("CASE nodo_id WHEN 2 THEN id % 64 = 0 WHEN 4 THEN pmod(id, 64) = 63 ELSE true END")
+    obs = hours.select("nodo_id", F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, id)").alias("datetime"))
+    obs = obs.union(obs.where("nodo_id = 3").withColumn("datetime", F.expr("datetime + INTERVAL '30' MINUTE"))).union(obs.where("nodo_id <> 4 AND hour(datetime) = 23"))
+    wanted = {r.nodo_id: (r.n, r.times) for r in obs.groupBy("nodo_id").agg(F.count("*").alias("n"), F.count_distinct("datetime").alias("times")).collect()}
+    assert {r.nodo_id: (r.rows, r.times) for r in quality.times_of_nodes(obs).collect()} == wanted and wanted[3][1] == 4400 and wanted[4] == (35, 35)
+    assert quality.duplicate_count(obs).first().duplicates == sum(n - times for n, times in wanted.values()) > 0
+    # Node 2 had a group for each of its 35 times.
+    groups = {r.nodo_id: r["count"] for r in quality.hours_of_nodes(obs).groupBy("nodo_id").count().collect()}
+    assert max(groups[n] for n in (1, 2, 4)) <= 6 and groups[3] <= 12
